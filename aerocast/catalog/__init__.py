@@ -1,3 +1,3 @@
 """Importing this package registers every named query and its oracle."""
 
-from aerocast.catalog import series  # noqa: F401
+from aerocast.catalog import series, tables  # noqa: F401

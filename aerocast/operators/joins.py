@@ -106,8 +106,13 @@ def join_asof(left: DataFrame, right: DataFrame, key, left_time: str, right_time
 
 # --- J6 ------------------------------------------------------------------------
 def alert_antijoin(new_alerts: DataFrame, log: DataFrame,
-                   keys: Sequence[str] = ("forecast_date", "predicted_aqi")) -> DataFrame:
+                   keys: Sequence[str] = ("forecast_date", "predicted_aqi"),
+                   first_by: str = "logged_at") -> DataFrame:
     """Append alerts whose key is not yet logged (threshold is not part of the
-    key); a key arriving twice in one batch is logged once."""
-    fresh = new_alerts.dropDuplicates(list(keys)).join(log.select(*keys), list(keys), "left_anti")
+    key); a key arriving twice in one batch is logged once (its earliest row)."""
+    keys = list(keys)
+    others = [c for c in new_alerts.columns if c not in keys]
+    fresh = (new_alerts.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(first_by)).alias("_a"))
+             .select(*keys, "_a.*"))
+    fresh = fresh.join(log.select(*keys).distinct(), keys, "left_anti")
     return log.unionByName(fresh.select(*log.columns))

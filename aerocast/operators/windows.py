@@ -241,11 +241,10 @@ def fallback_priority(df: DataFrame, group, priority: str, usable: Column | str,
     keys = _keys(group)
     ok = F.col(usable) if isinstance(usable, str) else usable
     others = [c for c in df.columns if c not in keys]
-    rank_key = [F.col(priority), -F.unix_micros(F.col(order).cast("timestamp"))]
-    if tiebreak:
-        rank_key.append(-F.col(tiebreak))
+    # best = lowest priority number, then newest time, then highest tiebreak
+    rank_key = [-F.col(priority), F.col(order)] + ([F.col(tiebreak)] if tiebreak else [])
     picked = (df.where(ok).groupBy(*keys)
-              .agg(F.min_by(F.struct(*others), F.struct(*rank_key)).alias("_r")))
+              .agg(F.max_by(F.struct(*others), F.struct(*rank_key)).alias("_r")))
     return picked.select(*keys, "_r.*")
 
 
