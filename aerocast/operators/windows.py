@@ -144,15 +144,17 @@ def interp_time(df: DataFrame, cols: Sequence[str], key="series_key", order="dat
     """
     w = series_window(key, order)
     back = w.rowsBetween(UNB, 0)
-    fwd = w.rowsBetween(0, UNF)
+    # "next non-null" as a running frame over the reversed order: O(n) per
+    # series, where an unbounded-following frame is recomputed for every row.
+    fwd = _reversed_window(key, order).rowsBetween(UNB, 0)
     t = F.unix_date(F.to_date(order)) if isinstance(order, str) else None
     out = {}
     for c in cols:
         tc = F.when(F.col(c).isNotNull(), t)
         x0 = F.last(c, ignorenulls=True).over(back)
         t0 = F.last(tc, ignorenulls=True).over(back)
-        x1 = F.first(c, ignorenulls=True).over(fwd)
-        t1 = F.first(tc, ignorenulls=True).over(fwd)
+        x1 = F.last(c, ignorenulls=True).over(fwd)
+        t1 = F.last(tc, ignorenulls=True).over(fwd)
         inner = x0 + (x1 - x0) * (t - t0) / (t1 - t0)
         filled = F.when(F.col(c).isNotNull(), F.col(c)).when(t1 > t0, inner)
         if hold_edges:
@@ -163,12 +165,18 @@ def interp_time(df: DataFrame, cols: Sequence[str], key="series_key", order="dat
 
 def ffill_bfill(df: DataFrame, cols: Sequence[str], key="series_key", order="date") -> DataFrame:
     w = series_window(key, order)
+    rw = _reversed_window(key, order)
     return df.withColumns({
         c: F.coalesce(F.col(c), F.last(c, ignorenulls=True).over(w.rowsBetween(UNB, 0)),
-                      F.first(c, ignorenulls=True).over(w.rowsBetween(0, UNF)))
+                      F.last(c, ignorenulls=True).over(rw.rowsBetween(UNB, 0)))
         for c in cols})
 
 
+def _reversed_window(key, order):
+    order_cols = [order] if isinstance(order, str) else list(order)
+    return Window.partitionBy(*_keys(key)).orderBy(*[F.col(o).desc() for o in order_cols])
+
+
 # --- W13 ---------------------------------------------------------------------
 def latest_row(df: DataFrame, key="series_key", order="date") -> DataFrame:
     """Newest row per series as an aggregate (``max_by``): partial aggregation,
