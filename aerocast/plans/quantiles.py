@@ -21,8 +21,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerocast.operators.joins import bounded_broadcast
-
 _RUNNING = (Window.unboundedPreceding, 0)
 
 
@@ -35,10 +33,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     edge_probs = [i / buckets for i in range(1, buckets)]
     sketch = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                   F.percentile_approx("_v", edge_probs, accuracy).alias("_edges"))
-    vb = v.join(bounded_broadcast(sketch, 100_000), keys)
-    # bucket = number of cut points strictly below the value
-    vb = vb.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    counts = vb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    # the sketch is one row per group; AQE broadcasts it from its measured size
+    vb = v.join(sketch.select(*keys, "_edges"), keys)
+    # bucket = number of cut points strictly below the value (codegen'd comparisons)
+    below = [F.when(F.element_at("_edges", i) < F.col("_v"), 1).otherwise(0) for i in range(1, buckets)]
+    vb = vb.withColumn("_b", sum(below[1:], below[0])).drop("_edges")
+    counts = vb.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(*_RUNNING)
     counts = counts.withColumn("_c_end", F.sum("_c").over(wb))
     counts = counts.withColumn("_c_start", F.col("_c_end") - F.col("_c"))

@@ -72,13 +72,14 @@ def block_gramians(df: DataFrame, cols: Sequence[str], target: str, weight: str,
         info[int(r["_b"])] = (sw, int(r["_n"]), np.array([r[f"w{i}"] / sw for i in range(p)]),
                               np.array([r[f"u{i}"] for i in range(p)]))
     centres = {b: (v[2], v[3]) for b, v in info.items()}
+    cnames = [f"c{i}" for i in range(p)]
 
     def partial(it):
         acc = {}
         for pdf in it:
             for b, g in pdf.groupby("_b"):
                 wm, um = centres[int(b)]
-                X = g[[f"c{i}" for i in range(p)]].to_numpy(dtype=np.float64)
+                X = g[cnames].to_numpy(dtype=np.float64)
                 w = g["_w"].to_numpy(dtype=np.float64)
                 Xc = X - wm
                 C = (Xc * w[:, None]).T @ Xc
