@@ -74,8 +74,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     Rows (feature, bin, lo, hi, count) for non-empty bins."""
     long = unpivot_long(df, [], cols).where(F.col("value").isNotNull())
     rng = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    from aerocast.operators.joins import bounded_broadcast
-    j = long.join(bounded_broadcast(rng, 100_000), "feature")
+    j = long.join(F.broadcast(rng), "feature")  # one row per listed column: bounded by len(cols)
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("_lo")) / width), F.lit(bins - 1)))
@@ -95,12 +94,14 @@ def kde(df: DataFrame, col: str, grid_points: int = 200) -> DataFrame:
     st = v.groupBy("_g").agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
                F.max("v").alias("hi"))
     st = st.withColumn("bw", F.col("sd") * F.pow(F.col("n"), -0.2))
-    j = v.join(F.broadcast(st), "_g")  # one-row statistics table, constant key
+    # readings are quantised: fan out distinct values (with their counts), not rows
+    dv = v.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("_k"))
+    j = dv.join(F.broadcast(st), "_g")  # one-row statistics table, constant key
     step = (F.col("hi") - F.col("lo")) / (grid_points - 1)
     j = j.withColumn("step", step).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))))
     x = F.col("lo") + F.col("g") * F.col("step")
     z = (x - F.col("v")) / F.col("bw")
-    contrib = F.exp(-0.5 * z * z)
+    contrib = F.exp(-0.5 * z * z) * F.col("_k")
     agg = j.groupBy("g").agg(F.first(x).alias("x"), F.sum(contrib).alias("_s"),
                              F.first("n").alias("n"), F.first("bw").alias("bw"))
     dens = F.col("_s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
@@ -111,12 +112,11 @@ def kde(df: DataFrame, col: str, grid_points: int = 200) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """q1/median/q3, 1.5 IQR whiskers and the outlier count per feature."""
     from aerocast.plans.quantiles import quantile_columns
-    from aerocast.operators.joins import bounded_broadcast
     long = unpivot_long(df, [], cols).where(F.col("value").isNotNull())
     q = quantile_columns(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")})
-    cnt = (long.join(bounded_broadcast(q.select("feature", "lower", "upper"), 100_000), "feature")
+    cnt = (long.join(F.broadcast(q.select("feature", "lower", "upper")), "feature")  # len(cols) rows
            .groupBy("feature").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
                                    .alias("outliers"), F.count(F.lit(1)).alias("n")))
     return q.join(cnt, "feature")
@@ -124,10 +124,9 @@ def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def outlier_rows(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """The (ids, feature, value) cells outside the 1.5 IQR whiskers."""
-    from aerocast.operators.joins import bounded_broadcast
     bs = box_stats(df, cols).select("feature", "lower", "upper")
     long = unpivot_long(df, ids, cols).where(F.col("value").isNotNull())
-    j = long.join(bounded_broadcast(bs, 100_000), "feature")
+    j = long.join(F.broadcast(bs), "feature")  # one row per listed column
     return j.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).select(
         *ids, "feature", "value")
 
@@ -163,10 +162,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
                     for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', `{i}`" for i, (a, b) in enumerate(pairs))
-    upper = wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (a, b, corr)")
-    lower = upper.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    return upper.unionByName(lower)
+    cells = [(a, b, i) for i, (a, b) in enumerate(pairs)] + [(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    stack = ", ".join(f"'{a}', '{b}', `{i}`" for a, b, i in cells)
+    # both halves of the symmetric matrix come from the same one-row aggregate
+    return wide.selectExpr(f"stack({len(cells)}, {stack}) AS (a, b, corr)")
 
 
 def corr_rank(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

@@ -35,8 +35,10 @@ def upsert_features(spark: SparkSession, new_rows: DataFrame, path: str, key: Se
     key, order = list(key), list(order)
     batch = dedup_last(new_rows, key, order)
     if _exists(spark, path):
-        touched = batch.select(partition).distinct()
-        existing = spark.read.parquet(path).join(touched, partition, "left_semi")
+        # the partitions a batch touches: bounded by the batch's time span, so
+        # they are listed on the driver and pruned statically at the scan
+        touched = [r[0] for r in batch.select(partition).distinct().collect()]
+        existing = spark.read.parquet(path).where(F.col(partition).isin(touched))
         merged = dedup_last(existing.unionByName(batch.select(*existing.columns)), key, order)
     else:
         merged = batch
