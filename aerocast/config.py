@@ -130,3 +130,5 @@ class ForecastSpec:
     gbt_iters: int = 20
     gbt_depth: int = 4
     seed: int = 42
+    # concurrent fold fits submitted from the driver (independent Spark jobs)
+    fit_parallelism: int = 6

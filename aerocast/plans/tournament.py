@@ -14,6 +14,7 @@ frame is cut from its lineage with a reliable ``checkpoint()`` under
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -92,17 +93,21 @@ def _mllib_oof(df: DataFrame, spec: ForecastSpec, make, is_delta: bool):
     asm = VectorAssembler(inputCols=fs.feature_cols(), outputCol="features")
     data = asm.transform(df).select(fs.key, fs.date, "features", "target", "true_level", "base_pred",
                                     "weight", "block").cache()
+    def fit_fold(kf):
+        # kf = 0 is the final refit on every row
+        return make().fit(data.where(F.col("block") < kf) if kf else data)
+
+    # the fold fits are independent Spark jobs: submit them together
+    with ThreadPoolExecutor(max_workers=spec.fit_parallelism) as pool:
+        models = list(pool.map(fit_fold, range(0, spec.n_splits + 1)))
     parts = []
     for kf in range(1, spec.n_splits + 1):
-        train = data.where(F.col("block") < kf)
-        test = data.where(F.col("block") == kf)
-        m = make().fit(train)
-        p = m.transform(test).withColumnRenamed("prediction", "pred")
+        p = models[kf].transform(data.where(F.col("block") == kf)).withColumnRenamed("prediction", "pred")
         parts.append(p.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred"))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return data, _recon(oof, is_delta)
+    return data, _recon(oof, is_delta), models[0]
 
 
 def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
@@ -111,10 +116,9 @@ def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRe
     def make():
         return RandomForestRegressor(featuresCol="features", labelCol="target", weightCol="weight",
                                      numTrees=spec.rf_trees, maxDepth=spec.rf_depth, seed=spec.seed)
-    data, oof = _mllib_oof(df, spec, make, is_delta)
+    data, oof, final = _mllib_oof(df, spec, make, is_delta)
     oof = oof.cache()
     mae, rmse, r2 = _pooled(oof, is_delta)
-    final = make().fit(data)
     return CandidateResult("RandomForest", "mllib", mae, rmse, r2,
                            oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
                            {"numTrees": spec.rf_trees, "maxDepth": spec.rf_depth})
@@ -127,10 +131,9 @@ def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateR
         return GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight",
                             maxIter=spec.gbt_iters, maxDepth=spec.gbt_depth, lossType="absolute",
                             seed=spec.seed)
-    data, oof = _mllib_oof(df, spec, make, is_delta)
+    data, oof, final = _mllib_oof(df, spec, make, is_delta)
     oof = oof.cache()
     mae, rmse, r2 = _pooled(oof, is_delta)
-    final = make().fit(data)
     return CandidateResult("boosted_trees", "mllib", mae, rmse, r2,
                            oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
                            {"maxIter": spec.gbt_iters, "maxDepth": spec.gbt_depth})
@@ -158,7 +161,9 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
     for hname, h in spec.horizons:
         is_delta = h > 1
         df = horizon_frame(feats, spec, h, upstream).cache()
-        results = [RUNNERS[c](df, spec, is_delta) for c in spec.candidates]
+        # candidates of one horizon are independent: run them side by side
+        with ThreadPoolExecutor(max_workers=len(spec.candidates)) as pool:
+            results = list(pool.map(lambda c: RUNNERS[c](df, spec, is_delta), spec.candidates))
         best = min(range(len(results)), key=lambda i: (np.inf if np.isnan(results[i].mae) else results[i].mae, i))
         champ = results[best]
         for r in results:
