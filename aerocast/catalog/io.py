@@ -257,6 +257,17 @@ def q_upsert_features(spark, sf):
     return rounded(out.select("series_key", "date", "hour", "aqi", "event_id"))
 
 
+@register("read_features", """SELECT event_type AS series_key, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date,
+  CAST(hour(ts) AS BIGINT) AS hour, round(value, 6) AS aqi, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), hour(ts) ORDER BY ts DESC, event_id DESC) = 1""")
+def q_read_features(spark, sf):
+    path = scratch_path(spark, "feature-table")
+    ev = B.table(spark, sf, "events")
+    _hourly(ev, 0, 1.0).write.mode("overwrite").partitionBy("date").parquet(path)  # raw appended rows
+    out = FT.read_features(spark, path, order=("ingested_at", "event_id"))
+    return rounded(out.select("series_key", "date", "hour", "aqi", "event_id"))
+
+
 # ----------------------------------------------------------------- IO14
 @register("append_history", """SELECT event_type AS series_key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_id,
   round(value, 6) AS value FROM events WHERE value >= 1.0""")

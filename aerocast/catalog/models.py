@@ -321,3 +321,44 @@ def q_online_snapshot(spark, sf):
     today = today.select(*reversed(today.columns))  # appended by name, not by position
     snap = FE.online_snapshot(history, today, LINEITEM_SPEC)
     return rounded(snap.select("series_key", "date", "y", *LINEITEM_SPEC.feature_cols()))
+
+
+# ----------------------------------------------------------------- M6 / M7 (rows-only)
+def _candidate(spark, sf, name):
+    spec = ForecastSpec()
+    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
+    r = TN.RUNNERS[name](df, spec, False)
+    return spark.createDataFrame([("day1", r.name, r.mae, r.rmse, r.r2)],
+                                 "horizon string, candidate string, mae double, rmse double, r2 double")
+
+
+@register("random_forest")
+def q_random_forest(spark, sf):
+    return _candidate(spark, sf, "RandomForest")
+
+
+@register("boosted_trees")
+def q_boosted_trees(spark, sf):
+    return _candidate(spark, sf, "boosted_trees")
+
+
+# ----------------------------------------------------------------- end-to-end serving (rows-only)
+def serve(spark, feats, spec: ForecastSpec):
+    """Tournament champions -> newest feature row per series -> raw outputs ->
+    chained levels -> anchored to the live (latest) level, clamped -> three
+    forecast rows per series."""
+    fs = spec.features
+    res = TN.run_tournament(feats, spec)
+    latest = W.latest_row(feats.select(fs.key, fs.date, fs.target, *fs.feature_cols()), key=fs.key, order=fs.date)
+    scored = latest
+    for i, (hname, _) in enumerate(spec.horizons, start=1):
+        scored = TN.raw_prediction(res.champions[hname], scored, fs.feature_cols(), f"_raw{i}")
+    scored = TN.chain_score(scored, "_raw1", "_raw2", "_raw3", res.deltas["day2"], res.deltas["day3"])
+    anchored = TN.anchor_clamp(scored.withColumn("live", F.col(fs.target)), "live")
+    models = {h: res.champions[h].name for h, _ in spec.horizons}
+    return TN.forecast_rows(anchored, fs.key, fs.date, models)
+
+
+@register("serve_forecast")
+def q_serve_forecast(spark, sf):
+    return rounded(serve(spark, _feats(spark, sf), ForecastSpec()))
