@@ -154,6 +154,7 @@ def q_ridge(spark, sf):
     spec = ForecastSpec()
     df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
     r = TN.run_ridge(df, spec, False)
+    df.unpersist()
     return spark.createDataFrame([("day1", r.name, r.params["alpha"], r.mae, r.rmse, r.r2)],
                                  "horizon string, candidate string, alpha double, mae double, rmse double, r2 double")
 
@@ -328,6 +329,7 @@ def _candidate(spark, sf, name):
     spec = ForecastSpec()
     df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
     r = TN.RUNNERS[name](df, spec, False)
+    df.unpersist()
     return spark.createDataFrame([("day1", r.name, r.mae, r.rmse, r.r2)],
                                  "horizon string, candidate string, mae double, rmse double, r2 double")
 

@@ -82,6 +82,7 @@ def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRes
     best = min(sorted(scores), key=lambda i: (scores[i], i))
     oof = _recon(scored.where(F.col("alpha_idx") == best), is_delta)
     mae, rmse, r2 = _pooled(oof, is_delta)
+    scored.unpersist()  # the OOF stays a recomputable plan over the caller's frame
     icpt, beta = RG.fit_ridge(stats, spec.alphas[best], len(cols))
     model = {"intercept": icpt, "coef": [float(b) for b in beta], "features": cols, "alpha": spec.alphas[best]}
     return CandidateResult("Ridge", "ridge", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
@@ -117,8 +118,8 @@ def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRe
         return RandomForestRegressor(featuresCol="features", labelCol="target", weightCol="weight",
                                      numTrees=spec.rf_trees, maxDepth=spec.rf_depth, seed=spec.seed)
     data, oof, final = _mllib_oof(df, spec, make, is_delta)
-    oof = oof.cache()
     mae, rmse, r2 = _pooled(oof, is_delta)
+    data.unpersist()
     return CandidateResult("RandomForest", "mllib", mae, rmse, r2,
                            oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
                            {"numTrees": spec.rf_trees, "maxDepth": spec.rf_depth})
@@ -132,8 +133,8 @@ def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateR
                             maxIter=spec.gbt_iters, maxDepth=spec.gbt_depth, lossType="absolute",
                             seed=spec.seed)
     data, oof, final = _mllib_oof(df, spec, make, is_delta)
-    oof = oof.cache()
     mae, rmse, r2 = _pooled(oof, is_delta)
+    data.unpersist()
     return CandidateResult("boosted_trees", "mllib", mae, rmse, r2,
                            oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
                            {"maxIter": spec.gbt_iters, "maxDepth": spec.gbt_depth})
@@ -173,6 +174,8 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
                          "Metrics on reconstructed levels."))
         champions[hname], deltas[hname] = champ, is_delta
         upstream = champ.oof.select(fs.key, fs.date, "oof_level").checkpoint(eager=True)
+        df.unpersist()
+    feats.unpersist()
     comparison = spark.createDataFrame(
         comp_rows, "horizon string, candidate string, mae double, rmse double, r2 double, is_champion boolean")
     manifest = spark.createDataFrame(
