@@ -190,24 +190,68 @@ def latest_row(df: DataFrame, key="series_key", order="date") -> DataFrame:
 
 
 # --- W14 / W15 ---------------------------------------------------------------
-def _history_lags(df: DataFrame, value: str, key, order):
-    """Previous 1..3 non-null observations before each row (NULL if none)."""
-    w = series_window(key, order)
-    before = w.rowsBetween(UNB, -1)
-    p1 = F.last(value, ignorenulls=True).over(before)
-    d = df.withColumn("_p1", p1)
+def _time_bucket(df: DataFrame, order, bucket_seconds: int | None):
+    """Bucket id monotone in the first order column: day buckets for
+    timestamps/dates; one bucket (plain per-key window) otherwise."""
+    first = ([order] if isinstance(order, str) else list(order))[0]
+    t = df.schema[first].dataType.simpleString()
+    if bucket_seconds and t.startswith("timestamp"):
+        return F.floor(F.unix_micros(F.col(first).cast("timestamp")) / (bucket_seconds * 1_000_000))
+    if bucket_seconds and t == "date":
+        return F.floor(F.unix_date(F.col(first)) * 86400 / bucket_seconds)
+    return F.lit(0)
+
+
+def _history_lags(df: DataFrame, value: str, key, order, bucket_seconds: int | None = 86400):
+    """Previous 1..3 non-null observations before each row (``_p1.._p3``,
+    NULL if none) and their count ``_n``.
+
+    Skew-safe: the running windows run per (key, time bucket); the last three
+    observations of earlier buckets are carried in from a small per-bucket
+    table (a bucket's state depends on at most the three latest non-empty
+    buckets before it), so a key holding a third of all rows is still split
+    into many tasks.
+    """
+    keys = _keys(key)
+    order_cols = [order] if isinstance(order, str) else list(order)
+    d = df.withColumn("_bk", _time_bucket(df, order, bucket_seconds))
+    wb = Window.partitionBy(*keys, "_bk").orderBy(*order_cols)
+    before, upto = wb.rowsBetween(UNB, -1), wb.rowsBetween(UNB, 0)
     obs = F.col(value).isNotNull()
-    d = d.withColumn("_p2", F.last(F.when(obs, F.col("_p1")), ignorenulls=True).over(before))
-    d = d.withColumn("_p3", F.last(F.when(obs, F.col("_p2")), ignorenulls=True).over(before))
-    return d.withColumn("_n", F.count(value).over(before))
-
-
-def online_lags(df: DataFrame, value: str, key="series_key", order="ts") -> DataFrame:
+    d = d.withColumn("_i1", F.last(value, ignorenulls=True).over(before))
+    d = d.withColumn("_i2", F.last(F.when(obs, F.col("_i1")), ignorenulls=True).over(before))
+    d = d.withColumn("_i3", F.last(F.when(obs, F.col("_i2")), ignorenulls=True).over(before))
+    d = d.withColumn("_in", F.count(value).over(before))
+    # state at the end of each bucket: its last three observations, oldest first
+    last3 = F.filter(F.array(F.when(obs, F.col("_i2")).otherwise(F.col("_i3")),
+                             F.when(obs, F.col("_i1")).otherwise(F.col("_i2")),
+                             F.when(obs, F.col(value)).otherwise(F.col("_i1"))), lambda x: x.isNotNull())
+    ordering = F.struct(*order_cols)
+    summ = d.groupBy(*keys, "_bk").agg(F.max_by(last3, ordering).alias("_own"), F.count(value).alias("_cnt"))
+    wk = Window.partitionBy(*keys).orderBy("_bk")
+    ne = summ.where(F.col("_cnt") > 0)
+    ne = ne.withColumn("_st", F.flatten(F.collect_list("_own").over(wk.rowsBetween(-2, 0))))
+    ne = ne.withColumn("_st", F.slice("_st", F.greatest(F.size("_st") - 2, F.lit(1)), 3))
+    allb = summ.join(ne.select(*keys, "_bk", "_st"), [*keys, "_bk"], "left")
+    carry = allb.select(*keys, "_bk",
+                        F.last("_st", ignorenulls=True).over(wk.rowsBetween(UNB, -1)).alias("_carry"),
+                        F.coalesce(F.sum("_cnt").over(wk.rowsBetween(UNB, -1)), F.lit(0)).alias("_cn"))
+    d = d.join(carry, [*keys, "_bk"], "left")
+    inb = F.filter(F.array("_i3", "_i2", "_i1"), lambda x: x.isNotNull())
+    hist = F.concat(F.coalesce(F.col("_carry"), F.array().cast("array<double>")), inb)
+    d = d.withColumn("_h", hist)
+    d = d.withColumns({"_p1": F.try_element_at("_h", F.lit(-1)), "_p2": F.try_element_at("_h", F.lit(-2)),
+                       "_p3": F.try_element_at("_h", F.lit(-3)), "_n": F.col("_cn") + F.col("_in")})
+    return d.drop("_bk", "_i1", "_i2", "_i3", "_in", "_carry", "_cn", "_h")
+
+
+def online_lags(df: DataFrame, value: str, key="series_key", order="ts",
+                bucket_seconds: int | None = 86400) -> DataFrame:
     """Ingest-time lag features from the observation history, zero fallback:
     lag_k = k-th previous observation or 0; rolling_3 = mean of the last three
     if three exist else lag_1; change = lag_1 - lag_2.
     """
-    d = _history_lags(df, value, key, order)
+    d = _history_lags(df, value, key, order, bucket_seconds)
     l1, l2, l3 = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("_p1", "_p2", "_p3"))
     d = d.withColumns({
         f"{value}_lag_1": l1, f"{value}_lag_2": l2, f"{value}_lag_3": l3,
@@ -218,10 +262,11 @@ def online_lags(df: DataFrame, value: str, key="series_key", order="ts") -> Data
     return d.drop("_p1", "_p2", "_p3", "_n")
 
 
-def online_lags_cascade(df: DataFrame, value: str, key="series_key", order="ts") -> DataFrame:
+def online_lags_cascade(df: DataFrame, value: str, key="series_key", order="ts",
+                        bucket_seconds: int | None = 86400) -> DataFrame:
     """Variant: lag2 falls back to lag1, lag3 to lag2; rolling mean over what
     exists (0 if nothing); trend 0 with fewer than two observations."""
-    d = _history_lags(df, value, key, order)
+    d = _history_lags(df, value, key, order, bucket_seconds)
     n = F.col("_n")
     l1 = F.coalesce(F.col("_p1"), F.lit(0.0))
     l2 = F.when(n >= 2, F.col("_p2")).otherwise(l1)
@@ -257,7 +302,20 @@ def fallback_priority(df: DataFrame, group, priority: str, usable: Column | str,
 
 
 def live_or_latest(df: DataFrame, live: str, key="series_key", order="ts",
-                   name: str | None = None) -> DataFrame:
-    """Live value where present, else the last known value of the series."""
-    w = series_window(key, order).rowsBetween(UNB, 0)
-    return df.withColumn(name or f"{live}_or_latest", F.last(live, ignorenulls=True).over(w))
+                   name: str | None = None, bucket_seconds: int | None = 86400) -> DataFrame:
+    """Live value where present, else the last known value of the series.
+
+    Skew-safe like ``online_lags``: a running window per (key, time bucket)
+    plus the last value of earlier buckets carried in from a per-bucket table.
+    """
+    keys = _keys(key)
+    order_cols = [order] if isinstance(order, str) else list(order)
+    d = df.withColumn("_bk", _time_bucket(df, order, bucket_seconds))
+    w = Window.partitionBy(*keys, "_bk").orderBy(*order_cols).rowsBetween(UNB, 0)
+    d = d.withColumn("_inb", F.last(live, ignorenulls=True).over(w))
+    last_obs = F.max_by(F.col(live), F.when(F.col(live).isNotNull(), F.struct(*order_cols)))
+    summ = d.groupBy(*keys, "_bk").agg(last_obs.alias("_lb"))
+    wk = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(UNB, -1)
+    carry = summ.select(*keys, "_bk", F.last("_lb", ignorenulls=True).over(wk).alias("_carry"))
+    d = d.join(carry, [*keys, "_bk"], "left")
+    return d.withColumn(name or f"{live}_or_latest", F.coalesce("_inb", "_carry")).drop("_bk", "_inb", "_carry")

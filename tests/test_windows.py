@@ -144,3 +144,30 @@ def test_calendar_weekday_monday_zero(spark):
     codes = dayname_codes(df).orderBy("date").collect()
     assert [r["day_name_code"] for r in codes] == [1, 3]  # Monday=1, Sunday=3 alphabetically
     assert math.isclose(1.0, 1.0)
+
+
+def test_bucketed_history_equals_single_window(spark):
+    """Per-(key, day) windows with carried-in state must equal one window per
+    key, including days without any observation and keys with few rows."""
+    rng = np.random.default_rng(7)
+    n = 400
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.sort(rng.uniform(0, 60 * 86400, n)), unit="s")
+    v = rng.normal(50, 10, n)
+    v[rng.random(n) < 0.6] = np.nan  # many gaps, some days without any observation
+    keys = np.where(rng.random(n) < 0.8, "hot", "cold")
+    pdf = pd.DataFrame({"k": keys, "ts": ts, "i": np.arange(n), "v": v})
+    rows = [(k, t.to_pydatetime(), int(i), None if np.isnan(x) else float(x))
+            for k, t, i, x in zip(pdf["k"], pdf["ts"], pdf["i"], pdf["v"])]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i long, v double")
+    for fn, cols in ((W.online_lags, ["v_lag_1", "v_lag_2", "v_lag_3", "v_rolling_mean_3", "v_change"]),
+                     (W.online_lags_cascade, ["v_lag_1", "v_lag_2", "v_lag_3", "v_rolling_mean_3", "v_trend"])):
+        a = fn(df, "v", key="k", order=["ts", "i"]).select("i", *cols).toPandas().sort_values("i")
+        b = fn(df, "v", key="k", order=["ts", "i"], bucket_seconds=None).select("i", *cols).toPandas().sort_values("i")
+        pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+    a = W.live_or_latest(df, "v", key="k", order=["ts", "i"]).select("i", "v_or_latest").toPandas().sort_values("i")
+    b = W.live_or_latest(df, "v", key="k", order=["ts", "i"], bucket_seconds=None).select("i", "v_or_latest") \
+        .toPandas().sort_values("i")
+    pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+    ref = pdf.sort_values(["k", "ts"]).groupby("k")["v"].ffill()
+    got = a.set_index("i")["v_or_latest"].reindex(pdf.sort_values(["k", "ts"])["i"]).to_numpy()
+    np.testing.assert_allclose(got.astype(float), ref.to_numpy(dtype=float))
