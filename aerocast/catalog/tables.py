@@ -327,6 +327,24 @@ def q_zip_positional(spark, sf):
     return z.select("station", F.col("pos").cast("bigint").alias("pos"), "left_id", "right_id")
 
 
+@register("zip_positional_time", """SELECT l.user_id, l.pos, l.event_id AS click_id, r.event_id AS purchase_id
+FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos
+      FROM events WHERE event_type = 'click') l
+JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos
+      FROM events WHERE event_type = 'purchase') r
+ON l.user_id = r.user_id AND l.pos = r.pos""")
+def q_zip_positional_time(spark, sf):
+    """i-th click of a user paired with the user's i-th purchase, numbered per
+    (user, day) with carried offsets (skew-safe positions)."""
+    ev = B.table(spark, sf, "events")
+    day = F.to_date("ts")
+    left = ev.where(F.col("event_type") == "click").select("user_id", F.col("event_id").alias("click_id"), "ts")
+    right = ev.where(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("purchase_id"),
+                                                               F.col("ts").alias("pts"))
+    z = J.zip_positional(left, right, "user_id", ["ts", "click_id"], ["pts", "purchase_id"], day, F.to_date("pts"))
+    return z.select("user_id", F.col("pos").cast("bigint").alias("pos"), "click_id", "purchase_id")
+
+
 @register("join_asof", """SELECT l.event_id, l.user_id, strftime(l.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
   CAST(r.event_id AS DOUBLE) AS r_event_id, round(r.value, 6) AS r_value, strftime(r.ts, '%Y-%m-%d %H:%M:%S.%f') AS r_ts
 FROM (SELECT * FROM events WHERE event_type = 'click') l

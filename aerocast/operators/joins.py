@@ -60,13 +60,33 @@ def join_loss(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 
 # --- J4 ------------------------------------------------------------------------
-def zip_positional(left: DataFrame, right: DataFrame, key, left_order, right_order) -> DataFrame:
-    """Pair the i-th row of each side within a key (row_number join)."""
+def positions(df: DataFrame, key, order, bucket=None, name: str = "pos") -> DataFrame:
+    """1-based position of each row within its key in ``order``.
+
+    With ``bucket`` (a column non-decreasing in ``order``, e.g. the day of a
+    timestamp) the numbering runs per (key, bucket) and is offset by the row
+    count of earlier buckets from a small per-bucket table, so a key holding a
+    third of all rows is numbered by many tasks instead of one.
+    """
+    keys = _on(key)
+    if bucket is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*_on(order))))
+    d = df.withColumn("_bk", bucket)
+    d = d.withColumn("_rb", F.row_number().over(Window.partitionBy(*keys, "_bk").orderBy(*_on(order))))
+    cnt = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    off = cnt.select(*keys, "_bk", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = d.join(off, [*keys, "_bk"])
+    return d.withColumn(name, F.col("_off") + F.col("_rb")).drop("_bk", "_rb", "_off")
+
+
+def zip_positional(left: DataFrame, right: DataFrame, key, left_order, right_order,
+                   left_bucket=None, right_bucket=None) -> DataFrame:
+    """Pair the i-th row of each side within a key (join on (key, position);
+    positions are unique per side, so the join itself never skews)."""
     keys = _on(key)
-    wl = Window.partitionBy(*keys).orderBy(*_on(left_order))
-    wr = Window.partitionBy(*keys).orderBy(*_on(right_order))
-    return (left.withColumn("pos", F.row_number().over(wl))
-            .join(right.withColumn("pos", F.row_number().over(wr)), [*keys, "pos"], "inner"))
+    return (positions(left, keys, left_order, left_bucket)
+            .join(positions(right, keys, right_order, right_bucket), [*keys, "pos"], "inner"))
 
 
 # --- J5 ------------------------------------------------------------------------

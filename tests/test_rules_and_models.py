@@ -151,3 +151,14 @@ def test_normalize_station_rejects(spark):
     assert set(okd) == {"A1", "A6"} and okd["A1"]["pm25"] == 3.0 and okd["A6"]["station_name"] == "Station A6"
     assert {r["station_id"]: r["reason"] for r in rej.collect()} == {
         "A2": "no_aqi", "A3": "status", "A4": "payload", "A5": "non_numeric"}
+
+
+def test_bucketed_positions_equal_row_number(spark):
+    from datetime import datetime, timedelta
+    rng = np.random.default_rng(3)
+    rows = [("hot" if rng.random() < 0.7 else "cold", datetime(2024, 1, 1) + timedelta(seconds=float(s)), i)
+            for i, s in enumerate(rng.uniform(0, 20 * 86400, 500))]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, i long")
+    a = J.positions(df, "k", ["ts", "i"], F.to_date("ts")).select("i", "pos").toPandas().sort_values("i")
+    b = J.positions(df, "k", ["ts", "i"]).select("i", "pos").toPandas().sort_values("i")
+    assert a["pos"].tolist() == b["pos"].tolist()
