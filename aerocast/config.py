@@ -54,6 +54,15 @@ GUIDANCE = (
 POLLUTANT_LIMITS = (("pm25", 60), ("pm10", 100), ("ozone", 100))
 LIMIT_COLOURS = ("#34d399", "#fbbf24", "#fb7185")
 
+# Random-forest search grid of the reference (24 points), in MLlib parameter names.
+# max_depth None -> 30 (MLlib's maximum); max_features 0.7 -> "0.7".
+REFERENCE_RF_GRID = {
+    "numTrees": (200, 300),
+    "maxDepth": (8, 12, 30),
+    "minInstancesPerNode": (1, 2),
+    "featureSubsetStrategy": ("sqrt", "0.7"),
+}
+
 # Weekday names in Monday=0 order; the legacy codes are their alphabetical rank.
 WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -132,3 +141,15 @@ class ForecastSpec:
     seed: int = 42
     # concurrent fold fits submitted from the driver (independent Spark jobs)
     fit_parallelism: int = 6
+    # optional searches: tuples of MLlib parameter dicts; empty = the single
+    # configuration above. The forest picks by mean fold MAE on the target
+    # (grid-search semantics), boosted trees by pooled MAE on levels.
+    rf_grid: tuple = ()
+    gbt_grid: tuple = ()
+
+
+def grid_points(grid: dict) -> tuple:
+    """Expand {param: values} into a tuple of parameter dicts (product order)."""
+    from itertools import product
+    names = list(grid)
+    return tuple(dict(zip(names, combo)) for combo in product(*(grid[n] for n in names)))

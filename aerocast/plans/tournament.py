@@ -89,55 +89,77 @@ def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRes
                            model, {"alpha": spec.alphas[best]})
 
 
-def _mllib_oof(df: DataFrame, spec: ForecastSpec, make, is_delta: bool):
+def _assembled(df: DataFrame, spec: ForecastSpec) -> DataFrame:
     fs = spec.features
     asm = VectorAssembler(inputCols=fs.feature_cols(), outputCol="features")
-    data = asm.transform(df).select(fs.key, fs.date, "features", "target", "true_level", "base_pred",
+    return asm.transform(df).select(fs.key, fs.date, "features", "target", "true_level", "base_pred",
                                     "weight", "block").cache()
-    def fit_fold(kf):
-        # kf = 0 is the final refit on every row
-        return make().fit(data.where(F.col("block") < kf) if kf else data)
 
-    # the fold fits are independent Spark jobs: submit them together
+
+def _fold_oof(data: DataFrame, spec: ForecastSpec, make, is_delta: bool) -> DataFrame:
+    """Fit folds 1..n (train on blocks < k) concurrently, predict block k."""
+    fs = spec.features
     with ThreadPoolExecutor(max_workers=spec.fit_parallelism) as pool:
-        models = list(pool.map(fit_fold, range(0, spec.n_splits + 1)))
-    parts = []
-    for kf in range(1, spec.n_splits + 1):
-        p = models[kf].transform(data.where(F.col("block") == kf)).withColumnRenamed("prediction", "pred")
-        parts.append(p.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred"))
+        models = list(pool.map(lambda kf: make().fit(data.where(F.col("block") < kf)),
+                               range(1, spec.n_splits + 1)))
+    parts = [m.transform(data.where(F.col("block") == kf)).withColumnRenamed("prediction", "pred")
+             .select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block")
+             for kf, m in zip(range(1, spec.n_splits + 1), models)]
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return data, _recon(oof, is_delta), models[0]
+    return _recon(oof, is_delta)
+
+
+def _search(df: DataFrame, spec: ForecastSpec, builder, grid: tuple, default: dict, is_delta: bool,
+            by_fold_mae: bool):
+    """Evaluate every parameter set; keep the first best (fold-mean MAE on the
+    target, or pooled MAE on levels), refit it on all rows."""
+    data = _assembled(df, spec)
+    best = None
+    for params in (grid or (default,)):
+        oof = _fold_oof(data, spec, lambda p=params: builder(p), is_delta).cache()
+        if by_fold_mae:
+            score = (oof.groupBy("block").agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("m"))
+                     .agg(F.avg("m")).collect()[0][0])
+        else:
+            score = _pooled(oof, is_delta)[0]
+        if best is None or score < best[0]:
+            if best is not None:
+                best[2].unpersist()
+            best = (score, params, oof)
+        else:
+            oof.unpersist()
+    _, params, oof = best
+    mae, rmse, r2 = _pooled(oof, is_delta)
+    final = builder(params).fit(data)
+    oof.unpersist()
+    data.unpersist()
+    return params, oof, final, (mae, rmse, r2)
 
 
 def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
     fs = spec.features
 
-    def make():
+    def builder(p):
         return RandomForestRegressor(featuresCol="features", labelCol="target", weightCol="weight",
-                                     numTrees=spec.rf_trees, maxDepth=spec.rf_depth, seed=spec.seed)
-    data, oof, final = _mllib_oof(df, spec, make, is_delta)
-    mae, rmse, r2 = _pooled(oof, is_delta)
-    data.unpersist()
+                                     seed=spec.seed, **p)
+    default = {"numTrees": spec.rf_trees, "maxDepth": spec.rf_depth}
+    params, oof, final, (mae, rmse, r2) = _search(df, spec, builder, spec.rf_grid, default, is_delta, True)
     return CandidateResult("RandomForest", "mllib", mae, rmse, r2,
-                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
-                           {"numTrees": spec.rf_trees, "maxDepth": spec.rf_depth})
+                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final, params)
 
 
 def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
     fs = spec.features
 
-    def make():
-        return GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight",
-                            maxIter=spec.gbt_iters, maxDepth=spec.gbt_depth, lossType="absolute",
-                            seed=spec.seed)
-    data, oof, final = _mllib_oof(df, spec, make, is_delta)
-    mae, rmse, r2 = _pooled(oof, is_delta)
-    data.unpersist()
+    def builder(p):
+        return GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", lossType="absolute",
+                            seed=spec.seed, **p)
+    default = {"maxIter": spec.gbt_iters, "maxDepth": spec.gbt_depth}
+    params, oof, final, (mae, rmse, r2) = _search(df, spec, builder, spec.gbt_grid, default, is_delta, False)
     return CandidateResult("boosted_trees", "mllib", mae, rmse, r2,
-                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final,
-                           {"maxIter": spec.gbt_iters, "maxDepth": spec.gbt_depth})
+                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final, params)
 
 
 RUNNERS = {"RandomForest": run_forest, "Ridge": run_ridge, "boosted_trees": run_boosted}
