@@ -163,9 +163,12 @@ def q_ridge(spark, sf):
 def q_oof_predict(spark, sf):
     """Out-of-fold predictions of the ridge candidate (first block NULL-free: absent)."""
     spec = ForecastSpec()
-    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None)
+    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
     r = TN.run_ridge(df, spec, False)
-    return rounded(r.oof.select("series_key", "date", "oof_level"))
+    # cut the lineage (reliable checkpoint under spark.checkpoint.dir), then release the cache
+    oof = r.oof.select("series_key", "date", "oof_level").checkpoint(eager=True)
+    df.unpersist()
+    return rounded(oof)
 
 
 @register("tournament")
