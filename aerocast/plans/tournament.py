@@ -28,7 +28,7 @@ from aerocast.config import ANCHOR_STRENGTHS, ForecastSpec
 from aerocast.operators.stats import regression_metrics
 from aerocast.plans import folds as FO
 from aerocast.plans import ridge as RG
-from aerocast.session import ensure_checkpoint_dir
+from aerocast.session import ensure_checkpoint_dir, tune_for_wide_plans
 
 
 @dataclass
@@ -44,6 +44,7 @@ class CandidateResult:
 
 
 def horizon_frame(feats: DataFrame, spec: ForecastSpec, h: int, upstream: DataFrame | None) -> DataFrame:
+    tune_for_wide_plans(feats.sparkSession)
     fs = spec.features
     k, d = fs.key, fs.date
     df = FO.horizon_targets(feats, fs.target, h, k, d)
