@@ -3,7 +3,7 @@
 Value-checked queries use models whose fit is itself SQL-expressible (AR(1)
 regressions via ``regr_slope``/``regr_intercept``, a one-feature closed-form
 weighted ridge, persistence baselines), so DuckDB can recompute the whole
-chain. The full tournament (forests, boosted trees, 36-feature ridge) is
+chain. The full tournament (forests, boosted trees, 37-feature ridge) is
 registered too, with a rows-only check.
 """
 
@@ -367,3 +367,22 @@ def serve(spark, feats, spec: ForecastSpec):
 @register("serve_forecast")
 def q_serve_forecast(spark, sf):
     return rounded(serve(spark, _feats(spark, sf), ForecastSpec()))
+
+
+# ----------------------------------------------------------------- M18 / J8 (rows-only)
+@register("sampled_shapley")
+def q_sampled_shapley(spark, sf):
+    """Permutation-sampling Shapley attributions of a 37-feature ridge for
+    150 sampled days against 50 sampled background days."""
+    from aerocast.plans.explain import sampled_shapley
+    spec = ForecastSpec()
+    fs = spec.features
+    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
+    cols = fs.feature_cols()
+    icpt, beta = RG.fit_ridge(RG.block_gramians(df, cols, "target", "weight"), 10.0, len(cols))
+    champ = TN.CandidateResult("Ridge", "ridge", 0.0, 0.0, 0.0, None,
+                               {"intercept": icpt, "coef": list(beta), "features": cols})
+    phi = sampled_shapley(df, [fs.key, fs.date], cols,
+                          lambda d, name: TN.raw_prediction(champ, d, cols, name)).checkpoint(eager=True)
+    df.unpersist()
+    return rounded(phi)

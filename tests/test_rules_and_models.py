@@ -162,3 +162,24 @@ def test_bucketed_positions_equal_row_number(spark):
     a = J.positions(df, "k", ["ts", "i"], F.to_date("ts")).select("i", "pos").toPandas().sort_values("i")
     b = J.positions(df, "k", ["ts", "i"]).select("i", "pos").toPandas().sort_values("i")
     assert a["pos"].tolist() == b["pos"].tolist()
+
+
+def test_sampled_shapley_is_exact_for_linear_models(spark):
+    """With one background row z0, every permutation sample of a linear model
+    gives b_j (x_j - z0_j), so the estimate must equal it exactly."""
+    from aerocast.operators.setops import sample_seeded
+    from aerocast.plans.explain import sampled_shapley
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(300, 3)), columns=["a", "b", "c"]).assign(id=np.arange(300))
+    df = spark.createDataFrame(pdf)
+    coef = {"a": 2.0, "b": -1.0, "c": 0.5}
+
+    def score(d, name):
+        return d.withColumn(name, sum((F.col(c) * w for c, w in coef.items()), F.lit(1.0)))
+    phi = sampled_shapley(df, ["id"], list(coef), score, n_rows=20, n_background=1, n_samples=8).toPandas()
+    z0 = sample_seeded(df, ["id"], 1, 43).toPandas().iloc[0]
+    x = pdf.set_index("id")
+    assert len(phi) == 60
+    for _, r in phi.iterrows():
+        expect = coef[r["feature"]] * (x.loc[r["id"], r["feature"]] - z0[r["feature"]])
+        assert r["attribution"] == pytest.approx(expect, abs=1e-9)
