@@ -93,6 +93,11 @@ def test_exact_quantiles_with_a_hot_value(spark):
     got = {r["p"]: r["q"] for r in exact_quantiles(df, "v", [0.1, 0.25, 0.5, 0.9], ["g"], buckets=16).collect()}
     for p, q in got.items():
         assert q == pytest.approx(np.quantile(vals, p), abs=1e-12)
+    # force refinement rounds: ranges larger than 300 rows are cut again
+    probs = [0.0, 0.1, 0.333, 0.5, 0.77, 1.0]
+    fine = {r["p"]: r["q"] for r in exact_quantiles(df, "v", probs, ["g"], buckets=8, max_candidates=300).collect()}
+    for p in probs:
+        assert fine[p] == pytest.approx(np.quantile(vals, p), abs=1e-12)
 
 
 def test_join_asof_across_bucket_boundaries(spark):
