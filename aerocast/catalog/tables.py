@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from aerocast import bindings as B
 from aerocast.catalog.registry import register, rounded
 from aerocast.catalog.series import DAILY_SQL, _daily
-from aerocast.config import AQI_BANDS, CITY_CENTRE, GUIDANCE, KELVIN_OFFSET, LIMIT_COLOURS, POLLUTANT_LIMITS, \
-    WEEKDAY_NAMES
+from aerocast.config import AQI_BANDS, CITY_CENTRE, GUIDANCE, KELVIN_OFFSET, LIMIT_COLOURS, MIN_HISTORY_ROWS, \
+    POLLUTANT_LIMITS, WEEKDAY_NAMES
 from aerocast.functions import calendar as C
 from aerocast.functions import rules as R
 from aerocast.operators import joins as J
@@ -299,12 +299,12 @@ def q_backfill_rows(spark, sf):
 @register("require_history", """WITH pd AS (SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS date,
   avg(l_extendedprice) AS y FROM lineitem GROUP BY 1, 2)
 SELECT part, strftime(date, '%Y-%m-%d') AS date, round(y, 6) AS y FROM pd
-WHERE part IN (SELECT part FROM pd GROUP BY part HAVING count(DISTINCT date) >= 23)""")
+WHERE part IN (SELECT part FROM pd GROUP BY part HAVING count(DISTINCT date) >= """ + str(MIN_HISTORY_ROWS) + ")")
 def q_require_history(spark, sf):
     li = B.table(spark, sf, "lineitem")
     pd_ = li.groupBy(F.col("l_partkey").alias("part"), F.to_date("l_shipdate").alias("date")).agg(
         F.avg("l_extendedprice").alias("y"))
-    return rounded(P.require_history(pd_, "part", 23))
+    return rounded(P.require_history(pd_, "part", MIN_HISTORY_ROWS))
 
 
 @register("numeric_only", "SELECT c_custkey, c_nationkey, round(c_acctbal, 6) AS c_acctbal FROM customer")

@@ -28,7 +28,6 @@ CANDIDATE_ORDER = ("RandomForest", "Ridge", "boosted_trees")
 HOLDOUT_FRACTION = 0.2
 HOLDOUT_SEED = 42
 KELVIN_OFFSET = 273.15
-DEFAULT_CITY = "Karachi"
 CITY_CENTRE = (24.8607, 67.0011)
 RAIN_KEYS = {"current": "1h", "forecast": "3h"}
 
@@ -133,7 +132,7 @@ class ForecastSpec:
     n_splits: int = N_SPLITS
     half_life_days: float = RECENCY_HALF_LIFE_DAYS
     alphas: tuple = RIDGE_ALPHAS
-    candidates: tuple = ("RandomForest", "Ridge", "boosted_trees")
+    candidates: tuple = CANDIDATE_ORDER
     rf_trees: int = 20
     rf_depth: int = 8
     gbt_iters: int = 20

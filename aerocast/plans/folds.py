@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerocast.config import HOLDOUT_FRACTION, HOLDOUT_SEED
+
 
 def recency_weights(df: DataFrame, date: str = "date", half_life_days: float = 75.0,
                     name: str = "weight") -> DataFrame:
@@ -77,7 +79,7 @@ def invert_target_scale(df: DataFrame, scaled: str, name: str = "target_restored
     return df.withColumn(name, F.col(scaled) * F.col("target_std") + F.col("target_mean"))
 
 
-def holdout_split(df: DataFrame, key: Sequence[str], fraction: float = 0.2, seed: int = 42,
+def holdout_split(df: DataFrame, key: Sequence[str], fraction: float = HOLDOUT_FRACTION, seed: int = HOLDOUT_SEED,
                   name: str = "split") -> DataFrame:
     """Stable random split by hashing the key: the same row lands on the
     same side on any partitioning and any rerun."""

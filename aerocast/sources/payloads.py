@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.config import FORECAST_SLOTS, KELVIN_OFFSET
+from aerocast.config import FORECAST_SLOTS, KELVIN_OFFSET, RAIN_KEYS
 
 MANIFEST_SCHEMA = ("map<string, struct<model_type: string, kind: string, file: string, is_delta: boolean, "
                    "mae: double, rmse: double, r2: double, evaluation: string, scaler_file: string, "
@@ -95,7 +95,7 @@ def normalize_current(df: DataFrame, weather_col: str = "weather", pollution_col
         (F.col("_w.main.temp") - KELVIN_OFFSET).alias("temperature"),
         F.col("_w.main.humidity").alias("humidity"), F.col("_w.main.pressure").alias("pressure"),
         F.col("_w.wind.speed").alias("wind_speed"),
-        F.coalesce(F.col("_w.rain").getItem("1h"), F.lit(0.0)).alias("rain"),
+        F.coalesce(F.col("_w.rain").getItem(RAIN_KEYS["current"]), F.lit(0.0)).alias("rain"),
         comp("pm10").alias("pm10"), comp("pm2_5").alias("pm25"), comp("co").alias("carbon_monoxide"),
         comp("no2").alias("nitrogen_dioxide"), comp("so2").alias("sulphur_dioxide"), comp("o3").alias("ozone"))
 
@@ -114,7 +114,7 @@ def forecast_slots(df: DataFrame, weather_col: str = "forecast", pollution_col:
         *key, F.col("pos").cast("int").alias("pos"), F.col("_w.dt_txt").alias("date"),
         (F.col("_w.main.temp") - KELVIN_OFFSET).alias("temperature"), F.col("_w.main.humidity").alias("humidity"),
         F.col("_w.main.pressure").alias("pressure"), F.col("_w.wind.speed").alias("wind_speed"),
-        F.coalesce(F.col("_w.rain").getItem("3h"), F.lit(0.0)).alias("rain"), F.col("_w.clouds.all").alias("clouds"),
+        F.coalesce(F.col("_w.rain").getItem(RAIN_KEYS["forecast"]), F.lit(0.0)).alias("rain"), F.col("_w.clouds.all").alias("clouds"),
         comp("pm10").alias("pm10"), comp("pm2_5").alias("pm25"), comp("co").alias("carbon_monoxide"),
         comp("no2").alias("nitrogen_dioxide"), comp("so2").alias("sulphur_dioxide"), comp("o3").alias("ozone"))
 
