@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +39,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from aerocast.llm.token_counts import count_tokens
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+OP10_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, unnest(range(len(lines) - 2)) AS pos, lines FROM l WHERE len(lines) >= 3),
+k AS (SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS win FROM w),
+n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS occurrence FROM k),
+g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM n, (SELECT unnest([0, 1, 2]) AS o) WHERE occurrence > 1),
+e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM l),
+r AS (SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.pos) AS kept
+      FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT l.doc_id, len(l.lines)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM l LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+@query("op10_line_dedup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.line_dedup import dedup_lines
+    kept = dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
