@@ -60,3 +60,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.line_dedup import dedup_lines
     kept = dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.url_filter import filter_urls
+    return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
