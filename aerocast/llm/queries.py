@@ -76,3 +76,10 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.url_filter import filter_urls
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.decontaminate import find_leaks
+    leaks = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
