@@ -83,3 +83,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.decontaminate import find_leaks
     leaks = find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
+@query("op7_minhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.minhash import near_duplicates
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
