@@ -89,3 +89,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.minhash import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS vec FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op6_topk", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.topk import integer_vectors, top_k
+    vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
