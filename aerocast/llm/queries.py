@@ -105,3 +105,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.topk import integer_vectors, top_k
     vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.substring import remove_repeats
+    return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
