@@ -35,7 +35,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     size = total_bytes(docs)
     n = max(1, -(-size // chunk_bytes))
     near = docs.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    splits = [-float("inf"), *sorted(set(near)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(near)) or [0.0]), float("inf")]
     # exact in doubles up to 2**53; larger ids that round alike fall into the same chunk
     at = Bucketizer(splits=splits, inputCol="_id", outputCol="_chunk").transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
     bits = max(0, (size // 6 // BUCKET_KEYS).bit_length())

@@ -111,3 +111,36 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.substring import remove_repeats
     return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM t),
+q AS (SELECT doc_id, i, w, lag(w, 1) OVER d AS v, lag(w, 2) OVER d AS u FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT count(*) AS n FROM p),
+d1 AS (SELECT doc_id, w, count(*) AS c FROM q GROUP BY ALL), t1 AS (SELECT w, sum(c) AS c FROM d1 GROUP BY ALL),
+d2 AS (SELECT doc_id, v, w, count(*) AS c FROM q WHERE i > 0 GROUP BY ALL), t2 AS (SELECT v, w, sum(c) AS c FROM d2 GROUP BY ALL),
+d3 AS (SELECT doc_id, u, v, w, count(*) AS c FROM q WHERE i > 1 GROUP BY ALL), t3 AS (SELECT u, v, w, sum(c) AS c FROM d3 GROUP BY ALL),
+c1 AS (SELECT doc_id, w, t1.c - d1.c AS c FROM d1 JOIN t1 USING (w)),
+c2 AS (SELECT doc_id, v, w, t2.c - d2.c AS c FROM d2 JOIN t2 USING (v, w)),
+c3 AS (SELECT doc_id, u, v, w, t3.c - d3.c AS c FROM d3 JOIN t3 USING (u, v, w)),
+s AS (SELECT q.doc_id, q.i, CASE
+        WHEN c3.c > 0 THEN ln(c3.c::DOUBLE / uv.c)
+        WHEN c2.c > 0 THEN ln(c2.c::DOUBLE / cv.c) + CASE WHEN q.i > 1 THEN ln(0.4) ELSE 0 END
+        ELSE ln(greatest(c1.c, 1)::DOUBLE / n.n) + least(q.i, 2) * ln(0.4) END AS l
+      FROM q CROSS JOIN n JOIN c1 ON c1.doc_id = q.doc_id AND c1.w = q.w
+      LEFT JOIN c1 cv ON cv.doc_id = q.doc_id AND cv.w = q.v
+      LEFT JOIN c2 ON c2.doc_id = q.doc_id AND c2.v = q.v AND c2.w = q.w
+      LEFT JOIN c2 uv ON uv.doc_id = q.doc_id AND uv.v = q.u AND uv.w = q.v
+      LEFT JOIN c3 ON c3.doc_id = q.doc_id AND c3.u = q.u AND c3.v = q.v AND c3.w = q.w),
+g AS (SELECT doc_id, count(*) AS n_words, sum(l) AS log_score FROM s GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(log_score, 0), 4) AS log_score, round(log_score / n_words, 6) AS per_word
+FROM t LEFT JOIN g USING (doc_id)"""
+
+
+@query("op9_stupid_backoff", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.ngram_lm import score_documents
+    scored = score_documents(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
