@@ -198,12 +198,12 @@ def loaded(data: bytes, pattern: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                     with_ids: bool = True) -> DataFrame:
+                     with_ids: bool = True, with_bytes: bool = True) -> DataFrame:
     """Encodes each whole text and decodes the ids again.
 
     Result, a row per input row in any order: ``id_col``, ``n_tokens`` long, ``ids``
-    array<int> and ``decoded`` binary (only if ``with_ids``), ``ids_sha256`` and
-    ``decoded_sha256`` (lower-case hex; ids as little-endian unsigned 32-bit integers).
+    array<int> (if ``with_ids``), ``decoded`` binary (if ``with_bytes`` too), ``ids_sha256``
+    and ``decoded_sha256`` (lower-case hex; ids as little-endian unsigned 32-bit integers).
     A null or empty text has no tokens; a null id stays null; repeated rows stay
     repeated; columns besides the two named are ignored. ``vocabulary`` is the path of a
     rank file on the driver (a few MB, sent to the tasks once); texts are never cut.
@@ -215,7 +215,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     fields = [T.StructField(id_col, id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
               T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
+        if with_bytes:
+            fields.append(T.StructField("decoded", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(data.value, pattern)
@@ -231,10 +233,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                     text_sha.append(hashlib.sha256(back).hexdigest())
                     if with_ids:
                         all_ids.append(np.frombuffer(ids, dtype="<i4"))
-                        texts.append(back)
+                        if with_bytes:
+                            texts.append(back)
                 cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())]
+                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    if with_bytes:
+                        cols.append(pa.array(texts, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))

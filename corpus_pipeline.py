@@ -1,23 +1,84 @@
 """Corpus pipeline over ``documents``: five stages, each calling one operator of aerocast.llm.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
-its result is written to the shared folder as Parquet and read back for the next one.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its
+result is written to the shared folder as Parquet and read back for the next one. All but
+the last return the input's columns (doc_id, text, lang, source, n_chars and any further
+ones). Rows with a null doc_id go through every stage, compared with nothing; rows that
+repeat a doc_id are one document where documents are compared, and the near-duplicate
+stage keeps one of them; null and empty texts are kept unless the classifier rejects
+them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from aerocast.llm.bpe import encode_documents
 from aerocast.llm.common import written
+from aerocast.llm.decontaminate import with_leaks
+from aerocast.llm.line_dedup import dedup_lines
+from aerocast.llm.minhash import near_duplicates
+from aerocast.llm.quality import score_quality
 
-#: Fitted and tokenizer-based stages can't be expressed in SQL; tests hold run() against brute force.
+#: Fitted and tokenizer-based stages can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-STAGES: list = []
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier (operator 4, fitted on the labels) accepts."""
+    return score_quality(docs, _table(spark, sf_dir, "labels")).filter("quality_keep").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are cut out (operator 10); a document of which nothing but white
+    space is left goes, n_chars is counted anew where lines went."""
+    cut = dedup_lines(docs)
+    bare = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cut = cut.filter(~F.coalesce(bare, F.lit(False)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest doc_id (operator 7); of rows
+    that repeat a doc_id one stays."""
+    copies = (near_duplicates(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY).filter(~F.col("kept"))
+              .select(F.col("doc_id").alias("_copy")))
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    kept = docs
+    if not again.isEmpty():
+        once = docs.join(again, docs["doc_id"] == again["_again"], "left_anti")
+        kept = once.union(docs.join(again, docs["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(copies, kept["doc_id"].cast("long") == copies["_copy"], "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go (operator 3)."""
+    return with_leaks(docs, _table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256 and decoded_sha256 of each document (operator 2)."""
+    coded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_bytes=False)
+    return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("encoding", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs
