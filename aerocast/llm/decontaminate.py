@@ -237,8 +237,8 @@ class Index:
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP,
-               answer: float = ANSWER_OVERLAP) -> DataFrame:
-    """Every input row and column, plus ``leaks``: array of (item_id, score, question_overlap, answer_overlap).
+               answer: float = ANSWER_OVERLAP, leaks_col: str = "leaks") -> DataFrame:
+    """Every input row and column, plus ``leaks`` (or another name): array of (item_id, score, question_overlap, answer_overlap).
 
     ``leaks`` (replaced if the input has it) lists by item the benchmark items that the whole
     text holds: score (best passage, 0 to 1) >= threshold, and shares of the question's and
@@ -261,7 +261,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         index = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows if r["text"].strip()]))
         found.append(_search_udf(index, threshold, question, answer, kind)(F.col("text").cast("string")))
     merged = found[0] if blocks == 1 else F.sort_array(F.concat(*found))
-    return docs.drop("leaks").withColumn("leaks", merged)
+    return docs.drop(leaks_col).withColumn(leaks_col, merged)
 
 
 def _search_udf(index, threshold: float, question: float, answer: float, kind: str):

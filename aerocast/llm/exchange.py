@@ -44,6 +44,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
 
 def cells(chunk: int, bucket: np.ndarray, arrays: list[np.ndarray], flags: list[np.ndarray]) -> pa.Table:
     """One row a bucket: the arrays' bytes one after the other, then the flags as bits; bucket is ascending."""
+    if not len(bucket):
+        return CELL.empty_table()
     which, begin = np.unique(bucket, return_index=True)
     end = np.append(begin[1:], len(bucket))
     data = [b"".join([*(x[a:b].tobytes() for x in arrays), *(np.packbits(x[a:b]).tobytes() for x in flags)]) for a, b in zip(begin, end, strict=True)]

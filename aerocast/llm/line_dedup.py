@@ -83,30 +83,30 @@ def _without(size: int):
     return cut
 
 
-def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = WINDOW, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """Removes repeated runs of ``size`` lines.
 
     Result, a row per input row: all input columns, ``text`` without the removed lines
     (the kept ones joined by line feeds, as they were), plus ``n_lines`` and ``n_removed``
-    (long). Occurrences are ordered by (doc_id, hash of the whole text, line); the first
+    (long; other names by ``lines_col``, ``removed_col``). Occurrences are ordered by (doc_id, hash of the whole text, line); the first
     stays, each line covered by a later one goes, in the same document too. Lines end at
     ``\\n`` only and count as they are, empty ones included. A text of fewer lines, empty
     or null, loses nothing (a null text has 0 lines and stays null, an empty one has 1).
     Rows with a null doc_id are kept unchanged and compared with nothing; rows that
     repeat both doc_id and text are one place, so they do not remove each other. Input
-    columns named n_lines or n_removed are replaced.
+    columns of these two names are replaced.
 
     A window that millions of documents share is counted by partial aggregation; the join
     that marks its later occurrences is one that Spark splits when it is skewed.
     """
-    covered = (later_windows(docs, size).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-               .agg(F.collect_set("pos").alias("_later")))
-    keep = docs.drop("n_lines", "n_removed")
-    joined = keep.join(covered, (keep["doc_id"].cast("long") == covered["_id"])
-                       & (F.xxhash64(keep["text"].cast("string")) == covered["_key"]), "left")
+    covered = (later_windows(docs, size).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+               .agg(F.collect_set("pos").alias("__later")))
+    keep = docs.drop(lines_col, removed_col)
+    joined = keep.join(covered, (keep["doc_id"].cast("long") == covered["__id"])
+                       & (F.xxhash64(keep["text"].cast("string")) == covered["__key"]), "left")
     # texts that lose nothing do not go to Python
-    cut = joined.withColumn("_cut", _without(size)(F.when(F.col("_later").isNotNull(), F.col("text")), F.col("_later")))
+    cut = joined.withColumn("__cut", _without(size)(F.when(F.col("__later").isNotNull(), F.col("text")), F.col("__later")))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return (cut.withColumns({"n_lines": n_lines.cast("long"), "n_removed": F.col("_cut.n")})
-            .withColumn("text", F.when(F.col("_later").isNull(), F.col("text")).otherwise(F.col("_cut.text")))
-            .select(*keep.columns, "n_lines", "n_removed"))
+    return (cut.withColumns({lines_col: n_lines.cast("long"), removed_col: F.col("__cut.n")})
+            .withColumn("text", F.when(F.col("__later").isNull(), F.col("text")).otherwise(F.col("__cut.text")))
+            .select(*keep.columns, lines_col, removed_col))

@@ -242,8 +242,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     return QualityModel(words, models[0], models[1], Logistic.fit(logits, y[held], ridge=1.0))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
-    """Scores all documents; every input column, plus quality_score and quality_keep.
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, score_col: str = "quality_score",
+                  keep_col: str = "quality_keep", **bounds) -> DataFrame:
+    """Scores all documents; every input column, plus quality_score and quality_keep (or other names).
 
     ``quality_score`` is the combined probability of being good (quality 1 and not toxic),
     ``quality_keep`` is score >= threshold; input columns of these two names are replaced.
@@ -252,7 +253,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
     there are too few labels, or all are alike, every score is 1. Empty tables give an
     empty result.
     """
-    docs = docs.drop("quality_score", "quality_keep")
+    docs = docs.drop(score_col, keep_col)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **bounds))
 
     def run(batches: Iterator[tuple]) -> Iterator[pa.Array]:
@@ -268,8 +269,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
             yield pa.array(out)
 
     score = F.arrow_udf(_typed(run), T.DoubleType())
-    return (docs.withColumn("quality_score", score(*_columns(docs)))
-            .withColumn("quality_keep", F.col("quality_score") >= threshold))
+    return docs.withColumn(score_col, score(*_columns(docs))).withColumn(keep_col, F.col(score_col) >= threshold)
 
 
 def _typed(run):

@@ -34,18 +34,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier (operator 4, fitted on the labels) accepts."""
-    return score_quality(docs, _table(spark, sf_dir, "labels")).filter("quality_keep").select(*docs.columns)
+    scored = score_quality(docs, _table(spark, sf_dir, "labels"), score_col="__score", keep_col="__keep")
+    return scored.filter("__keep").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut out (operator 10); a document of which nothing but white
     space is left goes, n_chars is counted anew where lines went."""
-    cut = dedup_lines(docs)
-    bare = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cut = dedup_lines(docs, lines_col="__lines", removed_col="__removed")
+    bare = (F.col("__removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = cut.filter(~F.coalesce(bare, F.lit(False)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
@@ -53,18 +54,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id (operator 7); of rows
     that repeat a doc_id one stays."""
     copies = (near_duplicates(docs, shingle=SHINGLE_WORDS, similarity=SIMILARITY).filter(~F.col("kept"))
-              .select(F.col("doc_id").alias("_copy")))
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+              .select(F.col("doc_id").alias("__copy")))
+    again = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__again")
     kept = docs
     if not again.isEmpty():
-        once = docs.join(again, docs["doc_id"] == again["_again"], "left_anti")
-        kept = once.union(docs.join(again, docs["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
-    return kept.join(copies, kept["doc_id"].cast("long") == copies["_copy"], "left_anti").select(*docs.columns)
+        once = docs.join(again, docs["doc_id"] == again["__again"], "left_anti")
+        kept = once.union(docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(copies, kept["doc_id"].cast("long") == copies["__copy"], "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go (operator 3)."""
-    return with_leaks(docs, _table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+    found = with_leaks(docs, _table(spark, sf_dir, "benchmark"), leaks_col="__leaks")
+    return found.filter(F.size("__leaks") == 0).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
