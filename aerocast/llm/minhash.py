@@ -10,6 +10,7 @@ of the set. Steps, all of them joins and groupings:
    not listed where it can't decide.
 3. Overlaps from the lists, first of each list's classes with its smallest class, later of
    classes that are not yet connected; so a group of n similar texts costs about n pairs.
+   Bitmaps of the sketches drop pairs that can't share enough values.
 4. The union-sketch estimate drops pairs that are clearly below the limit.
 5. Full sets, made again from the whole texts, confirm each link; links give components.
 """
@@ -27,14 +28,17 @@ from pyspark.sql import functions as F
 from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, signed, slices, span_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
-#: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is over
-#: six standard deviations away (below 1e-9); sets so small that both are held whole are decided exactly.
-SKETCH, SHARE = 64, 0.5
+#: Values of a sketch. With J >= 0.8 the union sketch of 128 shares 102 +- 4.5 values; fewer than SHARE of 128 is five
+#: standard deviations away (below 1e-6 for a pair just at 0.8); sets so small that both are held whole are exact.
+SKETCH, SHARE = 128, 0.62
+#: Bits of a sketch's bitmap, as 64-bit words, with which most unlike pairs of a list are dropped in the join.
+BITMAP = 8
 #: Lists in which two classes must meet.
 MEET = 4
 #: Links of one leader that one task verifies.
 GROUP = 128
-#: Document ids up to this many are broadcast to select the texts to verify (16 bytes each); beyond, a shuffle join.
+#: Ids of classes in pairs, up to this many, are broadcast to select their sketches and texts (16 bytes each); beyond
+#: that, a shuffle join selects them.
 BROADCAST_IDS = 500_000
 
 
@@ -61,7 +65,7 @@ def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int
 
 
 def _features(docs: DataFrame, shingle: int, size: int) -> DataFrame:
-    """(doc_id, text_key, n, key1, key2, sketch); the keys are two sums over the set, so equal sets have equal keys."""
+    """(doc_id, text_key, n, key1, key2, sketch, bits); the keys are two sums over the set, so equal sets have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, row, h in shingle_sets(large_binaries(batch.column(2)), shingle):
@@ -72,33 +76,46 @@ def _features(docs: DataFrame, shingle: int, size: int) -> DataFrame:
                 kept = np.arange(len(h)) - head[row] < size
                 sizes = np.minimum(np.diff(head), size)
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(signed(h[kept])))
+                bits = np.zeros(m * BITMAP, dtype=np.uint64)
+                at = (h[kept] & np.uint64(64 * BITMAP - 1)).astype(np.int64)
+                np.bitwise_or.at(bits, row[kept] * BITMAP + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+                bitmap = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * BITMAP, pa.int32()), pa.array(signed(bits)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), batch.column(1).slice(first, m), pa.array(np.diff(head).astype(np.int64)),
-                                                  pa.array(keys[0]), pa.array(keys[1]), sketch],
-                                                 names=["doc_id", "text_key", "n", "key1", "key2", "sketch"])
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>")
+                                                  pa.array(keys[0]), pa.array(keys[1]), sketch, bitmap],
+                                                 names=["doc_id", "text_key", "n", "key1", "key2", "sketch", "bits"])
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>, bits array<long>")
 
 
-def _prefixes(classes: DataFrame, similarity: float, size: int, share: float) -> DataFrame:
-    """(id, n, sketch, least, meet, listed): the values under which each class is listed, its rarest ones."""
+def _prefixes(sketches: DataFrame, similarity: float, size: int, share: float) -> DataFrame:
+    """(id, n, meet, due_bits, bits, listed): the values under which each class is listed, its rarest ones."""
     s = F.size("sketch")
     whole = math.floor(size * similarity)  # up to this set size the partner's set is held whole too
     least = F.when(F.col("n") <= whole, F.ceil(F.lit(round(similarity, 6)) * s - 1e-9)).otherwise(F.ceil(F.lit(share) * s)).cast("int")
-    classes = classes.withColumn("least", F.greatest(least, F.lit(1)))
-    classes = classes.withColumn("meet", F.least(F.col("least"), F.when(s < 16, 1).otherwise(MEET)))
-    values = classes.select("id", F.explode("sketch").alias("v"))
+    sketches = sketches.withColumn("least", F.greatest(least, F.lit(1)))
+    sketches = sketches.withColumn("meet", F.least(F.col("least"), F.when(s < 16, 1).otherwise(MEET)))
+    values = sketches.select("id", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     shared = (values.join(common, "v").groupBy("id")
               .agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared")))
+    # a value that the partner lacks takes at most one bit from the common ones
+    due = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x)) - (s - F.col("least"))
+    slim = sketches.select("id", "n", "least", "meet", s.alias("s"), due.alias("due_bits"), "bits")
     # values that no other sketch holds are the rarest; they take their places, but need no list
-    places = F.col("least") * -1 + s + F.col("meet") - (s - F.size("shared"))
-    return (classes.join(shared, "id").withColumn("listed", F.slice("shared.v", F.lit(1), F.greatest(places, F.lit(0))))
-            .filter(F.size("listed") > 0).select("id", "n", "sketch", "meet", "listed"))
+    places = F.col("s") - F.col("least") + F.col("meet") - (F.col("s") - F.size("shared"))
+    return (slim.join(shared, "id").withColumn("listed", F.slice("shared.v", F.lit(1), F.greatest(places, F.lit(0))))
+            .filter(F.size("listed") > 0).select("id", "n", "meet", "due_bits", "bits", "listed"))
 
 
 def _similar_size(a: str, b: str, similarity: float):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * round(similarity * 100))
 
 
+def _share_bits(a: str, b: str):
+    """True if the bitmaps of two classes allow the overlap that each needs."""
+    common = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseAND(F.col(f"{b}.bits")[k])) for k in range(BITMAP)), F.lit(0))
+    return common >= F.greatest(f"{a}.due_bits", f"{b}.due_bits")
+
+
 def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each class with the smallest class of a list, where they meet often enough."""
     at = lists.select(F.explode("listed").alias("v"), "id", "n", "meet")
@@ -111,26 +128,45 @@ def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
 
 def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all classes of different components that meet often enough. A list is first paired by component,
-    so classes that are already connected make no pairs."""
+    so classes that are already connected make no pairs; a component with one class in the list brings its size and
+    bitmap along, so that pairs which can't be alike are dropped in the join itself."""
     named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    at = named.select(F.explode("listed").alias("v"), "id", "n", "meet", "label")
+    me = F.struct("id", "n", "meet", "due_bits", "bits").alias("me")
+    at = named.select(F.explode("listed").alias("v"), "label", me)
     mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
     at = written(at.join(mixed, "v"), "mixed")
-    sides = at.select("v", "label").distinct()
-    two = sides.select("v", F.col("label").alias("la")).join(sides.select("v", F.col("label").alias("lb")), "v").filter("la < lb")
-    a = at.select("v", F.col("label").alias("la"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("meet").alias("ma"))
-    b = at.select("v", F.col("label").alias("lb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("meet").alias("mb"))
-    return (two.join(a, ["v", "la"]).join(b, ["v", "lb"]).filter(_similar_size("na", "nb", similarity))
-            .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-            .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("ma", "mb")).alias("due")).filter("met >= due")
+    sides = at.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k"), F.first("me").alias("me"))
+    one, other = (sides.select("v", F.col("label").alias(f"l{x}"), F.col("k").alias(f"k{x}"), F.col("me").alias(x)) for x in "ab")
+
+    def alike():
+        return _similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
+
+    several = (F.col("ka") > 1) | (F.col("kb") > 1)
+    two = one.join(other, (one["v"] == other["v"]) & (F.col("la") < F.col("lb")) & (several | alike())).select(one["v"], "la", "lb", "ka", "kb", "a", "b")
+    single = two.filter(~several).select("a", "b")
+    # components with several classes in a list: each of theirs
+    left = at.select("v", F.col("label").alias("la"), F.col("me").alias("a"))
+    right = at.select("v", F.col("label").alias("lb"), F.col("me").alias("b"))
+    many = two.filter(several).select("v", "la", "lb").join(left, ["v", "la"])
+    many = many.join(right, (many["v"] == right["v"]) & (many["lb"] == right["lb"]) & alike()).select("a", "b")
+    return (single.union(many).groupBy(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"))
+            .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("a.meet", "b.meet")).alias("due")).filter("met >= due")
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _estimated(pairs: DataFrame, lists: DataFrame, size: int, share: float) -> DataFrame:
+def _wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, text_key) of the classes in the pairs, with a broadcast hint up to BROADCAST_IDS of them."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = classes.select("id", "text_key").join(ids, "id").select(F.col("id").alias("doc_id"), "text_key")
+    return F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, features: DataFrame, size: int, share: float) -> DataFrame:
     """Drops pairs whose union sketch, the smallest k of both sketches, holds too few common values."""
-    sketch = lists.select("id", "sketch")
-    both = (pairs.join(sketch.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a")
-            .join(sketch.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b"))
+    pairs = written(pairs, "pairs")
+    sketch = features.join(_wanted(pairs, classes), ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch")
+    both = (pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a")
+            .join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b"))
 
     @F.arrow_udf("double")
     def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -148,11 +184,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     """The pairs (a, b) whose full sets reach the similarity. The texts that are linked to one leader meet it in
     groups of about GROUP, so a leader of very many links is spread over many tasks."""
     pairs = written(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    n = ids.count()
-    ids = classes.select("id", "text_key").join(ids, F.col("id") == F.col("doc_id")).select("doc_id", "text_key")
-    picked = (texts.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, ["doc_id", "text_key"])
-              .dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    picked = texts.join(_wanted(pairs, classes), ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
     pairs = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
     picked = written(picked, "texts")
@@ -197,15 +229,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     one = features.groupBy("doc_id").agg(F.max(F.struct("n", "key1", "key2", "text_key")).alias("f")).select("doc_id", "f.*")
     classes = (one.filter("n > 0").groupBy("key1", "key2", "n")
                .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
-    sketches = features.select(F.col("doc_id").alias("id"), "text_key", "sketch").dropDuplicates(["id", "text_key"])
-    classes = written(classes.join(sketches, ["id", "text_key"]), "classes")
-    lists = written(_prefixes(classes.select("id", "n", "sketch"), similarity, size, share), "lists")
+    classes = written(classes, "classes")
+    sketches = (features.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_key"), ["id", "text_key"])
+                .dropDuplicates(["id"]).select("id", "n", "sketch", "bits"))
+    lists = written(_prefixes(sketches, similarity, size, share), "lists")
     limit = similarity * share / 0.8  # of the estimate, far below what a link can have
 
-    star = _confirmed(_estimated(_star_pairs(lists, similarity), lists, size, limit), classes, texts, shingle, similarity)
-    star = written(star, "links")
+    star = _star_pairs(lists, similarity)
+    star = written(_confirmed(_estimated(star, classes, features, size, limit), classes, texts, shingle, similarity), "links")
     cross = _cross_pairs(lists, components(star), similarity)
-    rest = written(_confirmed(_estimated(cross, lists, size, limit), classes, texts, shingle, similarity), "links")
+    rest = written(_confirmed(_estimated(cross, classes, features, size, limit), classes, texts, shingle, similarity), "links")
     labels = components(star.union(rest))
     of_class = (classes.select("id", "n", "key1", "key2").join(labels.withColumnRenamed("node", "id"), "id", "left")
                 .select("n", "key1", "key2", F.coalesce("label", "id").alias("label")))
