@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from aerocast.llm.common import LOWER, large_binaries, mix, slices, span_hashes, word_spans
 
 #: Bounds of the samples that the fit sees.
-MAX_LABELLED, MAX_POOL = 20_000, 10_000
+MAX_LABELLED, MAX_POOL = 20_000, 5_000
 #: Words are hashed to so many features, of which those with the strongest evidence are used.
 HASH_BITS, MAX_WORDS, MIN_DOCS, MIN_Z = 18, 384, 8, 4.0
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 1_000
@@ -98,9 +98,11 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 12) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
+        mean, scale = x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float)
         scale = np.where(scale > 1e-9, scale, 1.0)
-        z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
+        z = np.ones((x.shape[0], x.shape[1] + 1), dtype=np.float32)
+        np.subtract(x, mean, out=z[:, :-1], casting="same_kind")
+        z[:, :-1] /= scale.astype(np.float32)
         w = np.zeros(z.shape[1])
         penalty = np.full(z.shape[1], ridge)
         penalty[-1] = 1e-3
@@ -109,7 +111,11 @@ class Logistic:
         for _ in range(steps):
             p = 1 / (1 + np.exp(-z @ w))
             gradient = z.T @ (p - y) + penalty * w
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-5)[:, None]).T @ z + np.diag(penalty), gradient)
+            curve, hessian = np.maximum(p * (1 - p), 1e-5), np.diag(penalty)
+            for at in range(0, len(z), 2048):  # in blocks, to hold no second copy of the features
+                part = z[at:at + 2048].astype(float)
+                hessian = hessian + (part * curve[at:at + 2048, None]).T @ part
+            step = np.linalg.solve(hessian, gradient)
             rate = 1.0
             while rate > 1e-4 and loss(w - rate * step) > now:
                 rate /= 2
@@ -170,11 +176,11 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, n
         return (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_STATS)), np.zeros((0, META_DIM + 1)), np.zeros(0, np.int64), np.zeros(0, np.int64))
     flat = lambda c: np.asarray(pa.concat_arrays([x.flatten() for x in got[c].chunks]))
     sizes = np.asarray(got["words"].combine_chunks().value_lengths()) if n else []
-    row, word = np.repeat(np.arange(n), sizes), flat("words").astype(np.int64)
+    row, word = np.repeat(np.arange(n, dtype=np.int32), sizes), flat("words")
     ids_, stats = np.asarray(got["doc_id"]), flat("stats").reshape(n, -1)
     # one order whatever task a document came from
     order = np.lexsort((np.bincount(row, weights=word, minlength=n), stats[:, 0], ids_))
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32)
     rank[order] = np.arange(n)
     row = rank[row]
     by = np.lexsort((word, row))
@@ -192,7 +198,7 @@ def _select_words(row: np.ndarray, word: np.ndarray, y: np.ndarray, rate: float)
 
 
 def _matrix(stats: np.ndarray, row: np.ndarray, word: np.ndarray, words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(stats), stats.shape[1] + len(words)))
+    x = np.zeros((len(stats), stats.shape[1] + len(words)), dtype=np.float32)
     x[:, :stats.shape[1]] = stats
     if len(words):
         at = np.minimum(np.searchsorted(words, word), len(words) - 1)
@@ -222,6 +228,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     use = in_train[row]
     words = _select_words(row[use], word[use], y, float(y[train].mean()))
     views = [_matrix(stats, row, word, words), meta]
+    del row, word, use
     taught = [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in views]
     free = np.flatnonzero(y < 0)
     models: list[Logistic] = []
