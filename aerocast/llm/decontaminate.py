@@ -218,31 +218,33 @@ class Index:
             size = (ends - begins)[hopeful]
             inside = np.repeat(begins[hopeful] - np.concatenate(([0], np.cumsum(size)[:-1]))[:len(size)], size) + np.arange(size.sum())
             hopeful = hopeful[self.hopeful(np.repeat(np.arange(len(hopeful)), size), term[inside], threshold)]
-            best: dict[tuple[int, int], float] = {}
-            rows = np.searchsorted(base, passage[begins[hopeful]], side="right") - 1
-            for k, r in zip(hopeful.tolist(), rows.tolist(), strict=True):
-                for item, score in self.search(term[begins[k]:ends[k]].tolist(), threshold):
-                    best[r, item] = max(score, best.get((r, item), 0.0))
-            grams: dict[tuple[int, int], np.ndarray] = {}
-            for (r, item), score in sorted(best.items()):
-                nq, q, na, a = self.parts[item]
-                own = words[head[r]:head[r + 1]]
-                share = []
-                for n, part_grams in ((nq, q), (na, a)):
-                    if (r, n) not in grams:
-                        grams[r, n] = np.unique(window_hashes(own, n)) if n else np.zeros(0, np.uint64)
-                    share.append(float(np.isin(part_grams, grams[r, n], assume_unique=True).mean()) if len(part_grams) else 1.0)
-                if share[0] >= question and share[1] >= answer:
-                    yield first + r, item, score, share[0], share[1]
+            best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            number = passage[begins[hopeful]]
+            rows = np.searchsorted(base, number, side="right") - 1
+            for k, p, r in zip(hopeful.tolist(), number.tolist(), rows.tolist(), strict=True):
+                hits = self.search(term[begins[k]:ends[k]].tolist(), threshold)
+                if not hits:
+                    continue
+                # an item that the passage holds in part lies within a passage's length around it
+                start = int(head[r]) + (p - int(base[r])) * half
+                near = words[max(int(head[r]), start - self.passage):min(int(head[r + 1]), start + 2 * self.passage)]
+                grams = {n: np.unique(window_hashes(near, n)) for n in range(1, NGRAM + 1)}
+                for item, score in hits:
+                    nq, q, na, a = self.parts[item]
+                    share = [float(np.isin(g, grams[n], assume_unique=True).mean()) if len(g) else 1.0 for n, g in ((nq, q), (na, a))]
+                    if share[0] >= question and share[1] >= answer:
+                        best[r, item] = max((score, *share), best.get((r, item), (0.0, 0.0, 0.0)))
+            for (r, item), found in sorted(best.items()):
+                yield first + r, item, *found
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP,
                answer: float = ANSWER_OVERLAP, leaks_col: str = "leaks") -> DataFrame:
     """Every input row and column, plus ``leaks`` (or another name): array of (item_id, score, question_overlap, answer_overlap).
 
-    ``leaks`` (replaced if the input has it) lists by item the benchmark items that the whole
-    text holds: score (best passage, 0 to 1) >= threshold, and shares of the question's and
-    answer's word n-grams >= their limits. Upper and lower case and punctuation do not count.
+    ``leaks`` (replaced if the input has it) lists by item the benchmark items that some place
+    of the whole text holds: score (best passage, 0 to 1) >= threshold, and shares of the
+    question's and answer's word n-grams, within a passage's length around, >= their limits. Upper and lower case and punctuation do not count.
     Null and empty texts, and all texts if the benchmark is empty, have an empty list;
     items with null id or without words match nothing; repeated item ids are merged by the
     best score; rows with null or repeated doc_id are judged like all others.
