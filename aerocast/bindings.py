@@ -70,7 +70,7 @@ def station_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station readings with priority attached by a broadcast of the station dimension."""
+    """Station readings with priority attached from the station dimension."""
     ev = table(spark, sf_dir, "events")
     pr = station_priority(spark, sf_dir)
     rd = ev.select(
@@ -79,8 +79,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    from aerocast.operators.joins import bounded_broadcast
-    return rd.join(bounded_broadcast(pr, 100_000), "station")
+    return rd.join(pr, "station")
 
 
 STATIONS_SQL = """

@@ -64,7 +64,7 @@ def q_horizon_targets(spark, sf):
 
 _FOLDS_SQL = f"""fo AS (SELECT *, CASE WHEN n // 6 = 0 OR rn < n - (n // 6) * 5 THEN 0
   ELSE (rn - (n - (n // 6) * 5)) // (n // 6) + 1 END AS block FROM (
-  SELECT *, row_number() OVER ({_P}) - 1 AS rn, count(*) OVER (PARTITION BY series_key) AS n FROM daily))"""
+  SELECT *, dense_rank() OVER (ORDER BY date) - 1 AS rn, (SELECT count(DISTINCT date) FROM daily) AS n FROM daily))"""
 
 
 @register("ts_folds", _DAILY_ONLY + ", " + _FOLDS_SQL + """
@@ -108,7 +108,7 @@ def _gram_frame(spark, sf):
 
 
 @register("gramian", _DAILY_ONLY + ", " + _W_SQL.replace("FROM daily)", "FROM daily)") + ", " + _FOLDS_SQL.replace(
-    "FROM daily))", "FROM wt))") + """,
+    "AS n FROM daily))", "AS n FROM wt))") + """,
 m AS (SELECT block, sum(weight * x1) / sum(weight) AS m_x1, sum(weight * x2) / sum(weight) AS m_x2,
   sum(weight * x3) / sum(weight) AS m_x3 FROM fo GROUP BY block),
 c AS (SELECT f.block, f.weight, f.x1 - m.m_x1 AS x1, f.x2 - m.m_x2 AS x2, f.x3 - m.m_x3 AS x3 FROM fo f JOIN m USING (block)),
@@ -304,7 +304,9 @@ def q_attribution_rank(spark, sf):
 
 
 # ----------------------------------------------------------------- M16
-@register("holdout_split")
+@register("holdout_split", f"""SELECT l_orderkey, l_linenumber, l_extendedprice,
+  CASE WHEN substring(md5(l_orderkey || '|' || l_linenumber || '|42'), 1, 8) < '{int(0.2 * 16**8):08x}' THEN 'test' ELSE 'train' END AS split
+FROM lineitem""")
 def q_holdout_split(spark, sf):
     li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return FO.holdout_split(li, ["l_orderkey", "l_linenumber"], 0.2, 42)
@@ -369,7 +371,29 @@ def q_serve_forecast(spark, sf):
     return rounded(serve(spark, _feats(spark, sf), ForecastSpec()))
 
 
-# ----------------------------------------------------------------- M18 / J8 (rows-only)
+# ----------------------------------------------------------------- M18 / J8
+_SHAP_COEF = {"x1": 1.5, "x2": -20.0, "x3": 7.25}
+
+
+@register("shapley_linear", _DAILY_ONLY + ", " + """f AS (SELECT series_key, date, x1, x2, x3, series_key || '|' || date AS id FROM daily),
+r AS (SELECT * FROM f ORDER BY md5(id || '|42'), series_key, date LIMIT 150),
+z AS (SELECT *, row_number() OVER (ORDER BY series_key, date) - 1 AS k FROM (SELECT * FROM f ORDER BY md5(id || '|43'), series_key, date LIMIT 50)),
+d AS (SELECT r.*, CAST('0x' || substring(md5(id || '|' || m || '|42'), 1, 8) AS BIGINT) % (SELECT count(*) FROM z) AS k
+      FROM r, (SELECT unnest(range(10)) AS m)),
+""" + "p AS (" + " UNION ALL ".join(
+    f"SELECT d.series_key, d.date, '{c}' AS feature, avg(CAST({b!r} AS DOUBLE) * (d.{c} - z.{c})) AS attribution FROM d JOIN z USING (k) GROUP BY ALL"
+    for c, b in _SHAP_COEF.items()) + """)
+SELECT series_key, strftime(date, '%Y-%m-%d') AS date, feature, round(attribution, 6) AS attribution FROM p""")
+def q_shapley_linear(spark, sf):
+    """Sampled attributions of a fixed linear model: the draws are md5-based, so the oracle repeats them."""
+    from aerocast.plans.explain import sampled_shapley
+
+    def score(d, name):
+        return d.withColumn(name, sum((F.col(c) * b for c, b in _SHAP_COEF.items()), F.lit(3.0)))
+    d = _daily(spark, sf).select("series_key", "date", *_SHAP_COEF)
+    return rounded(sampled_shapley(d, ["series_key", "date"], list(_SHAP_COEF), score))
+
+
 @register("sampled_shapley")
 def q_sampled_shapley(spark, sf):
     """Permutation-sampling Shapley attributions of a 37-feature ridge for

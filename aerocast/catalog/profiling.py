@@ -160,10 +160,13 @@ def q_corr_rank(spark, sf):
     return rounded(S.corr_rank(_daily(spark, sf), ["x1", "x2", "x3", "x4"], "y"))
 
 
-@register("scatter_sample")
+@register("scatter_sample", """SELECT l_orderkey, l_linenumber, feature, round(value, 6) AS value, round(l_extendedprice, 6) AS target
+FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(l_quantity AS DOUBLE) AS l_quantity,
+  CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem)
+UNPIVOT (value FOR feature IN (l_quantity, l_discount, l_tax)) WHERE l_extendedprice IS NOT NULL""")
 def q_scatter_sample(spark, sf):
     li = B.table(spark, sf, "lineitem")
-    return S.scatter_sample(li, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber"], n=500)
+    return rounded(S.scatter_pairs(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", ["l_orderkey", "l_linenumber"]))
 
 
 @register("unpivot_long", _DAILY_ONLY + """SELECT series_key, strftime(date, '%Y-%m-%d') AS date, feature, round(value, 6) AS value

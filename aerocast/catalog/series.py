@@ -49,11 +49,11 @@ def _roll_sql(col, n, fn, lagged=True):
     return f"CASE WHEN count({col}) {fr} = {n} THEN {fn}({col}) {fr} END"
 
 
-def _ema_sql(col, span, rows=128, lagged=True):
-    n = max(rows, W.ema_rows_needed(span))
+def _ema_sql(col, span, lagged=True):
+    """The recursion itself, folded over the whole history of each row."""
     a = 2.0 / (span + 1.0)
-    fr = _frame(-n, -1) if lagged else _frame(-(n - 1), 0)
-    return (f"CASE WHEN count({col}) {fr} > 0 THEN list_reduce(list({col}) {fr}, "
+    fr = f"OVER ({PART} ROWS BETWEEN UNBOUNDED PRECEDING AND {'1 PRECEDING' if lagged else 'CURRENT ROW'})"
+    return (f"CASE WHEN count({col}) {fr} > 0 THEN list_reduce(list({col}) FILTER ({col} IS NOT NULL) {fr}, "
             f"lambda acc, x: acc * CAST({1.0 - a!r} AS DOUBLE) + x * CAST({a!r} AS DOUBLE)) END")
 
 
@@ -217,7 +217,7 @@ def features_sql(spec=SPEC, final_select: str | None = None) -> str:
     for n in spec.windows:
         parts.append(f"{_roll_sql(t, n, 'avg')} AS {t}_rolling_mean_{n}")
         parts.append(f"{_roll_sql(t, n, 'stddev_samp')} AS {t}_rolling_std_{n}")
-    parts += [f"{_ema_sql(t, s, spec.ema_rows)} AS {t}_ema_{s}" for s in spec.spans]
+    parts += [f"{_ema_sql(t, s)} AS {t}_ema_{s}" for s in spec.spans]
     parts += [f"lag({c}, 1) OVER ({PART}) AS {c}_lag_1" for c in spec.lag_change_cols]
     parts += [f"{c} - lag({c}, 1) OVER ({PART}) AS {c}_change_1" for c in spec.lag_change_cols]
     parts += [f"{c} - lag({c}, 1) OVER ({PART}) AS {c}_change_1" for c in spec.delta_cols]

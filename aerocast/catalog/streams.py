@@ -16,14 +16,14 @@ from aerocast.streaming import ingest as ST
 _SCHEMA = "event_id bigint, ts timestamp, user_id bigint, station string, value double, date date, hour bigint"
 
 
-def _landed(spark, sf, order_free: bool = True) -> str:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def _landed(spark, sf, files: int | None = None) -> str:
     ev = B.table(spark, sf, "events")
     rows = ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                      F.col("event_type").alias("station"), "value", F.to_date("ts").alias("date"),
                      F.hour("ts").cast("bigint").alias("hour"))
     path = scratch_path(spark, "landing")
-    ST.land(rows, path)
+    # several files of consecutive times: one micro-batch each with maxFilesPerTrigger=1
+    ST.land(rows.repartitionByRange(files, "ts") if files else rows, path)
     return path
 
 
@@ -31,7 +31,7 @@ def _landed(spark, sf, order_free: bool = True) -> str:
   CAST(hour(ts) AS BIGINT) AS hour, event_id, round(value, 6) AS value FROM events
 QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE), hour(ts) ORDER BY ts DESC, event_id DESC) = 1""")
 def q_stream_ingest(spark, sf):
-    src = ST.read_stream(spark, _landed(spark, sf), _SCHEMA)
+    src = ST.read_stream(spark, _landed(spark, sf, files=3), _SCHEMA, max_files=1)
     table = scratch_path(spark, "stream-table")
     ST.stream_ingest(spark, src, table, key=("station", "date", "hour"), order=("ts", "event_id"))
     out = FT.read_features(spark, table, key=("station", "date", "hour"), order=("ts", "event_id"))
@@ -62,7 +62,7 @@ def q_stream_daily(spark, sf):
 @register("stream_latest", """SELECT event_type AS station, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(value, 6) AS value
 FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) = 1""")
 def q_stream_latest(spark, sf):
-    src = ST.read_stream(spark, _landed(spark, sf), _SCHEMA, max_files=1)
+    src = ST.read_stream(spark, _landed(spark, sf, files=4), _SCHEMA, max_files=1)
     table = scratch_path(spark, "stream-latest")
     ST.run_latest(spark, ST.stream_latest(src, "station", "ts", ["value"]), table, "station", "ts")
     got = spark.read.parquet(table)
@@ -72,9 +72,9 @@ def q_stream_latest(spark, sf):
 @register("stream_alerts", """SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS forecast_date,
   CAST(round(CAST(value AS DECIMAL(18,6)), 1) AS DOUBLE) AS predicted_aqi FROM events WHERE value >= 150""")
 def q_stream_alerts(spark, sf):
-    src = ST.read_stream(spark, _landed(spark, sf), _SCHEMA)
+    src = ST.read_stream(spark, _landed(spark, sf, files=6), _SCHEMA, max_files=1)
     src = src.withColumns({"forecast_date": F.date_format("ts", "yyyy-MM-dd"),
                            "predicted_aqi": F.round("value", 1)})
     out = scratch_path(spark, "stream-alerts")
-    ST.run_to_folder(ST.stream_alerts(src, "value", 150, ["forecast_date", "predicted_aqi"], "ts", "2 hours"), out)
+    ST.stream_alerts(src, "value", 150, ["forecast_date", "predicted_aqi"], out)
     return spark.read.parquet(out).select("forecast_date", "predicted_aqi")

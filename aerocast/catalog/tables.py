@@ -419,10 +419,11 @@ def q_argmin_group(spark, sf):
     return rounded(SO.argmin_group(ev, ["event_type"], "value", ["event_id"]))
 
 
-@register("sample_seeded")
+@register("sample_seeded", """WITH a AS (SELECT event_id, event_type, value FROM events ORDER BY md5(event_id || '|42'), event_id LIMIT 150)
+SELECT event_id, event_type, round(value, 6) AS value FROM a ORDER BY md5(event_id || '|7'), event_id LIMIT 50""")
 def q_sample_seeded(spark, sf):
     ev = B.table(spark, sf, "events").select("event_id", "event_type", "value")
-    return SO.sample_seeded(SO.sample_seeded(ev, ["event_id"], 150), ["event_id"], 50, seed=7)
+    return rounded(SO.sample_seeded(SO.sample_seeded(ev, ["event_id"], 150), ["event_id"], 50, seed=7))
 
 
 @register("union_by_name", _DAILY_ONLY + f"""SELECT {_DSEL} FROM daily UNION ALL

@@ -96,8 +96,6 @@ class FeatureSpec:
     lags: tuple = TARGET_LAGS
     windows: tuple = ROLLING_WINDOWS
     spans: tuple = EMA_SPANS
-    # rows of history kept for the EMA fold: (1 - 2/(span+1))**ema_rows < 1e-16
-    ema_rows: int = 128
 
     def feature_cols(self) -> list[str]:
         t = self.target

@@ -1,8 +1,7 @@
 """Joins.
 
-Broadcasts happen only behind an explicit row-count check
-(``bounded_broadcast``); beyond the bound the plan falls back to a shuffle
-join, which AQE may still convert at runtime from measured sizes.
+No join carries a broadcast hint: Spark picks a broadcast by its own size limit
+in bytes, from statistics or, with AQE, from the sizes measured at run time.
 """
 
 from __future__ import annotations
@@ -15,13 +14,6 @@ from pyspark.sql import functions as F
 from aerocast.operators.windows import UNB
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only if ``df`` has at most ``max_rows`` rows (checked by
-    a ``limit(max_rows + 1).count()`` job, which stops early)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _on(on):
     return [on] if isinstance(on, str) else list(on)
 
@@ -38,9 +30,9 @@ def map_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], value: str,
     return df.join(lk, _on(on), "left")
 
 
-def enrich(df: DataFrame, dim: DataFrame, on, max_dim_rows: int = 1_000_000) -> DataFrame:
-    """Dimension enrichment: broadcast the dimension if its size is bounded."""
-    return df.join(bounded_broadcast(dim, max_dim_rows), _on(on), "left")
+def enrich(df: DataFrame, dim: DataFrame, on) -> DataFrame:
+    """Dimension enrichment."""
+    return df.join(dim, _on(on), "left")
 
 
 # --- J2 ------------------------------------------------------------------------
@@ -130,9 +122,14 @@ def alert_antijoin(new_alerts: DataFrame, log: DataFrame,
                    first_by: str = "logged_at") -> DataFrame:
     """Append alerts whose key is not yet logged (threshold is not part of the
     key); a key arriving twice in one batch is logged once (its earliest row)."""
+    fresh = fresh_alerts(new_alerts, log, keys, first_by)
+    return log.unionByName(fresh.select(*log.columns))
+
+
+def fresh_alerts(new_alerts: DataFrame, log: DataFrame, keys: Sequence[str], first_by: str) -> DataFrame:
+    """The earliest row of each key that the log does not hold."""
     keys = list(keys)
     others = [c for c in new_alerts.columns if c not in keys]
     fresh = (new_alerts.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(first_by)).alias("_a"))
              .select(*keys, "_a.*"))
-    fresh = fresh.join(log.select(*keys).distinct(), keys, "left_anti")
-    return log.unionByName(fresh.select(*log.columns))
+    return fresh.join(log.select(*keys).distinct(), keys, "left_anti")

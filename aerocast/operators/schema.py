@@ -52,8 +52,9 @@ def align_schema(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     """Cast to a declared (column -> type name) schema.
 
     float types: lenient (non-numeric -> NULL); integer types: strict - a value
-    that is NULL or does not parse fails the job, fractions truncate; date;
-    timestamp (UTC session zone); string. A missing column is an error raised
+    that is NULL or does not parse fails the job, fractions truncate, 64-bit
+    values stay exact; decimal(p,s) and boolean: lenient; date; timestamp (UTC
+    session zone); string; any other type name raises. A missing column is an error raised
     before the plan runs. Columns outside the schema pass through.
     """
     require_columns(df, list(schema))
@@ -64,10 +65,14 @@ def align_schema(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
         if t in _FLOAT:
             out[c] = src.cast("string").try_cast("double") if not _numeric(df, c) else src.cast("double")
         elif t in _INT:
-            d = src.cast("string").try_cast("double") if not _numeric(df, c) else src.cast("double")
+            d = _whole(df, c)
             out[c] = F.when(d.isNull(), F.raise_error(F.concat(F.lit(f"cannot align {c} to {t}: "),
                                                               F.coalesce(src.cast("string"), F.lit("NULL")))))\
-                .otherwise(d.cast("bigint"))
+                .otherwise(d)
+        elif t.startswith("decimal"):
+            out[c] = src.cast("string").try_cast(t)
+        elif t in ("boolean", "bool"):
+            out[c] = src.cast("string").try_cast("boolean")
         elif t == "date":
             out[c] = F.to_date(src)
         elif "timestamp" in t:
@@ -75,9 +80,25 @@ def align_schema(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
                 else F.to_timestamp(src)
         elif "string" in t or "varchar" in t:
             out[c] = src.cast("string")
+        else:
+            raise ValueError(f"unknown type for {c}: {t}")
     return df.withColumns(out)
 
 
+def _whole(df: DataFrame, c: str):
+    """bigint of a column, truncated toward zero, NULL where it is no number in range; integers never pass through double."""
+    kind, src = df.schema[c].dataType, F.col(c)
+    if isinstance(kind, T.IntegralType):
+        return src.cast("bigint")
+    if isinstance(kind, T.DecimalType):
+        return src.try_cast("bigint")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(src), src.cast("double")).try_cast("bigint")
+    text = F.trim(src.cast("string"))
+    plain = text.rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$")
+    return F.when(plain, F.regexp_replace(text, r"\..*$", "").try_cast("bigint")).otherwise(text.try_cast("double").try_cast("bigint"))
+
+
 def _numeric(df, c):
     return isinstance(df.schema[c].dataType, T.NumericType)
 

@@ -28,10 +28,15 @@ def argmin_group(df: DataFrame, by: Sequence[str], metric: str, tiebreak: Sequen
 
 
 def sample_seeded(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """L4: at most ``n`` rows, chosen by the smallest hash of (key, seed):
-    reproducible on any partitioning, and a bounded top-k."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+    """L4: at most ``n`` rows, those with the smallest md5 of the key values and
+    the seed joined by ``|``: reproducible on any partitioning and in any engine,
+    and a bounded top-k."""
+    return df.withColumn("_h", key_hash(key, seed)).orderBy("_h", *key).limit(n).drop("_h")
+
+
+def key_hash(key: Sequence[str], seed: int) -> Column:
+    """md5 of the key values and the seed, as lower-case hex."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key], F.lit(str(seed))))
 
 
 def union_by_name(history: DataFrame, today: DataFrame) -> DataFrame:

@@ -24,11 +24,17 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in exclude]
 
 
+def _present(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c))
+
+
 # --- A1 ------------------------------------------------------------------------
 def daily_mean(df: DataFrame, cols: Sequence[str], key="series_key", time="ts", date="date") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
+    # NaN counts as missing, or one reading would poison the whole day
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     return (df.groupBy(*keys, F.to_date(time).alias(date))
-            .agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]))
+            .agg(*[F.avg(value(c)).alias(c) for c in cols]))
 
 
 # --- A2 / A4 -------------------------------------------------------------------
@@ -176,11 +182,12 @@ def corr_rank(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
 
 
 # --- A13 -----------------------------------------------------------------------
-def scatter_sample(df: DataFrame, x: str, y: str, key: Sequence[str], n: int = 500, seed: int = 42) -> DataFrame:
-    """Deterministic sample of (x, y) pairs: the ``n`` rows with the smallest
-    hash of (key, seed). A top-k (bounded sort), not a full shuffle sort."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
-    return df.select(*key, x, y, h.alias("_h")).orderBy("_h").limit(n).drop("_h")
+def scatter_pairs(df: DataFrame, features: Sequence[str], target: str, key: Sequence[str]) -> DataFrame:
+    """Every (key, feature, value, target) pair of a scatter plot; pairs with a
+    missing value or target are left out. Narrow: one generator, no shuffle."""
+    wide = df.select(*key, F.col(target).cast("double").alias("target"), *[F.col(c).cast("double").alias(c) for c in features])
+    long = wide.unpivot([*key, "target"], list(features), "feature", "value")
+    return long.where(_present("value") & _present("target")).select(*key, "feature", "value", "target")
 
 
 # --- A15-A21 -------------------------------------------------------------------

@@ -77,30 +77,49 @@ def rolling_mean_incl(df: DataFrame, col: str, windows: Sequence[int], key="seri
 
 
 # --- W5 ----------------------------------------------------------------------
-def ema_rows_needed(span: int, tol: float = 1e-16) -> int:
-    decay = 1.0 - 2.0 / (span + 1.0)
-    return max(1, int(math.ceil(math.log(tol) / math.log(decay)))) if decay > 0 else 1
+EMA_BLOCK = 128
 
 
 def ema(df: DataFrame, col: str, spans: Sequence[int], key="series_key", order="date",
-        lagged: bool = True, rows: int = 128, fmt: str = "{c}_ema_{s}") -> DataFrame:
-    """Recursive EMA (adjust=False) seeded at the first non-null value.
-
-    Computed as a left fold over a bounded frame of the last ``rows`` values:
-    the weight of anything older is (1-a)**rows, below 1e-16 for span <= 7 at
-    128 rows. The frame keeps per-row state bounded for arbitrarily long series.
+        lagged: bool = True, fmt: str = "{c}_ema_{s}") -> DataFrame:
+    """Recursive EMA (adjust=False) seeded at the first non-null value; a null
+    value leaves it as it is.
+
+    The recursion e -> (1-a) e + a x is affine, so a run of rows is summed up by
+    its count of values and its fold from zero. Rows are cut into blocks of
+    ``EMA_BLOCK``; the state at a block's start is the composition of the blocks
+    before it, and within the block the fold runs over its own rows. All history
+    counts, with at most EMA_BLOCK + n / EMA_BLOCK values per row held.
     """
+    keys = _keys(key)
     w = series_window(key, order)
+    order_cols = [order] if isinstance(order, str) else list(order)
+    d = df.withColumn("_eb", F.floor((F.row_number().over(w) - 1) / EMA_BLOCK))
+    within = Window.partitionBy(*keys, "_eb").orderBy(*order_cols)
+    d = d.withColumns({"_eh": F.collect_list(col).over(within.rowsBetween(UNB, 0)),
+                       "_el": F.lead(F.lit(1)).over(within).isNull()})
+    # a block's values stand at its last row; the blocks before a row are those with a smaller number
+    before = Window.partitionBy(*keys).orderBy("_eb").rangeBetween(UNB, -1)
+
+    def fold(values, start, a):
+        return F.aggregate(values, start, lambda acc, x: acc * (1.0 - a) + x * a)
+
     out = {}
     for s in spans:
-        n = max(rows, ema_rows_needed(s))
         a = 2.0 / (s + 1.0)
-        frame = w.rowsBetween(-n, -1) if lagged else w.rowsBetween(-(n - 1), 0)
-        hist = F.collect_list(col).over(frame)
-        out[fmt.format(c=col, s=s)] = F.aggregate(
-            F.slice(hist, 2, n + 1), F.try_element_at(hist, F.lit(1)),
-            lambda acc, x: acc * (1.0 - a) + x * a)
-    return df.withColumns(out)
+        hist = F.col("_eh")
+        if lagged:
+            hist = F.when(F.col(col).isNull(), hist).otherwise(F.slice(hist, 1, F.size(hist) - 1))
+        rest = F.slice(F.col("_eh"), 2, EMA_BLOCK)
+        seeded = F.when(F.size("_eh") > 0, fold(rest, F.col("_eh")[0], a))
+        block = F.struct(F.size("_eh").cast("double").alias("m"), seeded.alias("s"), fold(F.col("_eh"), F.lit(0.0), a).alias("b"))
+        d = d.withColumn("_es", F.collect_list(F.when(F.col("_el"), block)).over(before))
+        carry = F.aggregate("_es", F.lit(None).cast("double"), lambda acc, x: F.when(x["m"] == 0, acc).when(
+            acc.isNull(), x["s"]).otherwise(acc * F.pow(F.lit(1.0 - a), x["m"]) + x["b"]))
+        d = d.withColumns({"_ec": carry, "_ew": hist})
+        own = F.when(F.size("_ew") > 0, fold(F.slice(F.col("_ew"), 2, EMA_BLOCK), F.col("_ew")[0], a))
+        d = d.withColumn(fmt.format(c=col, s=s), F.when(F.col("_ec").isNull(), own).otherwise(fold(F.col("_ew"), F.col("_ec"), a)))
+    return d.drop("_eb", "_eh", "_el", "_es", "_ec", "_ew")
 
 
 # --- W6 / W7 / W8 / W12 ------------------------------------------------------
@@ -147,7 +166,11 @@ def interp_time(df: DataFrame, cols: Sequence[str], key="series_key", order="dat
     # "next non-null" as a running frame over the reversed order: O(n) per
     # series, where an unbounded-following frame is recomputed for every row.
     fwd = _reversed_window(key, order).rowsBetween(UNB, 0)
-    t = F.unix_date(F.to_date(order)) if isinstance(order, str) else None
+    last = order if isinstance(order, str) else list(order)[-1]
+    kind = df.schema[last].dataType.simpleString()
+    if kind != "date" and not kind.startswith("timestamp"):
+        raise ValueError(f"interp_time needs a date or timestamp order, {last} is {kind}")
+    t = F.unix_date(last) if kind == "date" else F.unix_micros(F.col(last).cast("timestamp"))
     out = {}
     for c in cols:
         tc = F.when(F.col(c).isNotNull(), t)
@@ -192,14 +215,16 @@ def latest_row(df: DataFrame, key="series_key", order="date") -> DataFrame:
 # --- W14 / W15 ---------------------------------------------------------------
 def _time_bucket(df: DataFrame, order, bucket_seconds: int | None):
     """Bucket id monotone in the first order column: day buckets for
-    timestamps/dates; one bucket (plain per-key window) otherwise."""
+    timestamps/dates; None asks for one bucket (a plain per-key window)."""
     first = ([order] if isinstance(order, str) else list(order))[0]
     t = df.schema[first].dataType.simpleString()
-    if bucket_seconds and t.startswith("timestamp"):
+    if not bucket_seconds:
+        return F.lit(0)
+    if t.startswith("timestamp"):
         return F.floor(F.unix_micros(F.col(first).cast("timestamp")) / (bucket_seconds * 1_000_000))
-    if bucket_seconds and t == "date":
+    if t == "date":
         return F.floor(F.unix_date(F.col(first)) * 86400 / bucket_seconds)
-    return F.lit(0)
+    raise ValueError(f"{first} is {t}: time buckets need a date or timestamp; bucket_seconds=None runs one window per key")
 
 
 def _history_lags(df: DataFrame, value: str, key, order, bucket_seconds: int | None = 86400):

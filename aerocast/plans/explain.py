@@ -8,7 +8,7 @@ x- is the same with z on j. phi_j is the mean of f(x+) - f(x-) over m.
 Spark plan: the explained rows and the background are seeded hash samples
 (bounded by their sizes, the feature of this operator); each explained row
 fans out to features x samples (a bounded generator), picks its background row
-by an equi-join on a hashed index against the broadcast background table, and
+by a hashed index from the background, one array of at most n_background rows, and
 all hybrid rows are scored in one bulk ``transform`` - no cross join, nothing
 proportional to the data size.
 """
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.operators.setops import sample_seeded
+from aerocast.operators.setops import key_hash, sample_seeded
 
 
 def sampled_shapley(feats: DataFrame, id_cols: Sequence[str], feature_cols: Sequence[str], score,
@@ -31,18 +31,19 @@ def sampled_shapley(feats: DataFrame, id_cols: Sequence[str], feature_cols: Sequ
     ids, cols = list(id_cols), list(feature_cols)
     rows = sample_seeded(feats.select(*ids, *cols), ids, n_rows, seed)
     bg = sample_seeded(feats.select(*ids, *cols), ids, n_background, seed + 1)
-    # number the (at most n_background) background rows 0..k-1
-    bg = bg.withColumn("_bi", F.row_number().over(Window.orderBy(*ids)) - 1)
-    bg = bg.select("_bi", *[F.col(c).alias(f"_z_{c}") for c in cols])
-    n_bg = F.lit(n_background)
+    # at most n_background rows, held as one array that every task gets
+    bg = bg.orderBy(*ids).groupBy(F.lit(0).alias("_g")).agg(
+        F.sort_array(F.collect_list(F.struct(*ids, *[F.col(c).alias(f"_z_{c}") for c in cols]))).alias("_bg"))
     pairs = F.explode(F.arrays_zip(
         F.flatten(F.array_repeat(F.sequence(F.lit(0), F.lit(len(cols) - 1)), n_samples)).alias("j"),
         F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)),
                               lambda m: F.array_repeat(m, len(cols)))).alias("m")))
     fan = rows.select(*ids, *cols, pairs.alias("_jm")).select(*ids, *cols, "_jm.j", "_jm.m")
-    key = F.xxhash64(*[F.col(i) for i in ids], F.col("m"), F.lit(seed))
-    fan = fan.withColumn("_bi", F.pmod(key, n_bg).cast("int"))
-    j = fan.join(F.broadcast(bg), "_bi")  # bounded background, equi-join on the drawn index
+    j = fan.withColumn("_g", F.lit(0)).join(F.broadcast(bg), "_g")
+    # draws are taken modulo the rows that are there, which may be fewer than asked for
+    draw = F.conv(F.substring(key_hash([*ids, "m"], seed), 1, 8), 16, 10).cast("long")
+    z = F.element_at("_bg", (F.pmod(draw, F.size("_bg")) + 1).cast("int"))
+    j = j.withColumn("_z", z).select(*ids, *cols, "j", "m", *[F.col(f"_z._z_{c}").alias(f"_z_{c}") for c in cols])
 
     def rank(k):
         return F.xxhash64(*[F.col(i) for i in ids], F.col("m"), F.lit(k), F.lit(seed + 2))

@@ -37,7 +37,7 @@ def engineer(daily: DataFrame, spec: FeatureSpec, drop_incomplete: bool = True)
     df = W.lags(df, t, spec.lags, key=k, order=d)
     df = W.rolling_mean(df, t, spec.windows, key=k, order=d)
     df = W.rolling_std(df, t, spec.windows, key=k, order=d)
-    df = W.ema(df, t, spec.spans, key=k, order=d, rows=spec.ema_rows)
+    df = W.ema(df, t, spec.spans, key=k, order=d)
     df = W.target_change(df, t)
     df = W.covariate_lag_change(df, spec.lag_change_cols, key=k, order=d)
     df = W.covariate_change(df, spec.delta_cols, (1, 3), key=k, order=d)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerocast.config import HOLDOUT_FRACTION, HOLDOUT_SEED
+from aerocast.operators.setops import key_hash
 
 
 def recency_weights(df: DataFrame, date: str = "date", half_life_days: float = 75.0,
@@ -35,19 +36,26 @@ def horizon_targets(df: DataFrame, target: str, h: int, key: str = "series_key",
 
 def ts_folds(df: DataFrame, n_splits: int = 5, key: str = "series_key", date: str = "date",
              name: str = "block") -> DataFrame:
-    """M3: forward-chaining blocks per series. With n rows, test size is
-    n // (n_splits + 1); the last n_splits blocks of that size are test blocks
-    1..n_splits and everything before is block 0. Fold k trains on blocks < k
-    and tests on block k."""
-    w = Window.partitionBy(key).orderBy(date)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    rn = F.row_number().over(w) - 1
-    df = df.withColumns({"_rn": rn, "_n": n})
+    """M3: forward-chaining blocks over the dates of all series together, as the
+    models pool them: every row of a date is in one block, so a fold never trains
+    on a date of its test block or later. With n distinct dates, a test block
+    has n // (n_splits + 1) dates; the last n_splits blocks of that size are
+    blocks 1..n_splits and everything before is block 0. Fold k trains on
+    blocks < k and tests on block k. Fewer than n_splits + 1 dates give no test
+    block: the job fails with a message rather than train without scoring.
+    ``key`` is kept for callers; series of any length share the dates' blocks.
+    """
+    days = df.select(F.col(date).alias("_d")).where(F.col("_d").isNotNull()).distinct()
+    # one row per day of the calendar: bounded by the time span, whatever the number of readings
+    w = Window.orderBy("_d")
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    days = days.select("_d", (F.row_number().over(w) - 1).alias("_rn"), n.alias("_n"))
     ts = F.floor(F.col("_n") / (n_splits + 1))
     first = F.col("_n") - ts * n_splits
-    block = F.when((ts == 0) | (F.col("_rn") < first), F.lit(0)).otherwise(
-        F.floor((F.col("_rn") - first) / ts) + 1)
-    return df.withColumn(name, block.cast("int")).drop("_rn", "_n")
+    block = (F.when(ts == 0, F.raise_error(F.concat(F.lit(f"{n_splits} folds need at least {n_splits + 1} dates, there are "), F.col("_n").cast("string"))).cast("int"))
+             .when(F.col("_rn") < first, F.lit(0)).otherwise(F.floor((F.col("_rn") - first) / ts) + 1))
+    days = days.select("_d", block.cast("int").alias(name))
+    return df.join(days, F.col(date) == F.col("_d"), "left").drop("_d")
 
 
 def scale_features(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -81,7 +89,9 @@ def invert_target_scale(df: DataFrame, scaled: str, name: str = "target_restored
 
 def holdout_split(df: DataFrame, key: Sequence[str], fraction: float = HOLDOUT_FRACTION, seed: int = HOLDOUT_SEED,
                   name: str = "split") -> DataFrame:
-    """Stable random split by hashing the key: the same row lands on the
-    same side on any partitioning and any rerun."""
-    h = F.abs(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)) % 1_000_000) / 1_000_000.0
-    return df.withColumn(name, F.when(h < fraction, F.lit("test")).otherwise(F.lit("train")))
+    """Stable random split by the md5 of the key: the same row lands on the
+    same side on any partitioning, any rerun and in any engine. Its first 32 bits,
+    as hex text, are compared with the fraction of their range."""
+    limit = min(max(fraction, 0.0), 1.0) * 16**8
+    below = F.substring(key_hash(key, seed), 1, 8) < F.lit(f"{int(limit):08x}") if limit < 16**8 else F.lit(True)
+    return df.withColumn(name, F.when(below, F.lit("test")).otherwise(F.lit("train")))

@@ -7,8 +7,8 @@ final task. This plan keeps every step bounded instead:
    range into ``buckets`` sub-ranges;
 2. exact per-bucket counts (a small table) + prefix sums locate the bucket and
    the in-bucket rank of every wanted order statistic;
-3. while a located range still holds more than ``max_candidates`` rows, steps
-   1-2 repeat on the rows inside that value range only (each round divides the
+3. while a located range still holds more than ``max_candidates`` rows (and
+   more than one value), steps 1-2 repeat on the rows inside that value range only (each round divides the
    range population by about ``buckets``);
 4. the rows inside the final ranges (a range filter against a broadcast table
    of groups x probabilities x 2 rows) are pre-aggregated to (value, count) - a
@@ -36,12 +36,13 @@ def _inside():
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = 64, accuracy: int = 1000, max_candidates: int = 2_000_000,
-                    max_rounds: int = 6) -> DataFrame:
-    """Rows (by..., p, q): the linear-interpolated quantile of ``value``."""
+                    buckets: int = 64, accuracy: int = 1000, max_candidates: int = 2_000_000) -> DataFrame:
+    """Rows (by..., p, q): the linear-interpolated quantile of ``value``; NULL and
+    NaN do not count. Ranges are cut at least once, and on until each holds at most
+    ``max_candidates`` rows or a single value."""
     keys = list(by) or ["_g"]
     v = df.select(*(list(by) or [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"))
-    v = v.where(F.col("_v").isNotNull())
+    v = v.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     n = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # wanted 0-based ranks: floor and ceil of p*(n-1); each starts in the range (-inf, +inf]
     ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
@@ -51,8 +52,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                              F.lit(_POS).alias("_hi"), F.lit(0).cast("long").alias("_c0"),
                              F.col("_n").alias("_size"))
     edge_probs = [i / buckets for i in range(1, buckets)]
-    for _ in range(max_rounds):
-        big = targets.where(F.col("_size") > max_candidates)
+    limit = 0  # the first round cuts every range
+    while True:
+        big = targets.where(F.col("_size") > limit)
         if not big.limit(1).collect():  # the target table is groups x probabilities x 2 rows
             break
         ranges = big.select(*keys, "_lo", "_hi").distinct()
@@ -74,7 +76,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                          # no progress (one hot value fills the range): stop refining it
                          F.when(F.col("_c") == F.col("_size"), F.lit(0)).otherwise(F.col("_c")).alias("_size")))
         # small table; a reliable checkpoint keeps the loop's lineage flat
-        targets = targets.where(F.col("_size") <= max_candidates).unionByName(moved).checkpoint(eager=True)
+        targets = targets.where(F.col("_size") <= limit).unionByName(moved).checkpoint(eager=True)
+        limit = max_candidates
     # final ranking inside each (now small) range
     ranges = targets.select(*keys, "_lo", "_hi").distinct()
     cand = (v.join(F.broadcast(ranges), keys).where(_inside())

@@ -11,15 +11,18 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "aerocast") -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder
+    if master or not SparkConf().contains("spark.master"):  # a master named by the cluster stays
+        builder = builder.master(master or f"local[{cpus}]")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -35,19 +35,23 @@ def upsert_features(spark: SparkSession, new_rows: DataFrame, path: str, key: Se
     key, order = list(key), list(order)
     batch = dedup_last(new_rows, key, order)
     if _exists(spark, path):
-        # the partitions a batch touches: bounded by the batch's time span, so
-        # they are listed on the driver and pruned statically at the scan
-        touched = [r[0] for r in batch.select(partition).distinct().collect()]
-        existing = spark.read.parquet(path).where(F.col(partition).isin(touched))
-        merged = dedup_last(existing.unionByName(batch.select(*existing.columns)), key, order)
+        # the partitions a batch touches, by a semi-join: Spark prunes the scan to them at run time
+        touched = batch.select(partition).distinct()
+        existing = spark.read.parquet(path).join(touched, partition, "left_semi")
+        # a partition column that reads back as another type takes the batch's type again
+        existing = existing.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in batch.schema.fields])
+        merged = dedup_last(existing.unionByName(batch), key, order)
     else:
         merged = batch
     staging = scratch_path(spark, "upsert-staging")
     merged.write.mode("overwrite").partitionBy(partition).parquet(staging)
-    staged = spark.read.parquet(staging)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        staged.write.mode("overwrite").partitionBy(partition).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    staged = spark.read.schema(merged.schema).parquet(staging)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition).parquet(path))
+    _remove(spark, staging)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder of our own."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

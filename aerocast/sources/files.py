@@ -6,6 +6,8 @@ All paths are expected under the shared folder of ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,26 +67,49 @@ def append_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("append").option("header", True).option("sep", sep).csv(path)
 
 
-def append_history(df: DataFrame, path: str, key: str = "series_key") -> None:
-    """IO14: append observations to the history table (partitioned by key)."""
-    df.write.mode("append").partitionBy(key).parquet(path)
+def append_batch(df: DataFrame, path: str, batch_id: str | int) -> None:
+    """Write a batch to its own ``batch=<id>`` folder; a retry of the batch replaces it."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def append_history(df: DataFrame, path: str, batch_id: str | int) -> None:
+    """IO14: append observations to the history table. Idempotent per batch id;
+    keys are ordinary columns, so "007" stays text."""
+    append_batch(df, path, batch_id)
 
 
 def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches with the declared schema; a missing path gives an empty typed frame."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
+    names = spark.createDataFrame([], schema).columns
+    return spark.read.schema(schema).option("basePath", path).parquet(path).select(*names)
 
 
-def read_alert_log(spark: SparkSession, path: str) -> DataFrame:
-    """IO17: the alert log, or a typed empty table when none exists yet."""
+def read_alert_log(spark: SparkSession, path: str, without_batch: str | int | None = None) -> DataFrame:
+    """IO17: the alert log, or a typed empty table when none exists yet; a batch
+    that is being written again can be left out."""
     if not _exists(spark, path):
         return spark.createDataFrame([], ALERT_LOG_SCHEMA)
-    return read_csv(spark, path, ALERT_LOG_SCHEMA)
-
-
-def write_alert_log(df: DataFrame, path: str) -> None:
-    write_csv(df.select(*[f.name for f in ALERT_LOG_SCHEMA.fields]), path)
+    names = [f.name for f in ALERT_LOG_SCHEMA.fields]
+    log = spark.read.schema(T.StructType([*ALERT_LOG_SCHEMA.fields, T.StructField("batch", T.StringType())])) \
+        .option("header", True).option("basePath", path).csv(path)
+    if without_batch is not None:
+        log = log.where(~F.col("batch").eqNullSafe(F.lit(str(without_batch))))
+    return log.select(*names)
+
+
+def append_alerts(new_alerts: DataFrame, path: str, batch_id: str | int,
+                  keys: Sequence[str] = ("forecast_date", "predicted_aqi"), first_by: str = "logged_at") -> None:
+    """IO17 / J6: log the alerts whose key no other batch has logged, in a folder
+    of their own. Earlier batches are only read, never rewritten; a retry of a
+    batch replaces its own folder and gives the same log."""
+    from aerocast.operators.joins import fresh_alerts
+    spark = new_alerts.sparkSession
+    logged = read_alert_log(spark, path, without_batch=batch_id)
+    fresh = fresh_alerts(new_alerts, logged, keys, first_by)
+    fresh = fresh.select(*[f.name for f in ALERT_LOG_SCHEMA.fields])
+    fresh.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/batch={batch_id}")
 
 
 def clear_alert_log(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aerocast.sources.files import _exists
+from aerocast.sources.files import _exists, append_batch
 
 
 def write_manifest(doc: DataFrame, path: str) -> None:
@@ -19,9 +19,10 @@ def read_doc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def append_run(runs: DataFrame, path: str) -> None:
-    """IO15: append run records (name, params json, metrics, logged_at)."""
-    runs.write.mode("append").parquet(path)
+def append_run(runs: DataFrame, path: str, run_id: str | int) -> None:
+    """IO15: append the records of one run (name, params json, metrics, logged_at);
+    a retry of the run replaces them, so it makes no new version."""
+    append_batch(runs, path, run_id)
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:

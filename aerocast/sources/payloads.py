@@ -6,6 +6,8 @@ inferred and nothing loops in Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,16 @@ def comparison_table(docs: DataFrame, col: str = "value") -> DataFrame:
                     (F.col("candidate") == F.col("champion")).alias("is_champion"))
 
 
-def columnar_json(docs: DataFrame, col: str, fields: dict[str, str], section: str = "daily") -> DataFrame:
+def columnar_json(docs: DataFrame, col: str, fields: dict[str, str], section: str = "daily",
+                  keep: Sequence[str] = ()) -> DataFrame:
     """IO5: struct of parallel arrays -> rows (``arrays_zip`` + ``inline``).
-    ``fields`` maps array names in the payload to output column names."""
+    ``fields`` maps array names in the payload to output column names; ``keep``
+    are columns of the document that each of its rows gets."""
     schema = f"{section} struct<" + ", ".join(f"{k}: array<string>" if k == "time" else f"{k}: array<double>"
                                              for k in fields) + ">"
-    parsed = docs.select(F.from_json(F.col(col), schema).alias("_p"))
+    parsed = docs.select(*keep, F.from_json(F.col(col), schema).alias("_p"))
     zipped = F.arrays_zip(*[F.col(f"_p.{section}.{k}").alias(v) for k, v in fields.items()])
-    return parsed.select(F.inline(zipped))
+    return parsed.select(*keep, F.inline(zipped))
 
 
 def normalize_station(payloads: DataFrame, col: str = "payload", station_col: str = "station_id"):

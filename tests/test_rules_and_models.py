@@ -51,6 +51,74 @@ def test_folds_partition_the_rows(spark):
     assert got["block"].is_monotonic_increasing
 
 
+def test_folds_never_train_on_later_dates(spark):
+    """Series of different spans share the dates' blocks: training ends before each test block begins."""
+    rows = [("a", f"2020-01-{d:02d}") for d in range(1, 25)] + [("b", f"2020-01-{d:02d}") for d in range(10, 32)] + [("c", "2020-01-31")]
+    df = spark.createDataFrame(rows, "series_key string, d string").selectExpr("series_key", "to_date(d) AS date")
+    got = FO.ts_folds(df, 5).toPandas()
+    assert sorted(got["block"].unique()) == list(range(6)) and len(got) == len(rows)
+    for k in range(1, 6):
+        assert got[got["block"] < k]["date"].max() < got[got["block"] == k]["date"].min()
+    with pytest.raises(Exception, match="at least 6 dates"):
+        FO.ts_folds(df.where("date < '2020-01-04'"), 5).collect()
+
+
+def test_quantiles_ignore_nan_and_cut_at_least_once(spark):
+    from aerocast.plans.quantiles import exact_quantiles
+    df = spark.createDataFrame([(float(v),) for v in range(1, 202)] + [(float("nan"),), (None,)], "v double")
+    got = {r["p"]: r["q"] for r in exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], max_candidates=10).collect()}
+    assert got == {0.0: 1.0, 0.25: 51.0, 0.5: 101.0, 1.0: 201.0}
+
+
+def test_daily_mean_ignores_nan(spark):
+    from aerocast.operators.stats import daily_mean
+    df = spark.createDataFrame([("s", "2024-01-01", 1.0), ("s", "2024-01-01", float("nan"))], "series_key string, ts string, y double")
+    assert daily_mean(df, ["y"]).first()["y"] == 1.0
+
+
+def test_align_schema_keeps_large_integers(spark):
+    from aerocast.operators.schema import align_schema
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, str(big), "12.9", -3.9)], "a bigint, b string, c string, d double")
+    assert tuple(align_schema(df, {c: "bigint" for c in "abcd"}).first()) == (big, big, 12, -3)
+    assert align_schema(df, {"c": "decimal(10,2)"}).first()["c"] == __import__("decimal").Decimal("12.90")
+    with pytest.raises(ValueError):
+        align_schema(df, {"a": "mystery"})
+    with pytest.raises(Exception, match="cannot align"):
+        align_schema(spark.createDataFrame([("x",)], "a string"), {"a": "bigint"}).collect()
+
+
+def test_history_keeps_text_keys_and_retries(spark, tmp_path):
+    from aerocast.sources import files as IOF
+    df = spark.createDataFrame([("007", 1.0)], "series_key string, value double")
+    for _ in range(2):
+        IOF.append_history(df, f"{tmp_path}/h", 1)
+    IOF.append_history(df, f"{tmp_path}/h", 2)
+    got = IOF.read_history(spark, f"{tmp_path}/h", "series_key string, value double")
+    assert [r["series_key"] for r in got.collect()] == ["007", "007"]
+
+
+def test_alert_log_grows_by_fresh_alerts_only(spark, tmp_path):
+    from aerocast.sources import files as IOF
+    path = f"{tmp_path}/log"
+
+    def alerts(*days):
+        return spark.createDataFrame([(f"{d} 01:00:00", d, 160.0, 150, "bad") for d in days],
+                                     "logged_at string, forecast_date string, predicted_aqi double, threshold long, status string")
+    for batch, days in ((1, ["2024-01-01", "2024-01-02"]), (2, ["2024-01-02", "2024-01-03"]), (2, ["2024-01-02", "2024-01-03"]), (3, ["2024-01-01"])):
+        IOF.append_alerts(alerts(*days), path, batch)
+    assert sorted(r["forecast_date"] for r in IOF.read_alert_log(spark, path).collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+
+
+def test_shapley_with_a_background_larger_than_the_data(spark):
+    from aerocast.plans.explain import sampled_shapley
+    df = spark.createDataFrame([(i, float(i), float(i * i % 7)) for i in range(10)], "id int, x double, z double")
+    phi = sampled_shapley(df, ["id"], ["x", "z"], lambda d, n: d.withColumn(n, 2 * F.col("x") - F.col("z")), n_rows=10, n_background=50, n_samples=40).toPandas()
+    assert len(phi) == 20
+    x = phi[phi.feature == "x"].sort_values("id")
+    assert all(2 * (i - 9) <= a <= 2 * i for i, a in zip(x.id, x.attribution)) and abs(x.attribution.mean()) < 3
+
+
 def test_recency_weight_half_life(spark):
     df = spark.createDataFrame([("2024-03-16",), ("2024-01-01",)], "d string").selectExpr("to_date(d) AS date")
     w = {str(r["date"]): r["weight"] for r in FO.recency_weights(df, "date", 75.0).collect()}

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from aerocast.config import FeatureSpec
 from aerocast.operators import windows as W
@@ -76,10 +77,35 @@ def test_ffill_bfill(spark):
     np.testing.assert_allclose(got["x"].astype(float), ref, atol=0)
 
 
-def test_ema_bounded_frame_error_bound():
-    for s in (3, 7, 14):
-        n = W.ema_rows_needed(s)
-        assert (1 - 2 / (s + 1)) ** n <= 1e-16
+@pytest.mark.parametrize("lagged", [True, False])
+def test_ema_is_the_whole_recursion(spark, lagged):
+    """Against the plain recursion over several blocks, with nulls and a null start; a slow EMA (span 2000)
+    would show any forgotten history."""
+    rng = np.random.default_rng(3)
+    n = 3 * W.EMA_BLOCK + 17
+    y = [None if i < 3 or rng.random() < 0.1 else float(rng.normal(50, 20)) for i in range(n)]
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate(y)] + [("t", i, None) for i in range(5)], "series_key string, i int, y double")
+    got = W.ema(df, "y", (3, 2000), order="i", lagged=lagged).orderBy("series_key", "i").collect()
+    for span in (3, 2000):
+        a, e, want = 2.0 / (span + 1.0), None, []
+        for v in y:
+            before = e
+            if v is not None:
+                e = v if e is None else e * (1 - a) + v * a
+            want.append(before if lagged else e)
+        for r, w in zip(got, want):
+            assert (r[f"y_ema_{span}"] is None) == (w is None) and (w is None or r[f"y_ema_{span}"] == pytest.approx(w, rel=1e-12))
+    assert all(r["y_ema_3"] is None for r in got[n:])
+
+
+def test_interpolation_within_a_day(spark):
+    df = spark.createDataFrame([("s", "2024-01-01 00:00:00", 0.0), ("s", "2024-01-01 06:00:00", None), ("s", "2024-01-01 12:00:00", 12.0)],
+                               "series_key string, t string, x double").withColumn("ts", F.to_timestamp("t"))
+    assert [r["x"] for r in W.interp_time(df, ["x"], order="ts").orderBy("ts").collect()] == [0.0, 6.0, 12.0]
+    with pytest.raises(ValueError):
+        W.interp_time(df, ["x"], order="t")
+    with pytest.raises(ValueError):
+        W.live_or_latest(df, "x", order="t")
 
 
 def test_no_leakage_features_do_not_see_the_future(spark):
