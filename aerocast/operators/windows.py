@@ -224,7 +224,9 @@ def _time_bucket(df: DataFrame, order, bucket_seconds: int | None):
         return F.floor(F.unix_micros(F.col(first).cast("timestamp")) / (bucket_seconds * 1_000_000))
     if t == "date":
         return F.floor(F.unix_date(F.col(first)) * 86400 / bucket_seconds)
-    raise ValueError(f"{first} is {t}: time buckets need a date or timestamp; bucket_seconds=None runs one window per key")
+    if t in ("tinyint", "smallint", "int", "bigint"):  # counted in seconds
+        return F.floor(F.col(first) / bucket_seconds)
+    raise ValueError(f"{first} is {t}: time buckets need a date, timestamp or integer; bucket_seconds=None runs one window per key")
 
 
 def _history_lags(df: DataFrame, value: str, key, order, bucket_seconds: int | None = 86400):
