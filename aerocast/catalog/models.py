@@ -10,6 +10,7 @@ registered too, with a rows-only check.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from aerocast import bindings as B
 from aerocast.catalog.registry import register, rounded
 from aerocast.catalog.series import DAILY_SQL, _daily, features_sql
-from aerocast.config import ANCHOR_STRENGTHS, LINEITEM_SPEC, ForecastSpec
+from aerocast.config import ANCHOR_STRENGTHS, LINEITEM_SPEC, FeatureSpec, ForecastSpec
 from aerocast.operators import stats as S
 from aerocast.operators import windows as W
 from aerocast.plans import features as FE
@@ -152,21 +153,71 @@ def _feats(spark, sf):
 def q_ridge(spark, sf):
     """Ridge candidate for horizon 1: alpha grid by mean fold MAE, pooled OOF metrics."""
     spec = ForecastSpec()
-    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
+    # the features are read twice (newest date, rows): cut their lineage first
+    df = TN.horizon_frame(_feats(spark, sf).checkpoint(eager=True), spec, 1, None).cache()
     r = TN.run_ridge(df, spec, False)
     df.unpersist()
     return spark.createDataFrame([("day1", r.name, r.params["alpha"], r.mae, r.rmse, r.r2)],
                                  "horizon string, candidate string, alpha double, mae double, rmse double, r2 double")
 
 
+@dataclass(frozen=True)
+class _TwoFeatures(FeatureSpec):
+    """The daily frame itself as features, so that a ridge has a closed form in SQL."""
+
+    def feature_cols(self) -> list[str]:
+        return ["x1", "x2"]
+
+
+_SPEC_2F = ForecastSpec(features=_TwoFeatures(target="y", fill_cols=("x1", "x2")))
+_RIDGE_SQL = _DAILY_ONLY + ", " + _W_SQL + ", " + _FOLDS_SQL.replace("AS n FROM daily))", "AS n FROM wt))") + f""",
+ks AS (SELECT unnest(range(1, 6)) AS k), al AS (SELECT unnest({[float(a) for a in _SPEC_2F.alphas]}) AS alpha, unnest(range({len(_SPEC_2F.alphas)})) AS ai),
+tr AS (SELECT k, sum(weight * x1) / sum(weight) AS m1, sum(weight * x2) / sum(weight) AS m2, sum(weight * y) / sum(weight) AS my,
+  stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM fo JOIN ks ON block < k GROUP BY k),
+c AS (SELECT tr.k, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, any_value(s1) AS s1, any_value(s2) AS s2,
+  sum(weight * (x1 - m1) * (x1 - m1)) / any_value(s1 * s1) AS a11, sum(weight * (x2 - m2) * (x2 - m2)) / any_value(s2 * s2) AS a22,
+  sum(weight * (x1 - m1) * (x2 - m2)) / any_value(s1 * s2) AS a12, sum(weight * (x1 - m1) * (y - my)) / any_value(s1) AS b1,
+  sum(weight * (x2 - m2) * (y - my)) / any_value(s2) AS b2 FROM fo JOIN tr ON block < tr.k GROUP BY tr.k),
+z AS (SELECT *, (b1 * (a22 + alpha) - a12 * b2) / ((a11 + alpha) * (a22 + alpha) - a12 * a12) / s1 AS w1,
+  ((a11 + alpha) * b2 - a12 * b1) / ((a11 + alpha) * (a22 + alpha) - a12 * a12) / s2 AS w2 FROM c, al),
+p AS (SELECT fo.series_key, fo.date, fo.y, k, ai, alpha, my + (x1 - m1) * w1 + (x2 - m2) * w2 AS level FROM fo JOIN z ON fo.block = z.k),
+best AS (SELECT ai FROM (SELECT ai, k, avg(abs(level - y)) AS m FROM p GROUP BY ai, k) GROUP BY ai ORDER BY avg(m), ai LIMIT 1),
+o AS (SELECT * FROM p WHERE ai = (SELECT ai FROM best))"""
+
+
+def _ridge_2f(spark, sf):
+    d = _daily(spark, sf).select("series_key", "date", "y", "x1", "x2")
+    d = d.withColumns({"target": F.col("y"), "true_level": F.col("y"), "base_pred": F.lit(0.0)})
+    d = FO.ts_folds(FO.recency_weights(d, "date", 75.0, "weight"), 5).cache()
+    r = TN.run_ridge(d, _SPEC_2F, False)
+    d.unpersist()
+    return r
+
+
+@register("ridge_grid", _RIDGE_SQL + """
+SELECT any_value(alpha) AS alpha, round(avg(abs(level - y)), 6) AS mae, round(sqrt(avg((level - y) * (level - y))), 6) AS rmse,
+  round(1 - avg((level - y) * (level - y)) / var_pop(y), 6) AS r2 FROM o""")
+def q_ridge_grid(spark, sf):
+    """The ridge candidate itself (alpha grid, folds, pooled metrics) on two features."""
+    r = _ridge_2f(spark, sf)
+    return rounded(spark.createDataFrame([(float(r.params["alpha"]), r.mae, r.rmse, r.r2)], "alpha double, mae double, rmse double, r2 double"))
+
+
+@register("ridge_oof", _RIDGE_SQL + """
+SELECT series_key, strftime(date, '%Y-%m-%d') AS date, round(level, 6) AS oof_level FROM o""")
+def q_ridge_oof(spark, sf):
+    """Its out-of-fold levels, row by row."""
+    return rounded(_ridge_2f(spark, sf).oof.select("series_key", "date", "oof_level"))
+
+
 @register("oof_predict")
 def q_oof_predict(spark, sf):
     """Out-of-fold predictions of the ridge candidate (first block NULL-free: absent)."""
     spec = ForecastSpec()
-    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).cache()
+    # the features are read twice (newest date, rows): cut their lineage first
+    df = TN.horizon_frame(_feats(spark, sf).checkpoint(eager=True), spec, 1, None).cache()
     r = TN.run_ridge(df, spec, False)
-    # cut the lineage (reliable checkpoint under spark.checkpoint.dir), then release the cache
-    oof = r.oof.select("series_key", "date", "oof_level").checkpoint(eager=True)
+    oof = r.oof.select("series_key", "date", "oof_level")
     df.unpersist()
     return rounded(oof)
 
@@ -188,9 +239,7 @@ SELECT series_key, count(*) AS n, round(avg(abs(true_level - level)), 6) AS mae,
 def q_reconstruct(spark, sf):
     d = _daily(spark, sf).select("series_key", "date", "y")
     d = W.diff(d, "y", name="pred").withColumn("base_pred", F.col("y"))
-    d = FO.horizon_targets(d, "y", 2)
-    d = d.withColumn("oof_level", F.col("base_pred") + F.col("pred")).where(
-        F.col("oof_level").isNotNull() & F.col("true_level").isNotNull())
+    d = TN.reconstruct(FO.horizon_targets(d, "y", 2), True)
     return rounded(S.regression_metrics(d, "true_level", "oof_level", ["series_key"]))
 
 
@@ -271,7 +320,6 @@ _SCEN_SQL = f"""ov AS (SELECT series_key, avg(y) AS y_ov FROM (SELECT series_key
 SELECT series_key, round(pred_day1, 6) AS pred_day1, round(pred_day2, 6) AS pred_day2, round(pred_day3, 6) AS pred_day3 FROM an""")
 def q_scenario_score(spark, sf):
     daily = _daily(spark, sf).select("series_key", "date", "y")
-    from aerocast.operators.setops import sort_limit  # noqa: F401  (top-7 per series below is a window rank)
     w = Window.partitionBy("series_key").orderBy(F.desc("date"))
     last7 = daily.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 7)
     ov = last7.groupBy("series_key").agg(F.avg("y").alias("y"))
@@ -287,8 +335,7 @@ def q_linear_attribution(spark, sf):
     m = ar_models(daily).select("series_key", "b1")
     mu = daily.groupBy("series_key").agg(F.avg("y").alias("_my"))
     j = daily.join(m, "series_key").join(mu, "series_key")
-    j = j.withColumn("attribution", F.col("b1") * (F.col("y") - F.col("_my")))
-    return rounded(j.select("series_key", "date", F.lit("y").alias("feature"), "attribution"))
+    return rounded(TN.linear_attribution(j, {"y": F.col("b1")}, {"y": F.col("_my")}, ["series_key", "date"]))
 
 
 @register("attribution_rank", _DAILY_ONLY + ", " + _AR_SQL + """, mu AS (SELECT series_key, avg(y) AS my FROM daily GROUP BY series_key),
@@ -299,8 +346,8 @@ def q_attribution_rank(spark, sf):
     m = ar_models(daily).select("series_key", "b1")
     mu = daily.groupBy("series_key").agg(F.avg("y").alias("_my"))
     j = daily.join(m, "series_key").join(mu, "series_key")
-    at = j.select(F.col("series_key").alias("feature"), (F.col("b1") * (F.col("y") - F.col("_my"))).alias("attribution"))
-    return rounded(S.attribution_rank(at))
+    at = TN.linear_attribution(j, {"y": F.col("b1")}, {"y": F.col("_my")}, ["series_key"])
+    return rounded(S.attribution_rank(at.select(F.col("series_key").alias("feature"), "attribution")))
 
 
 # ----------------------------------------------------------------- M16

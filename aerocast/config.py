@@ -128,6 +128,8 @@ class ForecastSpec:
     features: FeatureSpec = field(default_factory=lambda: LINEITEM_SPEC)
     horizons: tuple = HORIZONS
     n_splits: int = N_SPLITS
+    # daily rows a series needs before it is trained on
+    min_history_days: int = MIN_HISTORY_ROWS
     half_life_days: float = RECENCY_HALF_LIFE_DAYS
     alphas: tuple = RIDGE_ALPHAS
     candidates: tuple = CANDIDATE_ORDER

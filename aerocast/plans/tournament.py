@@ -21,13 +21,14 @@ from typing import Any
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerocast.config import ANCHOR_STRENGTHS, ForecastSpec
 from aerocast.operators.stats import regression_metrics
 from aerocast.plans import folds as FO
 from aerocast.plans import ridge as RG
+from aerocast.operators.schema import require_history
 from aerocast.session import ensure_checkpoint_dir, tune_for_wide_plans
 
 
@@ -57,12 +58,14 @@ def horizon_frame(feats: DataFrame, spec: ForecastSpec, h: int, upstream: DataFr
     return FO.ts_folds(df, spec.n_splits, k, d, "block")
 
 
-def _recon(df: DataFrame, is_delta: bool) -> DataFrame:
+def reconstruct(df: DataFrame, is_delta: bool) -> DataFrame:
+    """M9: out-of-fold level; a delta is added to the upstream level (NULL where that is missing)."""
     lvl = F.col("base_pred") + F.col("pred") if is_delta else F.col("pred")
     return df.withColumn("oof_level", lvl)
 
 
-def _pooled(oof: DataFrame, is_delta: bool) -> tuple[float, float, float]:
+def pooled_metrics(oof: DataFrame, is_delta: bool) -> tuple[float, float, float]:
+    """MAE, RMSE and R2 on levels over all folds; rows without an upstream level are trained on but not scored."""
     ev = oof.where(F.col("oof_level").isNotNull())
     if is_delta:
         ev = ev.where(F.col("base_pred").isNotNull())
@@ -81,9 +84,10 @@ def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRes
                 .groupBy("alpha_idx").agg(F.avg("m").alias("score")).collect())
     scores = {int(r["alpha_idx"]): float(r["score"]) for r in fold_mae}
     best = min(sorted(scores), key=lambda i: (scores[i], i))
-    oof = _recon(scored.where(F.col("alpha_idx") == best), is_delta)
-    mae, rmse, r2 = _pooled(oof, is_delta)
-    scored.unpersist()  # the OOF stays a recomputable plan over the caller's frame
+    # checkpointed while the scores are cached, so nothing is scored again later
+    oof = reconstruct(scored.where(F.col("alpha_idx") == best), is_delta).checkpoint(eager=True)
+    mae, rmse, r2 = pooled_metrics(oof, is_delta)
+    scored.unpersist()
     icpt, beta = RG.fit_ridge(stats, spec.alphas[best], len(cols))
     model = {"intercept": icpt, "coef": [float(b) for b in beta], "features": cols, "alpha": spec.alphas[best]}
     return CandidateResult("Ridge", "ridge", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
@@ -109,7 +113,7 @@ def _fold_oof(data: DataFrame, spec: ForecastSpec, make, is_delta: bool) -> Data
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return _recon(oof, is_delta)
+    return reconstruct(oof, is_delta)
 
 
 def _search(df: DataFrame, spec: ForecastSpec, builder, grid: tuple, default: dict, is_delta: bool,
@@ -124,17 +128,18 @@ def _search(df: DataFrame, spec: ForecastSpec, builder, grid: tuple, default: di
             score = (oof.groupBy("block").agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("m"))
                      .agg(F.avg("m")).collect()[0][0])
         else:
-            score = _pooled(oof, is_delta)[0]
+            score = pooled_metrics(oof, is_delta)[0]
         if best is None or score < best[0]:
             if best is not None:
                 best[2].unpersist()
             best = (score, params, oof)
         else:
             oof.unpersist()
-    _, params, oof = best
-    mae, rmse, r2 = _pooled(oof, is_delta)
+    _, params, cached = best
+    oof = cached.checkpoint(eager=True)
+    cached.unpersist()
+    mae, rmse, r2 = pooled_metrics(oof, is_delta)
     final = builder(params).fit(data)
-    oof.unpersist()
     data.unpersist()
     return params, oof, final, (mae, rmse, r2)
 
@@ -178,7 +183,9 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
     spark = feats.sparkSession
     ensure_checkpoint_dir(spark)
     fs = spec.features
-    feats = feats.select(fs.key, fs.date, fs.target, *fs.feature_cols()).cache()
+    feats = feats.select(fs.key, fs.date, fs.target, *fs.feature_cols())
+    # the history gate: a series too short to train on would only add rows that no fold scores
+    feats = require_history(feats, fs.key, max(1, spec.min_history_days - max(fs.lags)), fs.date).cache()
     upstream = None
     comp_rows, man_rows = [], []
     champions, deltas = {}, {}
@@ -268,9 +275,11 @@ def horizon_view(manifest: DataFrame, comparison: DataFrame) -> DataFrame:
     return manifest.select("horizon", "model_type", "mae", "rmse", "r2").join(n, "horizon")
 
 
-def linear_attribution(rows: DataFrame, coefs: dict[str, float], means: dict[str, float],
-                       id_cols) -> DataFrame:
-    """Exact contributions coef * (x - mean) of a linear model, long form."""
-    items = [F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.lit(float(means[c]))) * F.lit(float(b)))
+def linear_attribution(rows: DataFrame, coefs: dict, means: dict, id_cols) -> DataFrame:
+    """Exact contributions coef * (x - mean) of a linear model, long form; coefficients and means are numbers
+    or, for models that differ by row, columns."""
+    def value(x):
+        return x if isinstance(x, Column) else F.lit(float(x))
+    items = [F.struct(F.lit(c).alias("feature"), ((F.col(c) - value(means[c])) * value(b))
                       .alias("attribution")) for c, b in coefs.items()]
     return rows.select(*id_cols, F.inline(F.array(*items)))

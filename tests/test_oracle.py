@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SLOW = {"tournament", "ridge", "oof_predict"}
+SLOW = {"tournament"}  # serve_forecast runs it
 
 
 def _norm(df):
