@@ -64,14 +64,6 @@ REFERENCE_RF_GRID = {
 
 # Weekday names in Monday=0 order; the legacy codes are their alphabetical rank.
 WEEKDAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-
-# Reference column names of the hourly feature table, in order.
-FEATURE_TABLE_COLUMNS = (
-    "date", "hour", "day", "month", "year", "day_of_week", "city",
-    "temperature", "humidity", "pressure", "wind_speed", "rain",
-    "pm10", "pm2_5", "carbon_monoxide", "nitrogen_dioxide", "sulphur_dioxide", "ozone",
-    "aqi_lag_1", "aqi_lag_2", "aqi_lag_3", "aqi_rolling_mean_3", "aqi_change", "aqi",
-)
 # ---------------------------------------------------------------------------
 
 

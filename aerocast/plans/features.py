@@ -19,7 +19,6 @@ from aerocast.config import FeatureSpec
 from aerocast.functions.calendar import calendar, cyclic
 from aerocast.operators import windows as W
 from aerocast.operators.stats import daily_mean
-from aerocast.session import tune_for_wide_plans
 
 
 def daily_frame(raw: DataFrame, spec: FeatureSpec) -> DataFrame:
@@ -49,7 +48,6 @@ def engineer(daily: DataFrame, spec: FeatureSpec, drop_incomplete: bool = True)
 
 
 def build_features(raw: DataFrame, spec: FeatureSpec, drop_incomplete: bool = True) -> DataFrame:
-    tune_for_wide_plans(raw.sparkSession)
     return engineer(daily_frame(raw, spec), spec, drop_incomplete)
 
 

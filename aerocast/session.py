@@ -32,7 +32,6 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("AEROCAST_DRIVER_MEMORY", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.sql.constraintPropagation.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,11 +56,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused folder under the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/aerocast-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def tune_for_wide_plans(spark: SparkSession) -> None:
-    """Feature plans carry ~40 derived columns, several window layers and a
-    40-column null filter; Catalyst's constraint propagation over them is
-    combinatorial (measured: 21 s of planning for one ``cache()`` at sf0.1, 0.3 s
-    without). It only infers extra filters, so results are unchanged."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
