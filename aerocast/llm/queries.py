@@ -85,7 +85,21 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
-@query("op7_minhash_dedup")
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] ELSE ws END) AS sh FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS reach FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT doc_id, min(reach) AS reach FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(reach, t.doc_id)) AS component_id,
+  t.doc_id <= coalesce(reach, t.doc_id) AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query("op7_minhash_dedup", OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.minhash import near_duplicates
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=2, similarity=0.8)
@@ -107,7 +121,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
-@query("op8_substring_dedup")
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM t WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w),
+f AS (SELECT h, min(doc_id) AS m FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, i + o AS i FROM k JOIN f USING (h), (SELECT unnest(range(50)) AS o) WHERE m < doc_id),
+e AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM t),
+r AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM e ANTI JOIN g USING (doc_id, i) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+@query("op8_substring_dedup", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.substring import remove_repeats
     return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
