@@ -26,8 +26,9 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, else the context's checkpoint folder; a new temporary one only where
+    neither is set. What the operators write there stays, for lazy results read it: clear it when they are done."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = getattr(spark, "_aerocast_llm_folder", None) or tempfile.mkdtemp(prefix="aerocast-")
         spark._aerocast_llm_folder = folder
