@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, signed, slices, span_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
-#: Values of a sketch. With J >= 0.8 the union sketch of 128 shares 102 +- 4.5 values; fewer than SHARE of 128 is five
-#: standard deviations away (below 1e-6 for a pair just at 0.8); sets so small that both are held whole are exact.
-SKETCH, SHARE = 128, 0.62
+#: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
+#: standard deviations away (below 1e-8 for a pair just at 0.8); sets so small that both are held whole are exact.
+SKETCH, SHARE = 64, 0.5
 #: Bits of a sketch's bitmap, as 64-bit words, with which most unlike pairs of a list are dropped in the join.
 BITMAP = 8
 #: Lists in which two classes must meet.
@@ -128,27 +128,33 @@ def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
 
 def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all classes of different components that meet often enough. A list is first paired by component,
-    so classes that are already connected make no pairs; a component with one class in the list brings its size and
-    bitmap along, so that pairs which can't be alike are dropped in the join itself."""
+    so classes that are already connected make no pairs. A component with one class in the list brings its size and
+    bitmap along; of two with more, the smaller one is spelt out. Pairs that can't be alike are dropped in the joins
+    themselves, so what comes out are candidates, not all pairs of a list."""
     named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     me = F.struct("id", "n", "meet", "due_bits", "bits").alias("me")
     at = named.select(F.explode("listed").alias("v"), "label", me)
     mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
     at = written(at.join(mixed, "v"), "mixed")
-    sides = at.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k"), F.first("me").alias("me"))
-    one, other = (sides.select("v", F.col("label").alias(f"l{x}"), F.col("k").alias(f"k{x}"), F.col("me").alias(x)) for x in "ab")
-
-    def alike():
-        return _similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
-
-    several = (F.col("ka") > 1) | (F.col("kb") > 1)
-    two = one.join(other, (one["v"] == other["v"]) & (F.col("la") < F.col("lb")) & (several | alike())).select(one["v"], "la", "lb", "ka", "kb", "a", "b")
-    single = two.filter(~several).select("a", "b")
-    # components with several classes in a list: each of theirs
-    left = at.select("v", F.col("label").alias("la"), F.col("me").alias("a"))
-    right = at.select("v", F.col("label").alias("lb"), F.col("me").alias("b"))
-    many = two.filter(several).select("v", "la", "lb").join(left, ["v", "la"])
-    many = many.join(right, (many["v"] == right["v"]) & (many["lb"] == right["lb"]) & alike()).select("a", "b")
+    sides = at.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k"), F.min("me.n").alias("lo"), F.max("me.n").alias("hi"), F.first("me").alias("me"))
+
+    def side(x: str) -> DataFrame:
+        return sides.select(F.col("v").alias(f"v{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("label", "k", "lo", "hi")], F.col("me").alias(x))
+
+    percent = round(similarity * 100)
+    alike = _similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
+    # a is the side with fewer classes in the list
+    order = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("labela") < F.col("labelb")))
+    sizes = (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
+    two = (side("a").join(side("b"), (F.col("va") == F.col("vb")) & (F.col("labela") != F.col("labelb")) & order & sizes
+                          & ((F.col("kb") > 1) | alike)))
+    single = two.filter("kb = 1").select("a", "b")
+    few = two.filter("kb > 1").select(F.col("va").alias("v"), "labela", "labelb", "ka", "a")
+    spelt = (few.filter("ka > 1").drop("a").join(at.select("v", F.col("label").alias("labela"), F.col("me").alias("a")), ["v", "labela"])
+             .select("v", "labelb", "a"))
+    right = at.select(F.col("v").alias("vb"), F.col("label").alias("label"), F.col("me").alias("b"))
+    left = few.filter("ka = 1").select("v", "labelb", "a").union(spelt)
+    many = left.join(right, (F.col("v") == F.col("vb")) & (F.col("labelb") == F.col("label")) & alike).select("a", "b")
     return (single.union(many).groupBy(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"))
             .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("a.meet", "b.meet")).alias("due")).filter("met >= due")
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
