@@ -258,72 +258,87 @@ an AS (SELECT *, greatest(0.0, raw_day1 * CAST({1 - ANCHOR_STRENGTHS['day1']!r}
   greatest(0.0, raw_day3 * CAST({1 - ANCHOR_STRENGTHS['day3']!r} AS DOUBLE) + live * CAST({ANCHOR_STRENGTHS['day3']!r} AS DOUBLE)) AS pred_day3 FROM sc)"""
 
 
-def ar_models(daily):
-    """Per-series AR(1) regressions for the three horizons (aggregates only)."""
+def ar_models(daily, x="y"):
+    """Per-series regressions of the next levels on ``x`` for the three horizons (aggregates only)."""
     w = Window.partitionBy("series_key").orderBy("date")
-    ar = daily.select("series_key", "date", "y", *[F.lead("y", h).over(w).alias(f"l{h}") for h in (1, 2, 3)])
-    return ar.groupBy("series_key").agg(
-        F.regr_intercept("l1", "y").alias("a1"), F.regr_slope("l1", "y").alias("b1"),
-        F.regr_intercept(F.col("l2") - F.col("l1"), "y").alias("a2"),
-        F.regr_slope(F.col("l2") - F.col("l1"), "y").alias("b2"),
-        F.regr_intercept(F.col("l3") - F.col("l2"), "y").alias("a3"),
-        F.regr_slope(F.col("l3") - F.col("l2"), "y").alias("b3"))
+    ar = daily.withColumns({f"l{h}": F.lead("y", h).over(w) for h in (1, 2, 3)})
+    steps = (F.col("l1"), F.col("l2") - F.col("l1"), F.col("l3") - F.col("l2"))
+    fits = [f(step, F.col(x)).alias(f"{n}{h}") for h, step in enumerate(steps, 1)
+            for f, n in ((F.regr_intercept, "a"), (F.regr_slope, "b"))]
+    return ar.groupBy("series_key").agg(*fits)
 
 
-def _ar_scored(spark, sf, live_override=None):
-    daily = _daily(spark, sf).select("series_key", "date", "y")
-    models = ar_models(daily)
-    latest = W.latest_row(daily)
-    if live_override is not None:
-        latest = TN.scenario_inputs(latest, live_override, "series_key", ["y"])
-    j = latest.join(models, "series_key")
-    j = j.withColumns({"live": F.col("y"), "raw1": F.col("a1") + F.col("b1") * F.col("y"),
-                       "d2": F.col("a2") + F.col("b2") * F.col("y"), "d3": F.col("a3") + F.col("b3") * F.col("y")})
+def _ar_scored(daily, latest, x="y"):
+    j = latest.join(ar_models(daily, x), "series_key")
+    j = j.withColumns({"live": F.col("y"), **{n: F.col(f"a{h}") + F.col(f"b{h}") * F.col(x) for n, h in (("raw1", 1), ("d2", 2), ("d3", 3))}})
     return TN.chain_score(j, "raw1", "d2", "d3")
 
 
+def _ar_latest(spark, sf):
+    daily = _daily(spark, sf).select("series_key", "date", "y")
+    return _ar_scored(daily, W.latest_row(daily))
+
+
 @register("chain_score", _DAILY_ONLY + ", " + _AR_SQL + """
 SELECT series_key, strftime(date, '%Y-%m-%d') AS date, round(raw_day1, 6) AS raw_day1, round(raw_day2, 6) AS raw_day2,
   round(raw_day3, 6) AS raw_day3 FROM sc""")
 def q_chain_score(spark, sf):
-    return rounded(_ar_scored(spark, sf).select("series_key", "date", "raw_day1", "raw_day2", "raw_day3"))
+    return rounded(_ar_latest(spark, sf).select("series_key", "date", "raw_day1", "raw_day2", "raw_day3"))
 
 
 @register("anchor_clamp", _DAILY_ONLY + ", " + _AR_SQL + """
 SELECT series_key, round(pred_day1, 6) AS pred_day1, round(pred_day2, 6) AS pred_day2, round(pred_day3, 6) AS pred_day3,
   round((pred_day1 + pred_day2 + pred_day3) / 3.0, 6) AS average_pred FROM an""")
 def q_anchor_clamp(spark, sf):
-    a = TN.anchor_clamp(_ar_scored(spark, sf), "live")
+    a = TN.anchor_clamp(_ar_latest(spark, sf), "live")
     return rounded(a.select("series_key", "pred_day1", "pred_day2", "pred_day3", "average_pred"))
 
 
-@register("forecast_rows", _DAILY_ONLY + ", " + _AR_SQL + """
-SELECT series_key, horizon, strftime(date + h, '%Y-%m-%d') AS forecast_date, round(predicted, 6) AS predicted,
-  'ar1' AS model_used FROM (
-  SELECT series_key, date, 'day1' AS horizon, 1 AS h, pred_day1 AS predicted FROM an UNION ALL
-  SELECT series_key, date, 'day2', 2, pred_day2 FROM an UNION ALL
-  SELECT series_key, date, 'day3', 3, pred_day3 FROM an)""")
+# forecasts made three days before the last one, so that the covariates of the forecast days are known
+_EARLIER_SQL = _AR_SQL.replace("QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1)",
+                               "QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 4)")
+
+
+@register("forecast_rows", _DAILY_ONLY + ", " + _EARLIER_SQL + """
+SELECT f.series_key, horizon, strftime(forecast_date, '%Y-%m-%d') AS forecast_date, round(predicted, 6) AS predicted,
+  'ar1' AS model_used, round(d.x1, 6) AS x1, round(d.x2, 6) AS x2, round(d.x3, 6) AS x3, round(d.x4, 6) AS x4 FROM (
+  SELECT series_key, date + 1 AS forecast_date, 'day1' AS horizon, pred_day1 AS predicted FROM an UNION ALL
+  SELECT series_key, date + 2, 'day2', pred_day2 FROM an UNION ALL
+  SELECT series_key, date + 3, 'day3', pred_day3 FROM an) f
+LEFT JOIN daily d ON d.series_key = f.series_key AND d.date = f.forecast_date""")
 def q_forecast_rows(spark, sf):
-    a = TN.anchor_clamp(_ar_scored(spark, sf), "live")
-    rows = TN.forecast_rows(a, "series_key", "date", {"day1": "ar1", "day2": "ar1", "day3": "ar1"})
+    daily = _daily(spark, sf)
+    levels = daily.select("series_key", "date", "y")
+    w = Window.partitionBy("series_key").orderBy(F.desc("date"))
+    earlier = levels.withColumn("_r", F.row_number().over(w)).where("_r = 4").drop("_r")
+    a = TN.anchor_clamp(_ar_scored(levels, earlier), "live")
+    rows = TN.forecast_rows(a, "series_key", "date", {"day1": "ar1", "day2": "ar1", "day3": "ar1"},
+                            covariates=daily, covariate_cols=("x1", "x2", "x3", "x4"))
     return rounded(rows)
 
 
-_SCEN_SQL = f"""ov AS (SELECT series_key, avg(y) AS y_ov FROM (SELECT series_key, y FROM daily
+# a scenario overrides a covariate (the mean of its last seven days) and keeps the level
+_SCEN_SQL = """ov AS (SELECT series_key, avg(x1) AS x1 FROM (SELECT series_key, x1 FROM daily
   QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) <= 7) GROUP BY series_key)"""
+_SCEN_AR_SQL = _AR_SQL
+for _h in (1, 2, 3):
+    _SCEN_AR_SQL = _SCEN_AR_SQL.replace(f"m.b{_h} * lt.y", f"m.b{_h} * lt.x1")
+_SCEN_AR_SQL = (_SCEN_AR_SQL.replace("SELECT series_key, date, y, lead(y, 1)", "SELECT series_key, date, y, x1, lead(y, 1)")
+                .replace("(l1, y)", "(l1, x1)").replace("(l2 - l1, y)", "(l2 - l1, x1)").replace("(l3 - l2, y)", "(l3 - l2, x1)")
+                .replace("lt AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1)",
+                         "lt AS (SELECT d.series_key, d.date, d.y, coalesce(ov.x1, d.x1) AS x1 FROM daily d LEFT JOIN ov USING (series_key) "
+                         "QUALIFY row_number() OVER (PARTITION BY d.series_key ORDER BY d.date DESC) = 1)"))
 
 
-@register("scenario_score", _DAILY_ONLY + ", " + _SCEN_SQL + ", " + _AR_SQL.replace(
-    "lt AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1)",
-    "lt AS (SELECT d.series_key, d.date, coalesce(ov.y_ov, d.y) AS y FROM daily d LEFT JOIN ov USING (series_key) "
-    "QUALIFY row_number() OVER (PARTITION BY d.series_key ORDER BY d.date DESC) = 1)") + """
+@register("scenario_score", _DAILY_ONLY + ", " + _SCEN_SQL + ", " + _SCEN_AR_SQL + """
 SELECT series_key, round(pred_day1, 6) AS pred_day1, round(pred_day2, 6) AS pred_day2, round(pred_day3, 6) AS pred_day3 FROM an""")
 def q_scenario_score(spark, sf):
-    daily = _daily(spark, sf).select("series_key", "date", "y")
+    daily = _daily(spark, sf).select("series_key", "date", "y", "x1")
     w = Window.partitionBy("series_key").orderBy(F.desc("date"))
     last7 = daily.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 7)
-    ov = last7.groupBy("series_key").agg(F.avg("y").alias("y"))
-    a = TN.anchor_clamp(_ar_scored(spark, sf, live_override=ov), "live")
+    ov = last7.groupBy("series_key").agg(F.avg("x1").alias("x1"))
+    latest = TN.scenario_inputs(W.latest_row(daily), ov, "series_key", ["x1"])
+    a = TN.anchor_clamp(_ar_scored(daily, latest, "x1"), "live")
     return rounded(a.select("series_key", "pred_day1", "pred_day2", "pred_day3"))
 
 

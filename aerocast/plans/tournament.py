@@ -248,14 +248,20 @@ def anchor_clamp(df: DataFrame, live: str, strengths: dict = ANCHOR_STRENGTHS) -
 
 
 def forecast_rows(scored: DataFrame, key: str, date: str, models: dict[str, str] | None = None,
-                  carry: tuple = ()) -> DataFrame:
+                  carry: tuple = (), covariates: DataFrame | None = None, covariate_cols: tuple = ()) -> DataFrame:
     """Three rows per series - forecast date (t+1..t+3), horizon,
-    prediction, model - via an ``inline`` of a 3-element array (no join)."""
+    prediction, model - via an ``inline`` of a 3-element array. With
+    ``covariates`` (key, date, columns) each row is paired with the expected
+    covariates of its day, NULL where there are none."""
     models = models or {}
     items = [F.struct(F.lit(h).alias("horizon"), F.date_add(F.col(date), i).alias("forecast_date"),
                       F.col(f"pred_day{i}").alias("predicted"), F.lit(models.get(h)).cast("string").alias("model_used"))
              for i, h in enumerate(("day1", "day2", "day3"), start=1)]
-    return scored.select(key, *carry, F.inline(F.array(*items)))
+    rows = scored.select(key, *carry, F.inline(F.array(*items)))
+    if covariates is None:
+        return rows
+    day = covariates.select(F.col(key), F.to_date(date).alias("forecast_date"), *covariate_cols)
+    return rows.join(day, [key, "forecast_date"], "left")
 
 
 def scenario_inputs(baseline: DataFrame, overrides: DataFrame, key: str, cols) -> DataFrame:
