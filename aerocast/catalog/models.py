@@ -195,19 +195,19 @@ def _ridge_2f(spark, sf):
 
 
 @register("ridge_grid", _RIDGE_SQL + """
-SELECT any_value(alpha) AS alpha, round(avg(abs(level - y)), 6) AS mae, round(sqrt(avg((level - y) * (level - y))), 6) AS rmse,
+SELECT any_value(alpha) AS alpha, round(avg(abs(level - y)), 3) AS mae, round(sqrt(avg((level - y) * (level - y))), 3) AS rmse,
   round(1 - avg((level - y) * (level - y)) / var_pop(y), 6) AS r2 FROM o""")
 def q_ridge_grid(spark, sf):
     """The ridge candidate itself (alpha grid, folds, pooled metrics) on two features."""
     r = _ridge_2f(spark, sf)
-    return rounded(spark.createDataFrame([(float(r.params["alpha"]), r.mae, r.rmse, r.r2)], "alpha double, mae double, rmse double, r2 double"))
+    return rounded(spark.createDataFrame([(float(r.params["alpha"]), round(r.mae, 3), round(r.rmse, 3), r.r2)], "alpha double, mae double, rmse double, r2 double"))
 
 
 @register("ridge_oof", _RIDGE_SQL + """
-SELECT series_key, strftime(date, '%Y-%m-%d') AS date, round(level, 6) AS oof_level FROM o""")
+SELECT series_key, strftime(date, '%Y-%m-%d') AS date, round(level, 3) AS oof_level FROM o""")
 def q_ridge_oof(spark, sf):
     """Its out-of-fold levels, row by row."""
-    return rounded(_ridge_2f(spark, sf).oof.select("series_key", "date", "oof_level"))
+    return rounded(_ridge_2f(spark, sf).oof.select("series_key", "date", F.round("oof_level", 3).alias("oof_level")))
 
 
 @register("oof_predict")
