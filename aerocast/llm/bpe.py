@@ -30,7 +30,8 @@ _ODD = regex.compile(r" (?:\s|$)")
 class ByteBpe:
     """Encoder and decoder for a table bytes -> rank (rank = token id)."""
 
-    MEMO = 400_000
+    #: Entries of each memo; Python workers keep them between stages, so they count against later stages too.
+    MEMO = 120_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
