@@ -1,14 +1,16 @@
 """Quality classifier by co-training of two views (operator 4).
 
 One logistic classifier sees the text (word presence and shape statistics), the other
-the page metadata (language, source, length). Over some rounds each one labels the
-documents of an unlabelled pool it is confident about and hands them to the *other*
-one's training set. Both views are then calibrated on held-out labelled documents and
-combined, and the combination scores every document.
-
-The fit uses bounded samples, chosen by a hash of doc_id: at most ``MAX_LABELLED``
-labelled and ``MAX_POOL`` unlabelled documents, whose selected features go to the
-driver. Scoring runs in Arrow batches over all documents and whole texts.
+the page metadata (language, source, length). Over some rounds each one labels all
+unlabelled documents it is confident about and hands them to the *other* one's training
+set. Both views are then calibrated on held-out labelled documents and combined, and the
+combination scores every document.
+
+Of the labelled documents a bounded sample goes to the driver, at most ``MAX_LABELLED``,
+chosen by a hash of doc_id. The unlabelled ones are all used and stay on the executors,
+as a table with a packed record each: a task labels its records anew from the models of
+the rounds before and sends sums of fixed size. Scoring runs in Arrow batches over all
+documents and whole texts.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerocast.llm.common import LOWER, large_binaries, mix, slices, span_hashes, word_spans
+from aerocast.llm.common import LOWER, large_binaries, mix, slices, span_hashes, word_spans, written
 
-#: Bounds of the samples that the fit sees.
-MAX_LABELLED, MAX_POOL = 20_000, 5_000
+#: Bound of the labelled sample that the fit sees.
+MAX_LABELLED = 20_000
 #: Words are hashed to so many features, of which those with the strongest evidence are used.
 HASH_BITS, MAX_WORDS, MIN_DOCS, MIN_Z = 18, 384, 8, 4.0
-ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 1_000
+ROUNDS, CONFIDENT = 3, 0.97
+#: Newton steps of a fit; records that a task holds unpacked; numbers in a piece of a task's sums.
+STEPS, BLOCK, PIECE = 12, 2048, 1 << 13
 HELD_OUT = 0.25
 METADATA = ("lang", "source", "n_chars")
 META_DIM = 32
@@ -207,44 +211,169 @@ def _matrix(stats: np.ndarray, row: np.ndarray, word: np.ndarray, words: np.ndar
     return x
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> QualityModel:
-    """Co-trains the two views; labels has doc_id, quality and toxic."""
-    order = F.xxhash64("doc_id")
+def _packed(stats: np.ndarray, meta: np.ndarray, row: np.ndarray, word: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A record of fixed size (bytes) per document: statistics and length as floats, metadata flags and words as bits."""
+    floats = np.column_stack((stats, meta[:, META_DIM])).astype("<f4")
+    bits = np.concatenate((meta[:, :META_DIM] > 0, _matrix(np.zeros((len(stats), 0)), row, word, words) > 0), axis=1)
+    return np.concatenate((floats.view(np.uint8), np.packbits(bits, axis=1)), axis=1)
+
+
+def _unpacked(records: np.ndarray, n_words: int) -> list[np.ndarray]:
+    """The features of the text and the metadata view."""
+    cut = 4 * (N_STATS + 1)
+    floats = np.ascontiguousarray(records[:, :cut]).view("<f4")
+    bits = np.unpackbits(records[:, cut:], axis=1, count=META_DIM + n_words)
+    return [np.concatenate((floats[:, :N_STATS], bits[:, META_DIM:]), axis=1, dtype=float),
+            np.concatenate((bits[:, :META_DIM], floats[:, N_STATS:]), axis=1, dtype=float)]
+
+
+def pool_table(docs: DataFrame, good: DataFrame, words: np.ndarray) -> DataFrame:
+    """A record of each row whose doc_id has no label, written to the shared folder; null doc_ids are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            meta = metadata_features(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
+            for first, last, stats, row, word in text_features(large_binaries(b.column(4))):
+                records = _packed(stats, meta[first:last], row, word, words)
+                offsets = np.arange(len(records) + 1, dtype=np.int32) * records.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, last - first), pa.Array.from_buffers(pa.binary(), len(records), [None, pa.py_buffer(offsets), pa.py_buffer(records.tobytes())])],
+                    names=["doc_id", "record"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"c{k}") for k, c in enumerate(_columns(docs))]).filter("doc_id IS NOT NULL")
+    records = rows.mapInArrow(run, "doc_id long, record binary")
+    return written(records.join(good.select("doc_id"), "doc_id", "left_anti").select("record"), "pool")
+
+
+def taught(views: list[np.ndarray], rounds: list[list[Logistic]]) -> list[np.ndarray]:
+    """The pseudo-label of each document in the training set of each view (-1: none), from the first round in which
+    the other view's model was confident."""
+    labels = [np.full(len(x), -1.0) for x in views]
+    for models in rounds:
+        for k, (model, x) in enumerate(zip(models, views, strict=True)):
+            p, new = 1 / (1 + np.exp(-model.logit(x))), labels[1 - k] < 0
+            labels[1 - k][new & (p >= CONFIDENT)] = 1.0
+            labels[1 - k][new & (1 - p >= CONFIDENT)] = 0.0
+    return labels
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number, sums and sums of squares of the bad, then of the good ones."""
+    return np.concatenate([np.concatenate(([len(p)], p.sum(axis=0), (p * p).sum(axis=0))) for p in (x[y == 0], x[y == 1])])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Loss, gradient and Hessian of the logistic loss; weight: of a bad and of a good document."""
+    z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
+    each, at = weight[y.astype(int)], z @ w
+    p = 1 / (1 + np.exp(-at))
+    loss = (each * np.logaddexp(0, -(2 * y - 1) * at)).sum()
+    hessian = (z * (each * np.maximum(p * (1 - p), 1e-5))[:, None]).T @ z
+    return np.concatenate(([loss], z.T @ (each * (p - y)), hessian.ravel()))
+
+
+def _pool_sums(pool: DataFrame, n_words: int, rounds: list[list[Logistic]], asks: list) -> list[np.ndarray | float]:
+    """Sums over all records, by view: of an ask () the moments, of one with arguments those of ``_newton``, of None
+    nothing. Tasks send their sums in pieces, which the executors add up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        sums = [0.0, 0.0]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            records = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            for a in range(0, len(records), BLOCK):
+                views = _unpacked(records[a:a + BLOCK], n_words)
+                for k, (x, y, ask) in enumerate(zip(views, taught(views, rounds), asks, strict=True)):
+                    if ask is not None:
+                        x, y = x[y >= 0], y[y >= 0]
+                        sums[k] = sums[k] + (_newton(x, y, *ask) if ask else _moments(x, y))
+        for k, s in enumerate(sums):
+            if isinstance(s, np.ndarray):
+                pieces = [s[a:a + PIECE].tobytes() for a in range(0, len(s), PIECE)]
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()),
+                                                  pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(pieces, pa.binary())],
+                                                 names=["view", "piece", "task", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")
+        total = sum(np.frombuffer(s) for s in table.column("sums").to_pylist())
+        return table.slice(0, 1).select(["view", "piece"]).append_column("sums", pa.array([total.tobytes()], pa.binary()))
+
+    parts = pool.mapInArrow(run, "view int, piece int, task int, sums binary")
+    rows = parts.groupBy("view", "piece").applyInArrow(add, "view int, piece int, sums binary").collect()
+    found: list[np.ndarray | float] = [0.0, 0.0]
+    for k in range(2):
+        pieces = [r["sums"] for r in sorted((r for r in rows if r["view"] == k), key=lambda r: r["piece"])]
+        if pieces:
+            found[k] = np.frombuffer(b"".join(pieces))
+    return found
+
+
+def _fit_views(views: list[np.ndarray], y: np.ndarray, pool: DataFrame, n_words: int, rounds: list[list[Logistic]]) -> list[Logistic]:
+    """Fits both views to the labelled documents (on the driver) and those taught in the rounds so far (by Spark jobs).
+    The taught documents of a class weigh together at most as much as its labelled ones, so that the label rate stays."""
+    def total(asks: list) -> list:
+        return _pool_sums(pool, n_words, rounds, asks) if rounds else [0.0, 0.0]
+
+    def near(x: np.ndarray, f) -> np.ndarray:
+        return sum(f(x[a:a + BLOCK].astype(float), y[a:a + BLOCK]) for a in range(0, len(x), BLOCK))
+
+    fits = []
+    for k, (x, far) in enumerate(zip(views, total([(), ()]), strict=True)):
+        d = x.shape[1]
+        here = near(x, _moments).reshape(2, -1)
+        there = np.zeros_like(here) + (far.reshape(2, -1) if isinstance(far, np.ndarray) else 0.0)
+        weight = np.minimum(1.0, here[:, 0] / np.maximum(there[:, 0], 1.0))
+        n, first, second = np.split((here + weight[:, None] * there).sum(axis=0), (1, 1 + d))
+        mean = first / n
+        scale = np.sqrt(np.maximum(second / n - mean * mean, 0.0))
+        scale = np.where(scale > 1e-6, scale, 1.0)
+        w = np.zeros(d + 1)
+        if rounds:  # from the weights of the round before
+            last = rounds[-1][k]
+            w = np.append(last.weights * scale / last.scale, last.bias + (last.weights * (mean - last.mean) / last.scale).sum())
+        fits.append({"mean": mean, "scale": scale, "weight": weight, "w": w, "trial": w, "step": None, "rate": 1.0, "now": np.inf, "left": STEPS, "done": False})
+    ridge = [np.append(np.full(x.shape[1], 3.0), 1e-3) for x in views]
+    while not all(f["done"] for f in fits):
+        sums = total([None if f["done"] else (f["mean"], f["scale"], f["trial"], f["weight"]) for f in fits])
+        for f, x, far, penalty in zip(fits, views, sums, ridge, strict=True):
+            if f["done"]:
+                continue
+            w, n = f["trial"], x.shape[1] + 1
+            found = near(x, lambda part, of, f=f, w=w: _newton(part, of, f["mean"], f["scale"], w, np.ones(2))) + far
+            loss = found[0] + (penalty * w * w).sum() / 2
+            if loss > f["now"]:
+                f["rate"] /= 2
+                f["trial"], f["done"] = f["w"] - f["rate"] * f["step"], f["rate"] < 1e-4
+                continue
+            f["done"] = f["left"] == 0 or f["now"] - loss < 1e-6 * f["now"] < np.inf
+            f["w"], f["now"], f["left"], f["rate"] = w, loss, f["left"] - 1, 1.0
+            f["step"] = np.linalg.solve(found[1 + n:].reshape(n, n) + np.diag(penalty), found[1:1 + n] + penalty * w)
+            f["trial"] = w - f["step"]
+    return [Logistic(f["mean"], f["scale"], f["w"][:-1], float(f["w"][-1])) for f in fits]
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
+    """Co-trains the two views on the labels (doc_id, quality and toxic) and all documents without one."""
     good = labels_of(labels)
-    chosen = good.orderBy(order, "doc_id").limit(max_labelled).withColumn("good", F.col("good").cast("int"))
-    pool = (docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-            .join(good, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool).withColumn("good", F.lit(-1)))
-    ids, y, stats, meta, row, word = _sampled(docs, chosen.unionByName(pool))
-    known = np.flatnonzero(y >= 0)
-    if len(known) < 8 or y[known].min() == y[known].max():
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn("good", F.col("good").cast("int"))
+    ids, y, stats, meta, row, word = _sampled(docs, chosen)
+    if len(y) < 8 or y.min() == y.max():
         return QualityModel(np.zeros(0, np.int64), None, None, None)
-    held = np.zeros(len(y), dtype=bool)
-    held[known] = mix(ids[known].astype(np.uint64)) < np.uint64(int(HELD_OUT * 2**64))
-    train = known[~held[known]]
-    if len(train) < 8 or y[train].min() == y[train].max() or y[held].size == 0 or y[held].min() == y[held].max():
-        train, held = known, y >= 0
-    in_train = np.zeros(len(y), dtype=bool)
-    in_train[train] = True
-    use = in_train[row]
+    held = mix(ids.astype(np.uint64)) < np.uint64(int(HELD_OUT * 2**64))
+    train = ~held
+    if train.sum() < 8 or y[train].min() == y[train].max() or not held.any() or y[held].min() == y[held].max():
+        train = held = np.ones(len(y), dtype=bool)
+    use = train[row]
     words = _select_words(row[use], word[use], y, float(y[train].mean()))
     views = [_matrix(stats, row, word, words), meta]
     del row, word, use
-    taught = [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in views]
-    free = np.flatnonzero(y < 0)
-    models: list[Logistic] = []
-    for turn in range(ROUNDS + 1):
-        models = []
-        for x, known_y in zip(views, taught, strict=True):
-            at = np.array(sorted(known_y))
-            models.append(Logistic.fit(x[at], np.array([known_y[i] for i in at])))
-        if turn == ROUNDS or not len(free):
-            break
-        for k, model in enumerate(models):
-            p = 1 / (1 + np.exp(-model.logit(views[k][free])))
-            other = taught[1 - k]
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                new = [i for i in free[np.argsort(-sure, kind="stable")][:int((sure >= CONFIDENT).sum())].tolist() if i not in other]
-                other.update({i: label for i in new[:PER_ROUND]})
+    pool = pool_table(docs, good, words)
+    rounds: list[list[Logistic]] = []
+    for _ in range(ROUNDS + 1):
+        models = _fit_views([x[train] for x in views], y[train], pool, len(words), rounds)
+        rounds.append(models)
     logits = np.column_stack([m.logit(x[held]) for m, x in zip(models, views, strict=True)])
     return QualityModel(words, models[0], models[1], Logistic.fit(logits, y[held], ridge=1.0))
 

@@ -324,6 +324,20 @@ def test_quality(spark):
     assert all(again[i] == pytest.approx(scored[i].quality_score, abs=1e-6) for i in range(900))
 
 
+def test_quality_learns_from_all_unlabelled_documents(spark):
+    """Documents beyond any fixed sample of the unlabelled ones still move the fit."""
+    from aerocast.llm.quality import fit_quality
+    rng = random.Random(12)
+    docs = [(i, " ".join(x.upper() + "!!" if i % 3 == 0 else x for x in words(rng, 12))) for i in range(5800)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, docs).withColumn("at", F.xxhash64("doc_id"))
+    late = docs.filter("doc_id >= 300").orderBy("at").offset(5000).select(F.col("doc_id").alias("late"))
+    docs = docs.join(F.broadcast(late), docs["doc_id"] == late["late"], "left")
+    moved = docs.withColumn("n_chars", F.when(F.col("late").isNotNull(), F.col("n_chars") + 1000).otherwise(F.col("n_chars")))
+    one, two = (fit_quality(d, labels) for d in (docs, moved))
+    assert late.count() == 500 and abs(one.meta.mean[-1] - two.meta.mean[-1]) > 0.01
+
+
 # ------------------------------------------------------------------ 1 urls
 def test_url_filter(spark):
     from aerocast.llm.queries import URL_RULES
