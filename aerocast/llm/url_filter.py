@@ -3,9 +3,10 @@
 Per host, urls form a tree of path segments. Segments that vary are generalised into
 wildcards (by form: digits and long opaque values; by count: children that hold too
 small a share of their node). Sibling branches that continue alike and whose labelled
-block rates do not differ significantly are merged. A template is rejected if its
-labelled purity, smoothed towards the rate of all labels, reaches a threshold, so a
-host without labels of its own is never rejected on the evidence of other hosts.
+block rates do not differ significantly are merged. A template is rejected if it holds
+labelled urls and its labelled purity, smoothed towards the rate of all labels, reaches
+a threshold, so a host without labels of its own is never rejected on the evidence of
+other hosts.
 Explicit rules (longest first) come before templates.
 
 All of it is DataFrame work: urls are first counted into (host, generalised path)
@@ -128,9 +129,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     total = counts().select(F.when(F.col("n") > 0, F.col("b") / F.col("n")).otherwise(F.lit(0.0)).alias("rate")).first()
     prior = float(total["rate"] or 0.0) if total else 0.0
     here = counts("host", "merged").select(
-        "host", "merged", ((F.col("b") + SMOOTHING * prior) / (F.col("n") + SMOOTHING)).alias("purity"))
+        "host", "merged", (F.col("n") > 0).alias("_known"), ((F.col("b") + SMOOTHING * prior) / (F.col("n") + SMOOTHING)).alias("purity"))
     judged = (shapes.join(here, ["host", "merged"])
-              .select("host", "shape", F.concat(F.lit("/"), F.array_join("base", "/")).alias("template"), "purity"))
-    verdict = F.coalesce(F.col("_says"), F.when(F.col("purity") >= REJECT_AT, F.lit("block")).otherwise(F.lit("allow")))
+              .select("host", "shape", F.concat(F.lit("/"), F.array_join("base", "/")).alias("template"), "_known", "purity"))
+    verdict = F.coalesce(F.col("_says"), F.when(F.col("_known") & (F.col("purity") >= REJECT_AT), F.lit("block")).otherwise(F.lit("allow")))
     return (urls.join(judged, ["host", "shape"], "left")
             .select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity"))

@@ -358,6 +358,14 @@ def test_url_filter(spark):
     assert filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_filter_without_labels_of_its_own(spark):
+    """Above a label rate of REJECT_AT a template without labels is still allowed."""
+    from aerocast.llm.url_filter import filter_urls
+    urls = [(i, f"http://spam.com/a/{i}") for i in range(50)] + [(100 + i, f"http://free.org/a/{i}") for i in range(20)] + [(200, None)]
+    out = filter_urls(spark.createDataFrame(urls, "page_id long, url string"), [("spam.com/", "block")]).collect()
+    assert all(r.verdict == ("block" if r.page_id < 100 else "allow") for r in out) and len(out) == 71
+
+
 # ------------------------------------------------------------------ helpers
 def test_components(spark):
     from aerocast.llm.components import components
