@@ -10,7 +10,8 @@ other hosts.
 Explicit rules (longest first) come before templates.
 
 All of it is DataFrame work: urls are first counted into (host, generalised path)
-shapes, the tree is built on the shapes, and the urls are joined back once.
+shapes, the tree is built on the shapes, level by level down to the longest path, and
+the urls are joined back once.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from aerocast.llm.common import written
 
-#: Segments of a path that the tree looks at; what follows is one wildcard.
-MAX_DEPTH = 3
+#: Levels of the tree after which it is written down, to keep plans short.
+LEVELS = 3
 #: A child is a branch of its own from so many urls and this share of its node.
 MIN_SUPPORT, MIN_SHARE = 5, 0.01
 #: Longer segments are opaque values.
@@ -69,7 +70,7 @@ def _generalise(shapes: DataFrame, depth: int) -> DataFrame:
 
 def _merge(shapes: DataFrame, depth: int) -> DataFrame:
     """Siblings at ``depth`` that continue alike and have similar block rates become one branch of ``merged``."""
-    prefix, tail = F.slice("merged", 1, depth).alias("prefix"), F.expr(f"slice(merged, {depth + 2}, {MAX_DEPTH + 1})")
+    prefix, tail = F.slice("merged", 1, depth).alias("prefix"), F.expr(f"slice(merged, {depth + 2}, size(merged))")
     deep = shapes.filter(F.size("merged") > depth)
     branches = (deep.groupBy("host", prefix, F.col("merged")[depth].alias("segment"), tail.alias("tail"))
                 .agg(F.sum("n_labelled").alias("n"), F.sum("n_block").alias("b"))
@@ -110,18 +111,23 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
     segments = F.split(F.expr("substring(path, 2)"), "/", -1)
     opaque = F.transform(segments, lambda s: F.when(F.length(s) > MAX_SEGMENT, F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "*")))
     shape = (F.when(F.col("path") == "", F.array().cast("array<string>"))
-             .when(F.size(opaque) > MAX_DEPTH, F.concat(F.slice(opaque, 1, MAX_DEPTH), F.array(F.lit("**")))).otherwise(opaque))
+             .otherwise(opaque))
     urls = urls.withColumns({"shape": shape, "_label": F.when(F.col("_says").isNotNull(), (F.col("_says") == "block").cast("int"))
                              .otherwise(F.col("_given"))})
     shapes = (urls.groupBy("host", "shape")
               .agg(F.count(F.lit(1)).alias("n"), F.count("_label").alias("n_labelled"), F.coalesce(F.sum("_label"), F.lit(0)).alias("n_block")))
     shapes = written(shapes.withColumn("base", F.col("shape")), "shapes")
-    for depth in range(MAX_DEPTH):
-        shapes = _generalise(shapes, depth)
-    shapes = written(shapes.withColumn("merged", F.col("base")), "templates")
-    for depth in range(MAX_DEPTH):
-        shapes = _merge(shapes, depth)
-    shapes = written(shapes, "merged")
+    depths = int(shapes.agg(F.max(F.size("shape"))).first()[0] or 0)
+
+    def levels(table: DataFrame, step, name: str) -> DataFrame:
+        for depth in range(depths):
+            table = step(table, depth)
+            if (depth + 1) % LEVELS == 0 and depth + 1 < depths:
+                table = written(table, name)
+        return written(table, name)
+
+    shapes = levels(shapes, _generalise, "templates").withColumn("merged", F.col("base"))
+    shapes = levels(shapes, _merge, "merged")
 
     def counts(*by):
         return shapes.groupBy(*by).agg(F.sum("n_labelled").alias("n"), F.sum("n_block").alias("b"))

@@ -366,6 +366,13 @@ def test_url_filter_without_labels_of_its_own(spark):
     assert all(r.verdict == ("block" if r.page_id < 100 else "allow") for r in out) and len(out) == 71
 
 
+def test_url_filter_looks_at_all_segments(spark):
+    from aerocast.llm.url_filter import filter_urls
+    urls = [(i, f"http://h.org/a/b/c/d/{'spam' if i % 2 else 'good'}/{'xyz' * (i % 3)}", i % 2) for i in range(120)]
+    out = filter_urls(spark.createDataFrame(urls, "page_id long, url string, y int"), [("unused.com/", "block")], label_col="y").collect()
+    assert len(out) == 120 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in out)
+
+
 # ------------------------------------------------------------------ helpers
 def test_components(spark):
     from aerocast.llm.components import components
