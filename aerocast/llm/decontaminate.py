@@ -9,6 +9,7 @@ from the threshold up; a hit counts if the item's question and its answer overla
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import large_binaries, slices, span_hashes, window_hashes
+from aerocast.llm.common import large_binaries, slices, span_hashes, window_hashes, written
 
 K1, B = 1.2, 0.75
 #: Least words of a passage (more if an item is longer); neighbours overlap by half.
@@ -70,6 +71,40 @@ def _one(text: str) -> np.ndarray:
     return np.concatenate([h for _, _, h, _ in word_hashes(pa.array([text]))] or [np.zeros(0, np.uint64)])
 
 
+@dataclass
+class Statistics:
+    """Of all items: their number, longest and mean length; and of the terms of an index (sorted) the items that hold them."""
+    n: int
+    longest: int
+    mean: float
+    terms: np.ndarray
+    n_items: np.ndarray
+
+
+def _item_terms(items: DataFrame) -> DataFrame:
+    """block, length and distinct terms of each item with text, written to the shared folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, _one(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t.strip()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int32()), pa.array([len(w) for _, w in rows], pa.int32()),
+                 pa.array([np.unique(w).view(np.int64) for _, w in rows], pa.list_(pa.int64()))], names=["block", "length", "terms"])
+
+    return written(items.select("block", "text").mapInArrow(run, "block int, length int, terms array<bigint>"), "item_terms")
+
+
+def _statistics(terms: DataFrame, blocks: int) -> Iterator[Statistics]:
+    """The statistics that each block's index needs, all counted over the items of all blocks."""
+    whole = terms.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.avg("length").alias("mean")).first()
+    each = terms.select("block", F.explode("terms").alias("term"))
+    n_items = written(each.groupBy("term").agg(F.count(F.lit(1)).alias("n_items")), "n_items")
+    for k in range(blocks):
+        mine = each.filter(F.col("block") == k).select("term").distinct().join(n_items, "term").toArrow()
+        term = np.asarray(mine["term"].combine_chunks()).view(np.uint64)
+        order = np.argsort(term)
+        yield Statistics(whole["n"], whole["longest"] or 0, whole["mean"] or 0.0, term[order], np.asarray(mine["n_items"].combine_chunks())[order])
+
+
 @dataclass
 class Index:
     """Inverted index of some items. terms: sorted word hashes; per term its postings and bounds."""
@@ -87,15 +122,19 @@ class Index:
     block_bound: np.ndarray | None = None
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int, str]], stats: Statistics | None = None) -> Index:
+        """stats: of all items, if the rows are some of them only."""
         found = sorted(((len(w), i, t, w) for i, t, w in ((i, t or "", _one(t or "")) for i, t in rows)), key=lambda x: x[:3])
         # items of like length have like impacts, so that the maxima of their blocks are tight
         rows, words = [(i, t) for _, i, t, _ in found], [w for *_, w in found]
         length = np.array([len(w) for w in words], dtype=float)
-        mean = max(1.0, length.mean()) if len(rows) else 1.0
+        n, longest, mean = len(rows), length.max() if len(rows) else 0, max(1.0, length.mean()) if len(rows) else 1.0
         counts = [np.unique(w, return_counts=True) for w in words]
         terms, n_items = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.uint64)]), return_counts=True)
-        idf = np.log1p((len(rows) - n_items + 0.5) / (n_items + 0.5))
+        if stats is not None:
+            n, longest, mean = stats.n, stats.longest, max(1.0, stats.mean)
+            n_items = stats.n_items[np.searchsorted(stats.terms, terms)]
+        idf = np.log1p((n - n_items + 0.5) / (n_items + 0.5))
         posted: list[list[tuple[int, float]]] = [[] for _ in terms]
         for k, (term, tf) in enumerate(counts):
             at = np.searchsorted(terms, term)
@@ -103,7 +142,7 @@ class Index:
             own = impact.sum()
             for t, x in zip(at.tolist(), (impact / own).tolist(), strict=True):
                 posted[t].append((k, x))
-        index = cls([i for i, _ in rows], int(max(PASSAGE_WORDS, length.max() if len(rows) else 0)), terms,
+        index = cls([i for i, _ in rows], int(max(PASSAGE_WORDS, longest)), terms,
                     np.array([max(x for _, x in p) for p in posted] or [], dtype=float))
         for p in posted:
             index.items.append([k for k, _ in p])
@@ -171,11 +210,10 @@ class Index:
                     total += self.block_max[c[2]][b]
                     until = min(until, items[min(len(items), b * BLOCK + BLOCK) - 1] + 1)
             if total >= least:
-                score = 0.0
                 for c in at[:upto + 1]:
                     self._to(c, pivot)
-                    if c[0] == pivot:
-                        score += self.impacts[c[2]][c[1]]
+                # summed exactly, so that passages with the same terms tie in whatever index
+                score = math.fsum(self.impacts[c[2]][c[1]] for c in at[:upto + 1] if c[0] == pivot)
                 if score >= least:
                     found.append((pivot, score))
                 until = pivot + 1
@@ -249,8 +287,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     items with null id or without words match nothing; repeated item ids are merged by the
     best score; rows with null or repeated doc_id are judged like all others.
 
-    Items are read to the driver in indexes of at most ``MAX_ITEMS`` items (by hash of the
-    item), each broadcast with BM25 statistics of its own; every text is searched in all.
+    Items are read to the driver in indexes of about ``MAX_ITEMS`` items at most (by hash of
+    the item_id), each broadcast; all have the BM25 statistics and the passage length of the
+    whole benchmark, so scores do not depend on their number; every text is searched in all.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
         "item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -258,9 +297,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     kind = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
     found: list[Column] = []
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows if r["text"].strip()]))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    whole = iter([None]) if blocks == 1 else _statistics(_item_terms(items), blocks)
+    for k, stats in enumerate(whole):
+        rows = items.filter(F.col("block") == k).collect()
+        index = spark.sparkContext.broadcast(Index.build([(r["item_id"], r["text"]) for r in rows if r["text"].strip()], stats))
         found.append(_search_udf(index, threshold, question, answer, kind)(F.col("text").cast("string")))
     merged = found[0] if blocks == 1 else F.sort_array(F.concat(*found))
     return docs.drop(leaks_col).withColumn(leaks_col, merged)

@@ -296,6 +296,23 @@ def test_decontamination(spark, rows):
     assert find_leaks(docs, bench.limit(0)).count() == 0 and find_leaks(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    from aerocast.llm import decontaminate as D
+    rng = random.Random(13)
+    items = [(i, " ".join(words(rng, rng.choice((12, 30, 90)), 2000)) + ". " + " ".join(words(rng, 6, 10**6)) + ".") for i in range(60)]
+    items += [(3, items[4][1]), (61, " ")]
+    cut = [t.split() for _, t in items[:60]]
+    docs = [(i, " ".join(words(rng, 100) + w[:rng.randint(len(w) // 2, len(w))] + words(rng, 100))) for i, w in enumerate(cut)]
+    docs += [(100 + i, t) for i, t in items]
+    docs, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (20_000, 9):
+        monkeypatch.setattr(D, "MAX_ITEMS", most)
+        rows = D.find_leaks(docs, bench, question=0.2, answer=0.0).collect()
+        found.append(sorted((r.doc_id, r.item_id, *(round(r[c], 9) for c in ("score", "question_overlap", "answer_overlap"))) for r in rows))
+    assert found[0] == found[1] and len(found[0]) > 60
+
+
 # ------------------------------------------------------------------ 4 quality
 def test_quality(spark):
     from aerocast.llm.quality import score_quality
