@@ -117,7 +117,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op6_topk", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.topk import integer_vectors, top_k
-    vectors = integer_vectors(read(spark, sf_dir, "embeddings"))
+    vectors = integer_vectors(read(spark, sf_dir, "embeddings"), repeats=True)
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 

@@ -27,14 +27,14 @@ QUERY_BLOCK, CANDIDATE_BLOCK, BIN_BITS = 1024, 4096, 10
 SCALE = 256.0
 
 
-def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def integer_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", repeats: bool = False) -> DataFrame:
     """(vec_id, vec array<long>): floor(256 * x) of each component; without rows that are null or hold null or
-    non-finite components, without null ids, equal rows once."""
+    non-finite components, without null ids; equal rows once, or all of them with ``repeats``."""
     x = F.col(vector_col).cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return (embeddings.filter(F.col(id_col).isNotNull() & x.isNotNull() & good & (F.size(x) > 0))
-            .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE)).alias("vec"))
-            .distinct())
+    rows = (embeddings.filter(F.col(id_col).isNotNull() & x.isNotNull() & good & (F.size(x) > 0))
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE)).alias("vec")))
+    return rows if repeats else rows.distinct()
 
 
 def _matrix(column) -> np.ndarray:
@@ -58,7 +58,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     of ``vectors`` of the same length and another vec_id. Result: query_id, rank (int, from
     1), vec_id, score (long); ties go to the smaller vec_id; a query with fewer candidates
     returns all of them. Of queries that repeat an id the smallest vector counts; vectors
-    that repeat an id with another content are candidates of their own. Products must fit
+    that repeat an id, with whatever content, are candidates of their own. Products must fit
     64 bits. Empty inputs give an empty result.
     """
     queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))

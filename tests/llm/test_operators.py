@@ -260,6 +260,14 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(ints, ints.limit(0), 5).count() == 0
 
 
+def test_op6_keeps_repeated_candidates(spark, tmp_path):
+    from aerocast.llm.queries import QUERIES
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["op6_topk"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out)) == [(0, n + 1, i, 65536 * x) for n, (i, x) in enumerate([(1, 3), (1, 3), (1, 2), (2, 1)])]
+
+
 # ------------------------------------------------------------------ 3 decontamination
 def test_block_max_wand_is_exhaustive():
     from aerocast.llm.decontaminate import Index
