@@ -171,3 +171,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from aerocast.llm.ngram_lm import score_documents
     scored = score_documents(read(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
+
+
+@query("op12_token_records")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from aerocast.llm.common import shared_folder
+    from aerocast.llm.token_records import read_records, write_records
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/token_records"
+    write_records(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    back = read_records(spark, path, ids="binary")
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
