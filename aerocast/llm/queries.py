@@ -185,3 +185,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_records(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     back = read_records(spark, path, ids="binary")
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+o AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') for i in range(1, len(ws) - k + 2)]) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM o GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30),
+q AS (SELECT * FROM (VALUES (3, 1, 2), (3, 2, 2), (4, 1, 2), (4, 2, 2), (4, 3, 2), (4, 1, 3), (4, 2, 3)) AS q (k, x, y)),
+s AS (SELECT DISTINCT lang, array_to_string(ws[x:x + y - 1], ' ') AS sub, a FROM c JOIN q USING (k)),
+d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN s ON s.lang = c.lang AND s.sub = c.phrase WHERE 100 * s.a >= 80 * c.a),
+u AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM c ANTI JOIN d USING (lang, phrase)),
+v AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, (2000000 * u.a) // (l.f + r.f) AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM v),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b WHERE nth = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.collocations import mine_phrases, score_phrases, top_phrases
+    phrases, sizes = mine_phrases(read(spark, sf_dir, "documents"))
+    top = top_phrases(score_phrases(phrases, sizes))
+    return top.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
