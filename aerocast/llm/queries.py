@@ -215,3 +215,31 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases, sizes = mine_phrases(read(spark, sf_dir, "documents"))
     top = top_phrases(score_phrases(phrases, sizes))
     return top.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", *[F.col(c).cast("long").alias(c) for c in ("a", "l", "r", "n", "score")])
+
+
+def periodic_tail(doc_id: int | None, n: int):
+    """The contract's order of a document's n words: for one id in ten the words from a place on repeat with period p."""
+    import zlib
+
+    import numpy as np
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if doc_id is None or rest or not n:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate((np.arange(a), a + np.arange(n - a) % p))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from aerocast.llm.periodic import collapse_runs
+    found = collapse_runs(read(spark, sf_dir, "documents"), rearrange=periodic_tail)
+    runs = F.col("runs")
+    line = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # runs are in order of start and period, so of equal exponents the first stays; compared as length * other period
+    better = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate(runs, F.lit(None).cast("struct<start: long, length: long, period: long>"), better)
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
