@@ -8,23 +8,28 @@ level, in the manner of SETM:
 1. *merge-join*: within a chunk, phrases at neighbouring places of a piece are joined to
    phrases one word longer (a phrase of k + 1 words can only be frequent where both its
    phrases of k words are);
-2. *group-count*: a chunk gives one row per distinct phrase, with its count; Spark sums
-   these over the corpus, so a phrase that a third of all pieces hold is one row a chunk;
+2. *group-count*: a chunk gives one row per distinct phrase, with its count; these rows
+   are shuffled and sorted by phrase and summed in one pass, so a phrase that a third of
+   all pieces hold is one row a chunk;
 3. *semi-join*: the rows of frequent phrases go back to their chunks with the phrase's
    new id, and all other occurrences are dropped before the next level.
 
 Words are compared as bytes and phrases as (id of all words but the last, id of the last),
-so nothing rests on hashes. Every relation is a table in the shared folder. Phrases are
-spelt out, cut and scored in SQL at the end, over the frequent ones only.
+so nothing rests on hashes. The relations of words and of phrases of three words and more,
+and the frequent groups of each chunk and length, are tables in the shared folder; pairs,
+the largest, are joined once for counting and once again for the next length. Phrases
+are spelt out, cut and scored in SQL at the end, over the frequent ones only.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +37,18 @@ from aerocast.llm.common import LOWER, large_binaries, written
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 8 << 20
-#: Ids are numbered within this many groups of keys.
-ID_GROUPS = 1 << 16
+#: Rows of a batch that goes back to Spark.
+ROWS = 50_000
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 
-WORDS_DDL = "chunk string, lang string, codes binary, words array<struct<code: int, word: binary, n: long>>"
-LEVEL_DDL = "chunk string, lang string, heads binary, lasts binary, places binary, groups array<struct<head: long, last: long, n: long>>"
+WORDS_DDL = "chunk long, codes binary, words array<struct<code: int, word: binary, n: int>>"
+PAIRS_DDL = "chunk long, head long, last long, n int"
+LEVEL_DDL = "chunk long, heads binary, lasts binary, places binary, groups array<struct<head: long, last: long, n: int>>"
+KNOWN_DDL = "f long, id long"
 
 
 # ------------------------------------------------------------------ in a chunk
@@ -77,76 +84,140 @@ def coded_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.insert(codes, new, -1), found.dictionary, np.bincount(codes, minlength=len(found.dictionary))
 
 
-def grouped(heads: np.ndarray, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, sorted, and how often each occurs."""
-    order = np.lexsort((lasts, heads))
-    a, b = heads[order], lasts[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    return a[at], b[at], np.diff(np.append(at, len(a)))
-
-
-def looked_up(heads: np.ndarray, lasts: np.ndarray, known: pa.Table) -> np.ndarray:
-    """Id of each pair among the frequent ones (head, last, id), -1 for others: a merge of two sorted lists."""
-    k = np.asarray(known.column("head")), np.asarray(known.column("last")), np.asarray(known.column("id"))
-    order = np.lexsort((k[1], k[0]))
-    both = np.lexsort((np.concatenate((np.zeros(len(order), np.int8), np.ones(len(heads), np.int8))),
-                       np.concatenate((k[1][order], lasts)), np.concatenate((k[0][order], heads))))
-    seen = np.maximum.accumulate(np.where(both < len(order), both, -1))  # the last frequent pair not above
-    out = np.full(len(heads), -1, np.int64)
-    mine = both >= len(order)
-    at, q = seen[mine], both[mine] - len(order)
-    if len(order):
-        j = order[np.maximum(at, 0)]
-        hit = (at >= 0) & (k[0][j] == heads[q]) & (k[1][j] == lasts[q])
-        out[q[hit]] = k[2][j[hit]]
-    return out
-
-
-def level_row(chunk: str, lang: str | None, heads: np.ndarray, lasts: np.ndarray, places: np.ndarray) -> pa.Table:
+def packed(x: np.ndarray) -> bytes:
+    """Compressed by byte planes: the high bytes of ids are nearly all alike."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.int32)
+
+
+def numbers(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each of x in the sorted distinct ``known``, -1 for others."""
+    if not len(known):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+class Chunk:
+    """Frequent words of a chunk's places by number in their sorted ids; -1 for other words and where a piece ends."""
+
+    def __init__(self, codes: np.ndarray, code: np.ndarray, word_id: np.ndarray):
+        self.ids = np.sort(word_id)
+        number = np.full(int(codes.max(initial=0)) + 2, -1, np.int32)  # the last is for -1
+        number[code] = np.searchsorted(self.ids, word_id)
+        self.words = number[codes]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which two frequent words of a piece stand, and the pairs' keys."""
+        at = np.flatnonzero((self.words[:-1] >= 0) & (self.words[1:] >= 0)) if len(self.words) else np.zeros(0, np.int64)
+        return at, self.words[at].astype(np.int64) * len(self.ids) + self.words[at + 1]
+
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.ids[keys // len(self.ids)], self.ids[keys % len(self.ids)]
+
+    def key_of(self, heads: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, heads) * len(self.ids) + np.searchsorted(self.ids, lasts)
+
+
+def level_row(chunk: int, heads: np.ndarray, lasts: np.ndarray, places: np.ndarray) -> pa.Table:
     """An occurrence relation not yet filtered, with its groups: phrase (head, last) begins at place."""
-    a, b, n = grouped(heads, lasts)
-    groups = pa.StructArray.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["head", "last", "n"])
-    return pa.table({"chunk": pa.array([chunk], pa.string()), "lang": pa.array([lang], pa.string()), "heads": pa.array([heads.tobytes()], pa.binary()),
-                     "lasts": pa.array([lasts.tobytes()], pa.binary()), "places": pa.array([places.tobytes()], pa.binary()),
-                     "groups": pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), groups)})
-
-
-def pairs_of_words(chunk: str, lang: str | None, codes: np.ndarray, known: pa.Table) -> pa.Table:
-    """Level 2: frequent words at neighbouring places of a piece."""
-    ids = np.full(int(codes.max(initial=0)) + 2, -1, np.int64)  # the last is for -1
-    ids[np.asarray(known.column("code"))] = np.asarray(known.column("id"))
-    words = ids[codes]
-    at = np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0)) if len(words) else np.zeros(0, np.int64)
-    return level_row(chunk, lang, words[at], words[at + 1], at.astype(np.int32))
-
-
-def longer(chunk: str, lang: str | None, heads: np.ndarray, lasts: np.ndarray, places: np.ndarray, known: pa.Table) -> pa.Table:
-    """Level k + 1 from the occurrences of level k: frequent phrases at neighbouring places (places of two pieces are
-    never neighbours) make a longer one, whose head is the first and whose last word is that of the second."""
-    ids = looked_up(heads, lasts, known)
-    at = np.flatnonzero(ids >= 0)
-    ids, lasts, places = ids[at], lasts[at], places[at]
+    a, b = np.unique(heads), np.unique(lasts)
+    keys, n = grouped(np.searchsorted(a, heads) * max(1, len(b)) + np.searchsorted(b, lasts))
+    groups = pa.StructArray.from_arrays([pa.array(a[keys // max(1, len(b))]), pa.array(b[keys % max(1, len(b))]), pa.array(n)], names=["head", "last", "n"])
+    return pa.table({"chunk": pa.array([chunk], pa.int64()), **{k: pa.array([packed(x)], pa.binary()) for k, x in (("heads", heads), ("lasts", lasts), ("places", places))},
+                     "groups": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), groups)})
+
+
+def extended(chunk: int, ids: np.ndarray, lasts: np.ndarray, places: np.ndarray) -> pa.Table:
+    """Level k + 1 from the frequent occurrences of level k in order of place: phrases at neighbouring places (places of
+    two pieces are never neighbours) make a longer one, whose head is the first and whose last word is the second's."""
     at = np.flatnonzero(np.diff(places) == 1)
-    return level_row(chunk, lang, ids[at], lasts[at + 1], places[at])
+    return level_row(chunk, ids[at], lasts[at + 1], places[at])
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name))
+
+
+def count_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
+    """Chunk with its codes, frequent words (a = code, id) -> its pairs with their counts."""
+    out = []
+    for chunk, codes in zip(mine.column("chunk").to_pylist(), mine.column("codes"), strict=True):
+        here = Chunk(unpacked(codes.as_py(), np.int32), _column(known, "a"), _column(known, "id"))
+        keys, n = grouped(here.pairs()[1])
+        for at in range(0, len(keys), ROWS):
+            heads, lasts = here.split(keys[at:at + ROWS])
+            out.append(pa.record_batch([pa.array(np.full(len(heads), chunk)), pa.array(heads), pa.array(lasts), pa.array(n[at:at + ROWS])], names=["chunk", "head", "last", "n"]))
+    schema = pa.schema([("chunk", pa.int64()), ("head", pa.int64()), ("last", pa.int64()), ("n", pa.int32())])
+    return pa.Table.from_batches(out, schema)
+
+
+def none_of_level() -> pa.Table:
+    return level_row(0, *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.int32)).slice(0, 0)
+
+
+def extend_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
+    """Chunk with its codes, frequent words (k = 1, a = code, id) and pairs (k = 2, a = head, b = last, id) -> level 3."""
+    out = []
+    level = _column(known, "k")
+    words, pairs = known.filter(pa.array(level == 1)), known.filter(pa.array(level == 2))
+    for chunk, codes in zip(mine.column("chunk").to_pylist(), mine.column("codes"), strict=True):
+        here = Chunk(unpacked(codes.as_py(), np.int32), _column(words, "a"), _column(words, "id"))
+        places, keys = here.pairs()
+        frequent_keys = here.key_of(_column(pairs, "a"), _column(pairs, "b"))
+        order = np.argsort(frequent_keys)
+        found = numbers(frequent_keys[order], keys)
+        at = np.flatnonzero(found >= 0)
+        out.append(extended(chunk, _column(pairs, "id")[order][found[at]], here.ids[here.words[places[at] + 1]], places[at].astype(np.int32)))
+    return pa.concat_tables(out) if out else none_of_level()
+
+
+def extend_phrases(mine: pa.Table, known: pa.Table) -> pa.Table:
+    """Level k of a chunk, not yet filtered, and its frequent phrases (a = head, b = last, id) -> level k + 1."""
+    out = []
+    head, last, ids = (_column(known, c) for c in ("a", "b", "id"))
+    for row in mine.to_pylist():
+        heads, lasts, places = (unpacked(row[c], t) for c, t in (("heads", np.int64), ("lasts", np.int64), ("places", np.int32)))
+        a, b = np.unique(heads), np.unique(lasts)
+        key = np.searchsorted(a, head) * len(b) + np.searchsorted(b, last)  # every known phrase occurs here
+        order = np.argsort(key)
+        found = numbers(key[order], np.searchsorted(a, heads) * len(b) + np.searchsorted(b, lasts))
+        at = np.flatnonzero(found >= 0)
+        out.append(extended(row["chunk"], ids[order][found[at]], lasts[at], places[at]))
+    return pa.concat_tables(out) if out else none_of_level()
 
 
 # ------------------------------------------------------------------ relations
 def occurrences(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int) -> DataFrame:
-    """The relation of length 1: chunks of one language each, with their words and counts."""
+    """The relation of length 1: chunks of one language each, with their words (as "language word") and counts. Chunks
+    are numbered by task and turn."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
         held: dict[str, int] = {}
+        task, turn = TaskContext.get().partitionId(), 0
 
         def row(lang: str) -> pa.RecordBatch:
+            nonlocal turn
             codes, words, n = coded_words(waiting.pop(lang))
             held.pop(lang)
-            items = pa.StructArray.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), words.cast(pa.binary()), pa.array(n)], names=["code", "word", "n"])
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([codes.tobytes()], pa.binary()),
-                                               pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), items)], names=["chunk", "lang", "codes", "words"])
+            turn += 1
+            words = pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.large_binary()), words, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
+            items = pa.StructArray.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), words, pa.array(n.astype(np.int32))], names=["code", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | turn], pa.int64()), pa.array([packed(codes)], pa.binary()),
+                                               pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), items)], names=["chunk", "codes", "words"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), large_binaries(batch.column(1)), strict=True):
@@ -165,22 +236,56 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int)
 
 
 def frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows of ``groups`` (keys..., n and others) whose key occurs ``least`` times in all, with f and a number for
-    each key. One shuffle by a group of keys serves the sum and the numbering; a key has one row per chunk."""
-    groups = groups.withColumn("group", F.pmod(F.hash(*keys), F.lit(ID_GROUPS)))
-    sums = groups.withColumn("f", F.sum("n").over(Window.partitionBy("group", *keys))).filter(F.col("f") >= least)
-    rank = F.dense_rank().over(Window.partitionBy("group").orderBy(*keys)).cast("long")
-    return sums.withColumn("id", (rank - 1) * ID_GROUPS + F.col("group")).drop("group")
+    """The rows of ``groups`` (keys..., n and others) whose key occurs ``least`` times in all, with the sum f and a number
+    of the key instead of n. Rows are shuffled and sorted by key; a pass over them holds one key's rows (one a chunk)."""
+    kept = [c for c in groups.columns if c != "n"]
+    rows = groups.repartition(*keys).sortWithinPartitions(*keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ordinal = TaskContext.get().partitionId(), 0
+        waiting: list[pa.RecordBatch] = []  # rows of the last key so far
+
+        def whole(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of whole keys; first: the first row of each key."""
+            nonlocal ordinal
+            sums = np.add.reduceat(_column(table, "n").astype(np.int64), first)
+            many = np.diff(np.append(first, table.num_rows))
+            hit = sums >= least
+            if hit.any():
+                ids = (ordinal + np.cumsum(hit) - 1) << 22 | task
+                ordinal += int(hit.sum())
+                part = table.select(kept).filter(pa.array(np.repeat(hit, many)))
+                yield from (part.append_column("f", pa.array(np.repeat(sums[hit], many[hit]))).append_column("id", pa.array(np.repeat(ids[hit], many[hit])))
+                            .combine_chunks().to_batches(max_chunksize=ROWS))
 
-def joined(left: DataFrame, known: DataFrame, f, columns: list[str]) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            if all(waiting[0].column(k)[0].equals(batch.column(k)[batch.num_rows - 1]) for k in keys):
+                continue  # sorted: all of one key
+            table = pa.Table.from_batches(waiting).combine_chunks()
+            new = np.zeros(table.num_rows, dtype=bool)
+            for k in keys:
+                col = table.column(k).chunk(0)
+                new[1:] |= np.asarray(pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)))
+            new[0] = True
+            first = np.flatnonzero(new)
+            yield from whole(table.slice(0, first[-1]), first[:-1])
+            waiting = table.slice(first[-1]).to_batches()
+        if waiting:
+            yield from whole(pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, np.int64))
+
+    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{kinds}, {KNOWN_DDL}")
+
+
+def joined(left: DataFrame, known: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
     """Each chunk's relation with the frequent keys found in it."""
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        theirs = theirs.rename_columns([c.removeprefix("k_") for c in theirs.column_names])
-        out = [f(*row, theirs) for row in zip(*(mine.column(c).to_pylist() for c in columns), strict=True)]
-        return pa.concat_tables(out) if out else level_row("", None, *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.int32)).slice(0, 0)
+        return f(mine, theirs.rename_columns([c.removeprefix("k_") for c in theirs.column_names]))
     known = known.select(*[F.col(c).alias(f"k_{c}") for c in known.columns])
-    return left.groupBy("chunk").cogroup(known.groupBy("k_chunk")).applyInArrow(run, LEVEL_DDL)
+    return left.groupBy("chunk").cogroup(known.groupBy("k_chunk")).applyInArrow(run, ddl)
 
 
 def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang",
@@ -192,30 +297,37 @@ def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: s
     an empty table gives empty results. Every occurrence counts, overlapping ones too.
     """
     first = written(occurrences(docs, text_col, lang_col, chunk_bytes), "phrases-1")
-    words = first.select("chunk", "lang", F.inline("words"))
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = written(frequent(words, ["lang", "word"], least), "words")
-    # bytes that are no UTF-8 can't occur in a string column, so the cast is exact
-    spelt = known.select("lang", "id", "f", F.col("word").cast("string").alias("phrase")).distinct()
-    vocabulary = written(spelt, "vocabulary")
-    found = [vocabulary.select("lang", "phrase", F.lit(1).alias("k"), F.col("f").alias("a"))]
-    last_words = vocabulary.select(F.col("lang"), F.col("id").alias("last"), F.col("phrase").alias("word"))
-
-    level = joined(first.select("chunk", "lang", "codes"), known.select("chunk", "code", "id"),
-                   lambda c, lang, codes, ids: pairs_of_words(c, lang, np.frombuffer(codes, np.int32), ids), ["chunk", "lang", "codes"])
+    words = first.select("chunk", F.inline("words"))
+    known = written(frequent(words, ["word"], least), "words")
+    # a language may hold spaces, a word none; words come from strings, so the casts are exact
+    pair = F.col("word").cast("string")
+    spelt = known.groupBy("id").agg(F.first("f").alias("f"), F.first("word").alias("word"))
+    spelt = written(spelt.select("id", "f", F.regexp_replace(pair, " [^ ]*$", "").alias("lang"), F.substring_index(pair, " ", -1).alias("phrase")), "vocabulary")
+    last_words = spelt.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
+    sizes = words.groupBy(F.regexp_replace(pair, " [^ ]*$", "").alias("lang")).agg(F.sum("n").alias("n"))
+    found = [spelt.select("lang", "phrase", F.lit(1).alias("k"), F.col("f").alias("a"))]
+
+    codes, none = first.select("chunk", "codes"), F.lit(None).cast("long").alias("b")
+    back = known.select("chunk", F.lit(1).alias("k"), F.col("code").cast("long").alias("a"), none, "id")
+    level = groups = None
     for k in range(2, longest + 1):
-        level = written(level, f"phrases-{k}")
-        known = written(frequent(level.select("chunk", "lang", F.inline("groups")), ["lang", "head", "last"], least), f"groups-{k}")
-        new = known.select("lang", "head", "last", "f", "id").distinct()
-        spelt = (new.join(spelt.select("lang", F.col("id").alias("head"), F.col("phrase").alias("start")), ["lang", "head"])
-                 .join(last_words, ["lang", "last"])
+        if k == 2:
+            groups = joined(codes, back, count_pairs, PAIRS_DDL)
+        else:
+            if k == 3:
+                level = joined(codes, back, extend_pairs, LEVEL_DDL)
+            else:
+                level = joined(level.select("chunk", "heads", "lasts", "places"), back, extend_phrases, LEVEL_DDL)
+            level = written(level, f"phrases-{k}")
+            groups = level.select("chunk", F.inline("groups"))
+        known = written(frequent(groups, ["head", "last"], least), f"groups-{k}")
+        new = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("head", "last", "f")])
+        spelt = (new.join(spelt.select("lang", F.col("id").alias("head"), F.col("phrase").alias("start")), "head").join(last_words, "last")
                  .select("lang", "id", "f", F.concat_ws(" ", "start", "word").alias("phrase")))
         spelt = written(spelt, f"spelt-{k}")
         found.append(spelt.select("lang", "phrase", F.lit(k).alias("k"), F.col("f").alias("a")))
-        if k < longest:
-            level = joined(level.select("chunk", "lang", "heads", "lasts", "places"), known.select("chunk", "head", "last", "id"),
-                           lambda c, lang, h, t, p, ids: longer(c, lang, np.frombuffer(h, np.int64), np.frombuffer(t, np.int64), np.frombuffer(p, np.int32), ids),
-                           ["chunk", "lang", "heads", "lasts", "places"])
+        mine = known.select("chunk", F.lit(k).alias("k"), F.col("head").alias("a"), F.col("last").alias("b"), "id")
+        back = back.union(mine) if k == 2 else mine
     out = found[0]
     for df in found[1:]:
         out = out.union(df)

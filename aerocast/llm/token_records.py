@@ -15,7 +15,7 @@ their rows, with records and ids of each; it is put in place last, by renaming,
 table is either whole or absent, and files of lost or repeated task attempts are not in it.
 
 The writer needs rows (id, ids) whose partitions are ranges in file order, as
-``write_records`` makes them. Files go to any folder that pyarrow opens (file, hdfs, s3, gs).
+``write_records`` makes them; ids are an array<int>, or binary in ``width`` bytes each. Files go to any folder that pyarrow opens (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ MANIFEST = "MANIFEST.json"
 #: Bytes of text for one data file; bytes of payload that a reader holds at once (a longer record alone).
 FILE_BYTES, READ_BYTES = 32 << 20, 4 << 20
 #: Distinct units that a worker remembers.
-MEMO = 800_000
+MEMO = 1_000_000
 
 _HEAD, _CRC, _KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
 
@@ -102,27 +102,28 @@ class Writer(DataSourceArrowWriter):
         partition = TaskContext.get().partitionId()
         name = f"part-{partition:06d}-{uuid.uuid4().hex}"
         fs.create_dir(folder, recursive=True)
-        kind, records, total, size = np.dtype(f"<u{self.width}"), 0, 0, 0
+        records = total = size = 0
         with fs.open_output_stream(f"{folder}/{name}.rec") as out, fs.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in iterator:
-                keys, col = batch.column(0).to_pylist(), batch.column(1)
-                values, offsets = np.asarray(col.values), np.asarray(col.offsets)
-                if len(values) and (int(values.max()) >= 1 << 8 * self.width or int(values.min()) < 0):
-                    raise ValueError(f"an id does not fit into {self.width} bytes")
-                values = values.astype(kind)
+                keys, sequences = batch.column(0).to_pylist(), batch.column(1)
                 frames, places = [], np.empty((len(keys), 2), dtype="<u8")
-                for k, key in enumerate(keys):
-                    ids = values[offsets[k]:offsets[k + 1]]
-                    frames.append(frame(key, ids.tobytes()))
+                for k, (key, ids) in enumerate(zip(keys, sequences, strict=True)):
+                    ids = ids.as_py() if pa.types.is_binary(sequences.type) else self._bytes(np.asarray(ids.values))
+                    frames.append(frame(key, ids))
                     places[k] = size, total
                     size += len(frames[-1])
-                    total += len(ids)
+                    total += len(ids) // self.width
                 out.write(b"".join(frames))
                 index.write(places.tobytes())
                 records += len(keys)
             index.write(np.array([size, total], dtype="<u8").tobytes())
         return Written(partition, name, records, total, size)
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (int(ids.max()) >= 1 << 8 * self.width or int(ids.min()) < 0):
+            raise ValueError(f"an id does not fit into {self.width} bytes")
+        return ids.astype(f"<u{self.width}").tobytes()
+
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = filesystem(self.path)
         parts = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
@@ -308,6 +309,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
         data = f.read()
     entries = json.loads(data)
     top = max([len(entries["model"]["vocab"]) - 1, end_id or 0, *(t["id"] for t in entries.get("added_tokens", []))])
+    width = 2 if top < 1 << 16 else 4
     vocab = spark.sparkContext.broadcast(data)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     files = max(1, -(-total_bytes(rows, "text") // file_bytes))
@@ -322,11 +324,11 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
                 if end_id is not None:
                     ids = np.insert(ids, ends[1:], end_id)
                     sizes = sizes + 1
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))],
-                                                 names=["id", "ids"])
+                offsets = np.concatenate(([0], np.cumsum(sizes))) * width
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), packed.cast(pa.binary())], names=["id", "ids"])
 
-    rows.mapInArrow(run, "id long, ids array<int>").write.format(FORMAT).option("width", 2 if top < 1 << 16 else 4).mode("overwrite").save(path)
+    rows.mapInArrow(run, "id long, ids binary").write.format(FORMAT).option("width", width).mode("overwrite").save(path)
 
 
 def read_records(spark: SparkSession, path: str, ids: str = "array", seed: int | None = None) -> DataFrame:
