@@ -5,15 +5,15 @@ Aho-Corasick automaton over the vocabulary gives the longest token at each place
 and the encoder backtracks to shorter tokens until each adjacent pair of tokens is
 *compatible*, i.e. merging the two tokens' bytes by rank would give just this pair.
 The only sequence of compatible neighbours is the result of the merges themselves,
-so the ids are exact. Compatibility is memoised, and so are whole pieces and words, which
-makes the work linear in the text. Both memos are bounded and are only caches.
+so the ids are exact. Compatibility is memoised, which makes the work linear in the text.
+A batch of texts is encoded by its distinct units (``units.py``), so a word that a corpus
+repeats goes through the automaton once; the memos are bounded and are only caches.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: A text is cut before each space that a non-space follows: with PATTERN, a piece always begins there.
-_CUT = regex.compile(r"(?= \S)")
-_ODD = regex.compile(r" (?:\s|$)")
-
+from aerocast.llm.common import large_binaries
+from aerocast.llm.units import CUT_PATTERN, UnitCoder
 
 class ByteBpe:
     """Encoder and decoder for a table bytes -> rank (rank = token id)."""
 
-    #: Entries of each memo; Python workers keep them between stages, so they count against later stages too.
-    MEMO = 120_000
+    #: Units and pairs of tokens that are remembered; Python workers keep them between stages.
+    MEMO, PAIRS = 1_000_000, 120_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
@@ -49,8 +47,10 @@ class ByteBpe:
         self.size = [len(t) for t in self.tokens]
         self.shorter = [self._shorter(t) for t in self.tokens]
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces = _Memo(self.ids, self.MEMO)
-        self.words = _Memo(self.unit, self.MEMO)
+        self.length = np.array(self.size, dtype=np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
+        self.coder = UnitCoder(self._units, "<u4", self.MEMO, cuts=pattern == CUT_PATTERN)
 
     def _splits(self) -> dict[int, tuple[int, int] | None]:
         """The last merge of each token that merging its own bytes gives; None for one byte.
@@ -87,7 +87,7 @@ class ByteBpe:
     def compatible(self, left: int, right: int) -> bool:
         """True if no merge by rank would join across the border of the two tokens; memoised."""
         known = self._compatible(left, right)
-        if len(self.pairs) >= self.MEMO:
+        if len(self.pairs) >= self.PAIRS:
             self.pairs.clear()
         self.pairs[left << 32 | right] = known
         return known
@@ -143,42 +143,24 @@ class ByteBpe:
                 last = out[-1] if out else -1
                 token = shorter[token]
 
-    def unit(self, text: str) -> bytes:
-        """Little-endian ids of a stretch of text on whose ends pieces begin and end."""
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-
-    def ids(self, piece: str) -> bytes:
-        ids = self.piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
-        if not text:
-            return b""
-        if _ODD.search(text) or text[0] == " ":
-            return b"".join(map(self.words.__getitem__, _CUT.split(text)))
-        head, *rest = text.split(" ")
-        return self.words[head] + b"".join(map(self.words.__getitem__, map(" ".__add__, rest)))
+        return np.array([i for p in self.pattern.findall(text) for i in self.piece(p.encode())], dtype="<u4").tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes of a text from its ids."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    def _units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [[i for p in self.pattern.findall(u.decode()) for i in self.piece(p.encode())] for u in units]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), "<u4", int(size.sum())), size
 
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and the number of bytes before each, with the total."""
+        size = self.length[ids]
+        done = np.concatenate(([0], np.cumsum(size)))
+        return self.flat[np.repeat(self.begin[ids] - done[:-1], size) + np.arange(done[-1])], done
 
-class _Memo(dict):
-    """A bounded memo of a function of one text; long texts are not kept."""
-
-    def __init__(self, f, most: int):
-        super().__init__()
-        self.f, self.most = f, most
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.f(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of a text from its ids."""
+        return self.decoded(np.frombuffer(ids, dtype="<u4"))[0].tobytes()
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -223,24 +205,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(data.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n, ids_sha, text_sha, all_ids, texts = [], [], [], [], []
-                for text in part.column(1):
-                    ids = bpe.encode(text.as_py() or "")
-                    back = bpe.decode(ids)
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(back).hexdigest())
-                    if with_ids:
-                        all_ids.append(np.frombuffer(ids, dtype="<i4"))
-                        if with_bytes:
-                            texts.append(back)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            for at, to, ids, ends in bpe.coder.slices(large_binaries(batch.column(1))):
+                raw, done = bpe.decoded(ids)
+                places = done[ends]
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                cols = [batch.column(0).slice(at, to - at), pa.array(np.diff(ends)), pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in spans], pa.string()),
+                        pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)], pa.string())]
                 if with_ids:
-                    cols.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
                     if with_bytes:
-                        cols.append(pa.array(texts, pa.binary()))
+                        cols.append(pa.array([raw[a:b].tobytes() for a, b in zip(places[:-1], places[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))

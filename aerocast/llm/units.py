@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 
 from aerocast.llm.common import slices
 
+#: Fixed value: the pattern of pieces for which the cuts below are right.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: Bytes that may follow the space at a cut. White space can't; neither can bytes that begin Unicode white space
 #: (C2, E1, E2, E3), control characters, or "<", which may begin a special string. Not to cut is always right.
 _AFTER = np.zeros(256, dtype=bool)
@@ -38,16 +41,17 @@ AFTER = tuple(_AFTER.tolist())
 LONGEST, STEP_BYTES = 64, 4 << 20
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut(data: np.ndarray, offsets: np.ndarray, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Begins of the units in bytes, with the end as the last, and the index of each row's first unit, with the total."""
     begins = np.zeros(len(data) + 1, dtype=bool)
     if len(data):
+        begins[offsets[:-1]] = True  # a row without bytes begins where the next does
+    if len(data) and inside:
         left, right = data[:-1], data[1:]
-        begins[:-2] = (left == 0x20) & _AFTER[right]
+        begins[:-2] |= (left == 0x20) & _AFTER[right]
         begins[1:-1] |= _ALNUM[left] & _STOP[right]
         # white space before the line feed would be a piece with it, or not, by what follows
         begins[2:-1] |= (data[:-2] > 0x20) & (data[:-2] < 0x7F) & (data[1:-1] == 0x0A) & _ALNUM[data[2:]]
-        begins[offsets[:-1]] = True  # a row without bytes begins where the next does
     begins[len(data)] = False
     starts = np.append(np.flatnonzero(begins), len(data))
     return starts, np.searchsorted(starts[:-1], offsets)
@@ -55,11 +59,13 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class UnitCoder:
     """``encode(units) -> (their ids one after the other, number of ids of each)`` on distinct units, of which about
-    ``memo`` are remembered; ids are kept as NumPy type ``kind``. Remembered units are one Arrow array, looked up by
-    Arrow's hash join, with their ids in a flat array beside it; when it is full the half used last stays."""
+    ``memo`` are remembered; ids are kept as NumPy type ``kind``; without ``cuts`` each text is one unit. Remembered
+    units are one Arrow array, looked up by Arrow's hash join, with their ids in a flat array beside it; when it is
+    full the half used last stays."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: str = "<u4", memo: int = 100_000):
-        self.new, self.kind, self.most, self.step = encode, np.dtype(kind), max(2, memo), 0
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], kind: str = "<u4", memo: int = 100_000,
+                 cuts: bool = True):
+        self.cuts, self.new, self.kind, self.most, self.step = cuts, encode, np.dtype(kind), max(2, memo), 0
         self.units = pa.array([], pa.large_binary())
         self.flat, self.size, self.used = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -95,7 +101,7 @@ class UnitCoder:
     def slices(self, texts: pa.LargeBinaryArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, row after the last, ids of these rows, offset of each row's ids with the total)."""
         for at, to, data, offsets in slices(texts, STEP_BYTES):
-            starts, first = cut(data, offsets)
+            starts, first = cut(data, offsets, self.cuts)
             n = len(starts) - 1
             if not n:
                 yield at, to, np.zeros(0, self.kind), np.zeros(to - at + 1, np.int64)

@@ -71,6 +71,31 @@ def test_bpe_equals_the_library():
         assert mine.decode(ids) == t.encode()
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"\w+|\W"])
+def test_bpe_of_batches_equals_the_library(pattern):
+    import tiktoken
+
+    from aerocast.llm.bpe import loaded, parse_ranks
+    from aerocast.llm.common import large_binaries
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    mine = loaded(data, pattern)
+    mine.coder.most = 40  # what is remembered turns over
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=parse_ranks(data), special_tokens={})
+    rng = random.Random(3)
+    texts = ["", " ", "a" * 3000, " \n  x", "x \n\ny", "\u00a0 a", "don't  stop\r\n\r\n ok, no.", "a  <|endoftext|>  b"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80)))
+              for alphabet in (" ab\n.", " aA1'!\n\t,", "the ing", "é漢😀  x \x85", "a") for _ in range(150)]
+    for part in (texts, texts[::-1]):
+        for at, to, ids, ends in mine.coder.slices(large_binaries(pa.array(part))):
+            raw, done = mine.decoded(ids)
+            for k in range(at, to):
+                a, b = ends[k - at], ends[k - at + 1]
+                assert ids[a:b].tolist() == theirs.encode_ordinary(part[k]), part[k]
+                assert raw[done[a]:done[b]].tobytes() == part[k].encode()
+    loaded(data, P.PATTERN + "|x")  # no coder with a small memo stays
+
+
 def test_bpe_documents(spark, rows):
     from aerocast.llm.bpe import encode_documents
     out = encode_documents(frame(spark, rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
