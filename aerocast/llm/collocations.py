@@ -37,8 +37,8 @@ from aerocast.llm.common import LOWER, large_binaries, written
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 8 << 20
-#: Rows of a batch that goes back to Spark.
-ROWS = 50_000
+#: Rows of a batch that goes back to Spark; frequent rows that a task holds before it deals them out by chunk.
+ROWS, HELD_ROWS = 50_000, 1 << 20
 
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, 0x09]] = True
@@ -48,7 +48,8 @@ _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WORDS_DDL = "chunk long, codes binary, words array<struct<code: int, word: binary, n: int>>"
 PAIRS_DDL = "chunk long, head long, last long, n int"
 LEVEL_DDL = "chunk long, heads binary, lasts binary, places binary, groups array<struct<head: long, last: long, n: int>>"
-KNOWN_DDL = "f long, id long"
+#: The frequent keys of a level, once each (chunk -1), and those of each chunk: packed numbers, words only in the former.
+KNOWN_DDL = "chunk long, k int, a binary, b binary, id binary, f binary, words array<binary>"
 
 
 # ------------------------------------------------------------------ in a chunk
@@ -150,11 +151,17 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return np.asarray(table.column(name))
 
 
+def known_of(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, id) of a chunk's frequent keys of level k."""
+    rows = table.filter(pa.array(_column(table, "k") == k)) if table.num_rows else table
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_py(), np.int64) for x in rows.column(c))]) for c in ("a", "b", "id"))
+
+
 def count_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
     """Chunk with its codes, frequent words (a = code, id) -> its pairs with their counts."""
-    out = []
+    out, (code, _, word_id) = [], known_of(known, 1)
     for chunk, codes in zip(mine.column("chunk").to_pylist(), mine.column("codes"), strict=True):
-        here = Chunk(unpacked(codes.as_py(), np.int32), _column(known, "a"), _column(known, "id"))
+        here = Chunk(unpacked(codes.as_py(), np.int32), code, word_id)
         keys, n = grouped(here.pairs()[1])
         for at in range(0, len(keys), ROWS):
             heads, lasts = here.split(keys[at:at + ROWS])
@@ -169,25 +176,23 @@ def none_of_level() -> pa.Table:
 
 def extend_pairs(mine: pa.Table, known: pa.Table) -> pa.Table:
     """Chunk with its codes, frequent words (k = 1, a = code, id) and pairs (k = 2, a = head, b = last, id) -> level 3."""
-    out = []
-    level = _column(known, "k")
-    words, pairs = known.filter(pa.array(level == 1)), known.filter(pa.array(level == 2))
+    out, (code, _, word_id), (head, last, pair_id) = [], known_of(known, 1), known_of(known, 2)
     for chunk, codes in zip(mine.column("chunk").to_pylist(), mine.column("codes"), strict=True):
-        here = Chunk(unpacked(codes.as_py(), np.int32), _column(words, "a"), _column(words, "id"))
+        here = Chunk(unpacked(codes.as_py(), np.int32), code, word_id)
         places, keys = here.pairs()
-        frequent_keys = here.key_of(_column(pairs, "a"), _column(pairs, "b"))
+        frequent_keys = here.key_of(head, last)
         order = np.argsort(frequent_keys)
         found = numbers(frequent_keys[order], keys)
         at = np.flatnonzero(found >= 0)
-        out.append(extended(chunk, _column(pairs, "id")[order][found[at]], here.ids[here.words[places[at] + 1]], places[at].astype(np.int32)))
+        out.append(extended(chunk, pair_id[order][found[at]], here.ids[here.words[places[at] + 1]], places[at].astype(np.int32)))
     return pa.concat_tables(out) if out else none_of_level()
 
 
 def extend_phrases(mine: pa.Table, known: pa.Table) -> pa.Table:
     """Level k of a chunk, not yet filtered, and its frequent phrases (a = head, b = last, id) -> level k + 1."""
     out = []
-    head, last, ids = (_column(known, c) for c in ("a", "b", "id"))
     for row in mine.to_pylist():
+        head, last, ids = known_of(known, row["k"])
         heads, lasts, places = (unpacked(row[c], t) for c, t in (("heads", np.int64), ("lasts", np.int64), ("places", np.int32)))
         a, b = np.unique(heads), np.unique(lasts)
         key = np.searchsorted(a, head) * len(b) + np.searchsorted(b, last)  # every known phrase occurs here
@@ -235,28 +240,53 @@ def occurrences(docs: DataFrame, text_col: str, lang_col: str, chunk_bytes: int)
     return rows.mapInArrow(run, WORDS_DDL)
 
 
-def frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows of ``groups`` (keys..., n and others) whose key occurs ``least`` times in all, with the sum f and a number
-    of the key instead of n. Rows are shuffled and sorted by key; a pass over them holds one key's rows (one a chunk)."""
-    kept = [c for c in groups.columns if c != "n"]
+def frequent(groups: DataFrame, keys: list[str], level: int, least: int) -> DataFrame:
+    """The keys that occur ``least`` times in all, with their sum f and a number, and the rows of them by chunk.
+
+    ``groups``: (chunk, code, word, n) or (chunk, head, last, n). Rows are shuffled and sorted by key; a pass over them
+    holds the rows of one key (one a chunk) and up to HELD_ROWS frequent rows, packed by chunk when they go."""
     rows = groups.repartition(*keys).sortWithinPartitions(*keys)
+    first, second = ("code", None) if level == 1 else ("head", "last")
+    schema = pa.schema([("chunk", pa.int64()), ("k", pa.int32()), *((c, pa.binary()) for c in ("a", "b", "id", "f")), ("words", pa.list_(pa.binary()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ordinal = TaskContext.get().partitionId(), 0
         waiting: list[pa.RecordBatch] = []  # rows of the last key so far
-
-        def whole(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Rows of whole keys; first: the first row of each key."""
+        held: list[tuple[np.ndarray, ...]] = []  # chunk, a, b, id
+
+        def row(chunk: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray, f: np.ndarray | None = None, words: list | None = None) -> list:
+            return [chunk, level, packed(a), packed(b), packed(ids), None if f is None else packed(f), words]
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            """What is held, a row for each chunk."""
+            if held:
+                chunk, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                order = np.argsort(chunk, kind="stable")
+                chunk, columns = chunk[order], [x[order] for x in columns]
+                at = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+                out = [row(int(chunk[i]), *(x[i:j] for x in columns)) for i, j in zip(at, np.append(at[1:], len(chunk)), strict=True)]
+                for i in range(0, len(out), 100):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[i:i + 100], strict=True), schema.types, strict=True)], schema=schema)
+
+        def whole(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of whole keys; start: the first row of each key."""
             nonlocal ordinal
-            sums = np.add.reduceat(_column(table, "n").astype(np.int64), first)
-            many = np.diff(np.append(first, table.num_rows))
+            sums = np.add.reduceat(_column(table, "n").astype(np.int64), start)
+            many = np.diff(np.append(start, table.num_rows))
             hit = sums >= least
             if hit.any():
-                ids = (ordinal + np.cumsum(hit) - 1) << 22 | task
-                ordinal += int(hit.sum())
-                part = table.select(kept).filter(pa.array(np.repeat(hit, many)))
-                yield from (part.append_column("f", pa.array(np.repeat(sums[hit], many[hit]))).append_column("id", pa.array(np.repeat(ids[hit], many[hit])))
-                            .combine_chunks().to_batches(max_chunksize=ROWS))
+                ids = (ordinal + np.arange(int(hit.sum()), dtype=np.int64)) << 22 | task
+                ordinal += len(ids)
+                a = _column(table, first).astype(np.int64)
+                b = np.zeros(len(a), np.int64) if second is None else _column(table, second)
+                words = table.column("word").take(pa.array(start[hit])).to_pylist() if second is None else None
+                one = row(-1, a[start[hit]], b[start[hit]], ids, sums[hit], words)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, schema.types, strict=True)], schema=schema)
+                mine = np.repeat(hit, many)
+                held.append((_column(table, "chunk")[mine], a[mine], b[mine], np.repeat(ids, many[hit])))
+                if sum(len(x[0]) for x in held) > HELD_ROWS:
+                    yield from dealt()
 
         for batch in batches:
             if not batch.num_rows:
@@ -270,14 +300,24 @@ def frequent(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
                 col = table.column(k).chunk(0)
                 new[1:] |= np.asarray(pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)))
             new[0] = True
-            first = np.flatnonzero(new)
-            yield from whole(table.slice(0, first[-1]), first[:-1])
-            waiting = table.slice(first[-1]).to_batches()
+            start = np.flatnonzero(new)
+            yield from whole(table.slice(0, start[-1]), start[:-1])
+            waiting = table.slice(start[-1]).to_batches()
         if waiting:
             yield from whole(pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, np.int64))
+        yield from dealt()
+
+    return rows.mapInArrow(run, KNOWN_DDL)
+
 
-    kinds = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(run, f"{kinds}, {KNOWN_DDL}")
+def keys_of(known: DataFrame) -> DataFrame:
+    """(a, b, id, f, word) of the frequent keys, a row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                cols = [pa.array(unpacked(r[c], np.int64)) for c in ("a", "b", "id", "f")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(r["words"] or [None] * len(cols[0]), pa.binary())], names=["a", "b", "id", "f", "word"])
+    return known.filter("chunk = -1").mapInArrow(run, "a long, b long, id long, f long, word binary")
 
 
 def joined(left: DataFrame, known: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], ddl: str) -> DataFrame:
@@ -298,17 +338,16 @@ def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: s
     """
     first = written(occurrences(docs, text_col, lang_col, chunk_bytes), "phrases-1")
     words = first.select("chunk", F.inline("words"))
-    known = written(frequent(words, ["word"], least), "words")
+    known = written(frequent(words, ["word"], 1, least), "words")
     # a language may hold spaces, a word none; words come from strings, so the casts are exact
     pair = F.col("word").cast("string")
-    spelt = known.groupBy("id").agg(F.first("f").alias("f"), F.first("word").alias("word"))
-    spelt = written(spelt.select("id", "f", F.regexp_replace(pair, " [^ ]*$", "").alias("lang"), F.substring_index(pair, " ", -1).alias("phrase")), "vocabulary")
+    spelt = written(keys_of(known).select("id", "f", F.regexp_replace(pair, " [^ ]*$", "").alias("lang"), F.substring_index(pair, " ", -1).alias("phrase")), "vocabulary")
     last_words = spelt.select(F.col("id").alias("last"), F.col("phrase").alias("word"))
     sizes = words.groupBy(F.regexp_replace(pair, " [^ ]*$", "").alias("lang")).agg(F.sum("n").alias("n"))
     found = [spelt.select("lang", "phrase", F.lit(1).alias("k"), F.col("f").alias("a"))]
 
-    codes, none = first.select("chunk", "codes"), F.lit(None).cast("long").alias("b")
-    back = known.select("chunk", F.lit(1).alias("k"), F.col("code").cast("long").alias("a"), none, "id")
+    codes = first.select("chunk", "codes")
+    back = known.filter("chunk >= 0").select("chunk", "k", "a", "b", "id")
     level = groups = None
     for k in range(2, longest + 1):
         if k == 2:
@@ -317,16 +356,16 @@ def mine_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: s
             if k == 3:
                 level = joined(codes, back, extend_pairs, LEVEL_DDL)
             else:
-                level = joined(level.select("chunk", "heads", "lasts", "places"), back, extend_phrases, LEVEL_DDL)
+                level = joined(level.select("chunk", F.lit(k - 1).alias("k"), "heads", "lasts", "places"), back, extend_phrases, LEVEL_DDL)
             level = written(level, f"phrases-{k}")
             groups = level.select("chunk", F.inline("groups"))
-        known = written(frequent(groups, ["head", "last"], least), f"groups-{k}")
-        new = known.groupBy("id").agg(*[F.first(c).alias(c) for c in ("head", "last", "f")])
+        known = written(frequent(groups, ["head", "last"], k, least), f"groups-{k}")
+        new = keys_of(known).select("id", "f", F.col("a").alias("head"), F.col("b").alias("last"))
         spelt = (new.join(spelt.select("lang", F.col("id").alias("head"), F.col("phrase").alias("start")), "head").join(last_words, "last")
                  .select("lang", "id", "f", F.concat_ws(" ", "start", "word").alias("phrase")))
         spelt = written(spelt, f"spelt-{k}")
         found.append(spelt.select("lang", "phrase", F.lit(k).alias("k"), F.col("f").alias("a")))
-        mine = known.select("chunk", F.lit(k).alias("k"), F.col("head").alias("a"), F.col("last").alias("b"), "id")
+        mine = known.filter("chunk >= 0").select("chunk", "k", "a", "b", "id")
         back = back.union(mine) if k == 2 else mine
     out = found[0]
     for df in found[1:]:

@@ -14,8 +14,9 @@ of records, without reading others. ``MANIFEST.json`` lists the files in the ord
 their rows, with records and ids of each; it is put in place last, by renaming, so a
 table is either whole or absent, and files of lost or repeated task attempts are not in it.
 
-The writer needs rows (id, ids) whose partitions are ranges in file order, as
-``write_records`` makes them; ids are an array<int>, or binary in ``width`` bytes each. Files go to any folder that pyarrow opens (file, hdfs, s3, gs).
+The writer needs rows whose partitions are ranges in file order, as ``write_records`` makes
+them: (id, ids array<int>), or (id, text) with the vocabulary file (on the driver) and the
+end id as options; texts are then encoded by the task that writes them. Files go to any folder that pyarrow opens (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ MANIFEST = "MANIFEST.json"
 #: Bytes of text for one data file; bytes of payload that a reader holds at once (a longer record alone).
 FILE_BYTES, READ_BYTES = 32 << 20, 4 << 20
 #: Distinct units that a worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 
 _HEAD, _CRC, _KEY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
 
@@ -94,8 +95,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, width: int, overwrite: bool):
-        self.path, self.width, self.overwrite = path, width, overwrite
+    def __init__(self, path: str, width: int, vocabulary: bytes | None = None, end_id: int | None = None):
+        self.path, self.width, self.vocabulary, self.end_id = path, width, vocabulary, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = filesystem(self.path)
@@ -105,20 +106,30 @@ class Writer(DataSourceArrowWriter):
         records = total = size = 0
         with fs.open_output_stream(f"{folder}/{name}.rec") as out, fs.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in iterator:
-                keys, sequences = batch.column(0).to_pylist(), batch.column(1)
-                frames, places = [], np.empty((len(keys), 2), dtype="<u8")
-                for k, (key, ids) in enumerate(zip(keys, sequences, strict=True)):
-                    ids = ids.as_py() if pa.types.is_binary(sequences.type) else self._bytes(np.asarray(ids.values))
-                    frames.append(frame(key, ids))
-                    places[k] = size, total
-                    size += len(frames[-1])
-                    total += len(ids) // self.width
-                out.write(b"".join(frames))
-                index.write(places.tobytes())
-                records += len(keys)
+                for keys, sequences in self._sequences(batch):
+                    frames, places = [], np.empty((len(keys), 2), dtype="<u8")
+                    for k, (key, ids) in enumerate(zip(keys, sequences, strict=True)):
+                        frames.append(frame(key, ids))
+                        places[k] = size, total
+                        size += len(frames[-1])
+                        total += len(ids) // self.width
+                    out.write(b"".join(frames))
+                    index.write(places.tobytes())
+                    records += len(keys)
             index.write(np.array([size, total], dtype="<u8").tobytes())
         return Written(partition, name, records, total, size)
 
+    def _sequences(self, batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+        keys, col = batch.column(0).to_pylist(), batch.column(1)
+        if self.vocabulary is None:
+            yield keys, [self._bytes(np.asarray(x.values)) for x in col]
+            return
+        for at, to, ids, ends in unit_coder(self.vocabulary).slices(large_binaries(col)):
+            if self.end_id is not None:
+                ids, ends = np.insert(ids, ends[1:], self.end_id), ends + np.arange(len(ends))
+            data, places = self._bytes(ids), (ends * self.width).tolist()
+            yield keys[at:to], [data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+
     def _bytes(self, ids: np.ndarray) -> bytes:
         if len(ids) and (int(ids.max()) >= 1 << 8 * self.width or int(ids.min()) < 0):
             raise ValueError(f"an id does not fit into {self.width} bytes")
@@ -222,7 +233,7 @@ class Reader(DataSourceReader):
 
 
 class TokenRecords(DataSource):
-    """Options: ``path``; ``width`` (bytes of an id, 2 or 4) on writing; ``ids`` and ``seed`` on reading."""
+    """Options: ``path``; on writing ``width`` (bytes of an id, 2 or 4), ``vocabulary`` and ``end_id``; on reading ``ids`` and ``seed``."""
 
     @classmethod
     def name(cls) -> str:
@@ -234,7 +245,11 @@ class TokenRecords(DataSource):
                              T.StructField("ids", ids)])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], int(self.options.get("width", 4)), overwrite)
+        vocabulary, end_id = self.options.get("vocabulary"), self.options.get("end_id")
+        if vocabulary is not None:
+            with open(vocabulary, "rb") as f:
+                vocabulary = f.read()
+        return Writer(self.options["path"], int(self.options.get("width", 4)), vocabulary, None if end_id is None else int(end_id))
 
     def reader(self, schema: T.StructType) -> Reader:
         seed = self.options.get("seed")
@@ -306,29 +321,14 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int | Non
     spark = docs.sparkSession
     register(spark)
     with open(vocabulary, "rb") as f:
-        data = f.read()
-    entries = json.loads(data)
+        entries = json.loads(f.read())
     top = max([len(entries["model"]["vocab"]) - 1, end_id or 0, *(t["id"] for t in entries.get("added_tokens", []))])
-    width = 2 if top < 1 << 16 else 4
-    vocab = spark.sparkContext.broadcast(data)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     files = max(1, -(-total_bytes(rows, "text") // file_bytes))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    rows = rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = unit_coder(vocab.value)
-        for batch in batches:
-            for at, to, ids, ends in coder.slices(large_binaries(batch.column(1))):
-                sizes = np.diff(ends)
-                if end_id is not None:
-                    ids = np.insert(ids, ends[1:], end_id)
-                    sizes = sizes + 1
-                offsets = np.concatenate(([0], np.cumsum(sizes))) * width
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), packed.cast(pa.binary())], names=["id", "ids"])
-
-    rows.mapInArrow(run, "id long, ids binary").write.format(FORMAT).option("width", width).mode("overwrite").save(path)
+    writer = (rows.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order).write.format(FORMAT).mode("overwrite")
+              .option("vocabulary", vocabulary).option("width", 2 if top < 1 << 16 else 4))
+    (writer if end_id is None else writer.option("end_id", end_id)).save(path)
 
 
 def read_records(spark: SparkSession, path: str, ids: str = "array", seed: int | None = None) -> DataFrame:
