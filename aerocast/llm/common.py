@@ -2,8 +2,9 @@
 
 Words are the runs of bytes other than space and ``\\x09-\\x0D``; as these are
 ASCII, splitting UTF-8 bytes and splitting characters give the same words.
-Hashes are 64-bit polynomial hashes of the bytes, finished with a bit mixer, and
-are computed for a whole Arrow batch at once with NumPy.
+Hashes of words and lines are XXH3 (64 bits) of their bytes, computed once for each distinct
+one of an Arrow batch; hashes of sequences of these are polynomials finished with a bit
+mixer, computed for a whole batch at once with NumPy.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,8 +89,20 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return p
 
 
+def text_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes; a polynomial modulo 2**64 would collide on some regular texts."""
+    size = ends - starts
+    where = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    solid = data[np.repeat(starts - where[:-1], size) + np.arange(where[-1])]
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(where), pa.py_buffer(solid)]).dictionary_encode()
+    distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+    return distinct[np.asarray(found.indices)]
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of a sequence of unsigned values."""
+    """64-bit hashes of the spans [start, end) of bytes, or of a sequence of hashes."""
+    if values.dtype == np.uint8:
+        return text_hashes(values, starts, ends)
     n = len(values)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.multiply(values.astype(np.uint64) + np.uint64(1), _power("base", _BASE, n)[:n], out=sums[1:])

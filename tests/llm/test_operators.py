@@ -434,6 +434,22 @@ def test_components(spark):
     assert got == {**{i: 0 for i in path}, 1000: 1000, 1001: 1000}
 
 
+def test_regular_texts_do_not_collide(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    from aerocast.llm.line_dedup import dedup_lines
+    from aerocast.llm.minhash import near_duplicates
+    from aerocast.llm.substring import remove_repeats
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    assert [r.n_removed for r in remove_repeats(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert all(r.kept for r in near_duplicates(df, shingle=2, similarity=0.8).collect())
+    df = spark.createDataFrame([(1, f"{a}\nx\ny"), (2, f"{b}\nx\ny")], "doc_id long, text string")
+    assert [r.n_removed for r in dedup_lines(df).collect()] == [0, 0]
+
+
 def test_word_spans():
     from aerocast.llm.common import large_binaries, slices, word_spans
     rng = random.Random(9)
