@@ -160,6 +160,85 @@ def q_corr_rank(spark, sf):
     return rounded(S.corr_rank(_daily(spark, sf), ["x1", "x2", "x3", "x4"], "y"))
 
 
+# ----------------------------------------------------------------- A2-A5, A7-A9, A11, A12 on columns with NaN
+# Spark sees NaN where the oracle sees NULL: two columns of lineitem lose a third of their values each
+_NAN_SQL = """WITH n AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_extendedprice END AS a,
+  CASE WHEN l_linenumber % 3 = 1 THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS b, l_tax AS c FROM lineitem)"""
+
+
+def _with_nan(spark, sf):
+    nan, k = F.lit(float("nan")), F.col("l_linenumber") % 3
+    li = B.table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_returnflag", F.when(k == 0, nan).otherwise(F.col("l_extendedprice")).alias("a"),
+                     F.when(k == 1, nan).otherwise(F.col("l_quantity").cast("double")).alias("b"), F.col("l_tax").alias("c"))
+
+
+def _describe_sql(names):
+    return ", ".join({"count": "count(a) AS count", "mean": "round(avg(a), 6) AS mean", "std": "round(stddev_samp(a), 6) AS std", "min": "round(min(a), 6) AS min",
+                      "p25": "round(quantile_cont(a, 0.25), 6) AS p25", "p50": "round(quantile_cont(a, 0.5), 6) AS p50", "median": "round(quantile_cont(a, 0.5), 6) AS median",
+                      "p75": "round(quantile_cont(a, 0.75), 6) AS p75", "max": "round(max(a), 6) AS max"}[x] for x in names)
+
+
+@register("describe_nan", f"{_NAN_SQL} SELECT l_returnflag, {_describe_sql(['count', 'mean', 'std', 'min', 'p25', 'p50', 'p75', 'max'])} FROM n GROUP BY l_returnflag")
+def q_describe_nan(spark, sf):
+    return rounded(S.describe(_with_nan(spark, sf), "a", ["l_returnflag"]))
+
+
+@register("kpi_stats_nan", f"{_NAN_SQL} SELECT {_describe_sql(['mean', 'median', 'std', 'min', 'max'])} FROM n")
+def q_kpi_stats_nan(spark, sf):
+    return rounded(S.kpi_stats(_with_nan(spark, sf), "a"))
+
+
+@register("range_counts_nan", _NAN_SQL + " SELECT " + ", ".join(
+    [f"count(*) FILTER (WHERE b < {_E[0]}) AS n_lt_{_E[0]}"] + [f"count(*) FILTER (WHERE b >= {lo} AND b < {hi}) AS n_{lo}_{hi}" for lo, hi in zip(_E, _E[1:])]
+    + [f"count(*) FILTER (WHERE b >= {_E[-1]}) AS n_{_E[-1]}_plus"]) + " FROM n")
+def q_range_counts_nan(spark, sf):
+    return S.range_counts(_with_nan(spark, sf), "b")
+
+
+@register("histogram_nan", _NAN_SQL + """, long AS (UNPIVOT (SELECT a, b FROM n) ON a, b INTO NAME feature VALUE value),
+rng AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature),
+x AS (SELECT l.feature, r.lo, (r.hi - r.lo) / 10 AS width, CAST(least(floor((l.value - r.lo) / ((r.hi - r.lo) / 10)), 9) AS BIGINT) AS bin
+  FROM long l JOIN rng r USING (feature) WHERE l.value IS NOT NULL)
+SELECT feature, bin, count(*) AS count, round(any_value(lo + bin * width), 6) AS lo, round(any_value(lo + (bin + 1) * width), 6) AS hi FROM x GROUP BY feature, bin""")
+def q_histogram_nan(spark, sf):
+    return rounded(S.histogram(_with_nan(spark, sf), ["a", "b"], 10))
+
+
+@register("box_stats_nan", _NAN_SQL + """, long AS (SELECT feature, value FROM (UNPIVOT (SELECT a, b FROM n) ON a, b INTO NAME feature VALUE value) WHERE value IS NOT NULL),
+q AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY feature),
+w AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)
+SELECT w.feature, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lower, 6) AS lower, round(upper, 6) AS upper,
+  count(*) FILTER (WHERE l.value < w.lower OR l.value > w.upper) AS outliers, count(*) AS n FROM w JOIN long l USING (feature) GROUP BY ALL""")
+def q_box_stats_nan(spark, sf):
+    return rounded(S.box_stats(_with_nan(spark, sf), ["a", "b"]))
+
+
+@register("outlier_rows_nan", _NAN_SQL + """, q AS (SELECT quantile_cont(a, 0.25) AS q1, quantile_cont(a, 0.75) AS q3 FROM n)
+SELECT l_orderkey, l_linenumber, 'a' AS feature, round(a, 6) AS value FROM n, q WHERE a < q1 - 1.5 * (q3 - q1) OR a > q3 + 1.5 * (q3 - q1)""")
+def q_outlier_rows_nan(spark, sf):
+    return rounded(S.outlier_rows(_with_nan(spark, sf), ["l_orderkey", "l_linenumber"], ["a"]), exclude=("l_linenumber",))
+
+
+@register("missing_counts_nan", _NAN_SQL + " SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM n" for c in ("a", "b", "c")]
+    + ["SELECT '__total__' AS column, count(*) FILTER (WHERE a IS NULL) + count(*) FILTER (WHERE b IS NULL) + count(*) FILTER (WHERE c IS NULL) AS missing FROM n"]) + ")")
+def q_missing_counts_nan(spark, sf):
+    return S.missing_counts(_with_nan(spark, sf), ["a", "b", "c"])
+
+
+@register("corr_matrix_nan", _NAN_SQL + " SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{x}' AS a, '{y}' AS b, round(corr({x}, {y}), 6) AS corr FROM n" for x in "abc" for y in "abc") + ")")
+def q_corr_matrix_nan(spark, sf):
+    return rounded(S.corr_matrix(_with_nan(spark, sf), ["a", "b", "c"]))
+
+
+@register("corr_rank_nan", _NAN_SQL + " SELECT feature, round(corr, 6) AS corr, round(abs(corr), 6) AS abs_corr FROM (" + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature, corr({x}, a) AS corr FROM n" for x in "bc") + ")")
+def q_corr_rank_nan(spark, sf):
+    return rounded(S.corr_rank(_with_nan(spark, sf), ["b", "c"], "a"))
+
+
 @register("scatter_sample", """SELECT l_orderkey, l_linenumber, feature, round(value, 6) AS value, round(l_extendedprice, 6) AS target
 FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(l_quantity AS DOUBLE) AS l_quantity,
   CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem)

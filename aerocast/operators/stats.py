@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerocast.config import RANGE_EDGES
+from aerocast.operators.schema import nan_to_null
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -26,6 +27,12 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in exclude]
 
 
+def _clean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """NaN -> NULL in the fractional ones of ``cols``: to every profile a NaN is a missing value, as to pandas."""
+    fractional = [c for c in cols if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+    return nan_to_null(df, fractional) if fractional else df
+
+
 def _present(c: str):
     return F.col(c).isNotNull() & ~F.isnan(F.col(c))
 
@@ -44,7 +51,8 @@ def describe(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     from aerocast.plans.quantiles import quantile_columns
     by = list(by)
     keys = by or ["_g"]
-    d = df if by else df.withColumn("_g", F.lit(0))
+    d = _clean(df, [col])
+    d = d if by else d.withColumn("_g", F.lit(0))
     base = d.groupBy(*keys).agg(
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"))
@@ -60,7 +68,8 @@ def kpi_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 # --- A3 ------------------------------------------------------------------------
 def range_counts(df: DataFrame, col: str, edges: Sequence[float] = RANGE_EDGES) -> DataFrame:
-    """Counts in [-inf, e1), [e1, e2), ..., [ek, inf) (closed on the left)."""
+    """Counts in [-inf, e1), [e1, e2), ..., [ek, inf) (closed on the left); NULL and NaN are in none."""
+    df = _clean(df, [col])
     c = F.col(col)
     aggs = [F.count_if(c < edges[0]).alias(f"n_lt_{edges[0]}")]
     for lo, hi in zip(edges, edges[1:]):
@@ -80,7 +89,7 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str],
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max] per column, last bin closed.
     Rows (feature, bin, lo, hi, count) for non-empty bins."""
-    long = unpivot_long(df, [], cols).where(F.col("value").isNotNull())
+    long = unpivot_long(df, [], cols).where(_present("value"))
     rng = long.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     j = long.join(F.broadcast(rng), "feature")  # one row per listed column: bounded by len(cols)
     width = (F.col("_hi") - F.col("_lo")) / bins
@@ -126,7 +135,7 @@ def kde(df: DataFrame, col: str, grid_points: int = 200) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """q1/median/q3, 1.5 IQR whiskers and the outlier count per feature."""
     from aerocast.plans.quantiles import quantile_columns
-    long = unpivot_long(df, [], cols).where(F.col("value").isNotNull())
+    long = unpivot_long(df, [], cols).where(_present("value"))
     q = quantile_columns(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumns({"lower": F.col("q1") - 1.5 * F.col("iqr"), "upper": F.col("q3") + 1.5 * F.col("iqr")})
@@ -139,7 +148,7 @@ def box_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def outlier_rows(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """The (ids, feature, value) cells outside the 1.5 IQR whiskers."""
     bs = box_stats(df, cols).select("feature", "lower", "upper")
-    long = unpivot_long(df, ids, cols).where(F.col("value").isNotNull())
+    long = unpivot_long(df, ids, cols).where(_present("value"))
     j = long.join(F.broadcast(bs), "feature")  # one row per listed column
     return j.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).select(
         *ids, "feature", "value")
@@ -147,8 +156,9 @@ def outlier_rows(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> Data
 
 # --- A9 / A10 ------------------------------------------------------------------
 def missing_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, missing) per column plus a ``__total__`` row; one pass."""
+    """(column, missing) per column plus a ``__total__`` row; one pass. NaN is missing."""
     cols = list(cols or df.columns)
+    df = _clean(df, cols)
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = wide.unpivot([], cols, "column", "missing")
     total = wide.select(F.lit("__total__").alias("column"),
@@ -173,6 +183,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation, long form (a, b, corr); one
     aggregation pass computes every pair."""
     cols = list(cols)
+    df = _clean(df, cols)  # a pair counts where both are there
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
                     for i, (a, b) in enumerate(pairs)])
@@ -183,7 +194,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def corr_rank(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Correlation of every column with the target, ordered by |corr| desc."""
+    """Pairwise-complete correlation of every column with the target, ordered by |corr| desc."""
+    df = _clean(df, [*cols, target])
     wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
     long = wide.unpivot([], list(cols), "feature", "corr")
     return long.withColumn("abs_corr", F.abs("corr")).orderBy(F.desc("abs_corr"), "feature")
