@@ -14,13 +14,10 @@ frame is cut from its lineage with a reliable ``checkpoint()`` under
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +25,9 @@ from aerocast.config import ANCHOR_STRENGTHS, ForecastSpec
 from aerocast.operators.stats import regression_metrics
 from aerocast.plans import folds as FO
 from aerocast.plans import ridge as RG
+from aerocast.plans import trees as TR
 from aerocast.operators.schema import require_history
-from aerocast.session import ensure_checkpoint_dir
+from aerocast.session import ensure_checkpoint_dir, scratch_path
 
 
 @dataclass
@@ -93,78 +91,58 @@ def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRes
                            model, {"alpha": spec.alphas[best]})
 
 
-def _assembled(df: DataFrame, spec: ForecastSpec) -> DataFrame:
+def _oof_from_nodes(df: DataFrame, spec: ForecastSpec, nodes: DataFrame, is_delta: bool) -> DataFrame:
+    """Out-of-fold levels of all rows: block k is scored by the trees that were grown on the blocks before it."""
     fs = spec.features
-    asm = VectorAssembler(inputCols=fs.feature_cols(), outputCol="features")
-    return asm.transform(df).select(fs.key, fs.date, "features", "target", "true_level", "base_pred",
-                                    "weight", "block").cache()
-
-
-def _fold_oof(data: DataFrame, spec: ForecastSpec, make, is_delta: bool) -> DataFrame:
-    """Fit folds 1..n (train on blocks < k) concurrently, predict block k."""
-    fs = spec.features
-    with ThreadPoolExecutor(max_workers=spec.fit_parallelism) as pool:
-        models = list(pool.map(lambda kf: make().fit(data.where(F.col("block") < kf)),
-                               range(1, spec.n_splits + 1)))
-    parts = [m.transform(data.where(F.col("block") == kf)).withColumnRenamed("prediction", "pred")
-             .select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block")
-             for kf, m in zip(range(1, spec.n_splits + 1), models)]
+    parts = []
+    for k in range(1, spec.n_splits + 1):
+        rows = TR.score_trees(df.where(F.col("block") == k), nodes.where(F.col("fold") == k), fs.feature_cols(), "pred")
+        parts.append(rows.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block"))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    return reconstruct(oof, is_delta)
+    return reconstruct(oof, is_delta).checkpoint(eager=True)
 
 
-def _search(df: DataFrame, spec: ForecastSpec, builder, grid: tuple, default: dict, is_delta: bool,
-            by_fold_mae: bool):
-    """Evaluate every parameter set; keep the first best (fold-mean MAE on the
-    target, or pooled MAE on levels), refit it on all rows."""
-    data = _assembled(df, spec)
-    best = None
-    for params in (grid or (default,)):
-        oof = _fold_oof(data, spec, lambda p=params: builder(p), is_delta).cache()
-        if by_fold_mae:
-            score = (oof.groupBy("block").agg(F.avg(F.abs(F.col("pred") - F.col("target"))).alias("m"))
-                     .agg(F.avg("m")).collect()[0][0])
-        else:
-            score = pooled_metrics(oof, is_delta)[0]
-        if best is None or score < best[0]:
-            if best is not None:
-                best[2].unpersist()
-            best = (score, params, oof)
-        else:
-            oof.unpersist()
-    _, params, cached = best
-    oof = cached.checkpoint(eager=True)
-    cached.unpersist()
-    mae, rmse, r2 = pooled_metrics(oof, is_delta)
-    final = builder(params).fit(data)
-    data.unpersist()
-    return params, oof, final, (mae, rmse, r2)
+def _stored(nodes: DataFrame, name: str) -> DataFrame:
+    """Node tables written once to the shared folder: they are read several times and cost a fit."""
+    path = scratch_path(nodes.sparkSession, name)
+    nodes.write.parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
 
 
 def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
+    """M6: the grid by mean fold MAE on the target, the first best point; fold forests of it score every row, and the
+    forest on all rows is the model (a node table)."""
     fs = spec.features
-
-    def builder(p):
-        return RandomForestRegressor(featuresCol="features", labelCol="target", weightCol="weight",
-                                     seed=spec.seed, **p)
-    default = {"numTrees": spec.rf_trees, "maxDepth": spec.rf_depth}
-    params, oof, final, (mae, rmse, r2) = _search(df, spec, builder, spec.rf_grid, default, is_delta, True)
-    return CandidateResult("RandomForest", "mllib", mae, rmse, r2,
-                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final, params)
+    spark, last = df.sparkSession, spec.n_splits + 1
+    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols(), spec.fit_rows, spec.seed)
+    searched = TR.search_forest(frame, spark, spec.rf_grid, spec.n_splits, spec.seed) if len(spec.rf_grid) > 1 else [(0.0, spec.rf_grid[0])]
+    params = min(enumerate(searched), key=lambda x: (x[1][0], x[0]))[1][1]
+    nodes = _stored(TR.forest_nodes(frame, spark, params, range(1, last + 1), spec.seed), "forest")
+    oof = _oof_from_nodes(df, spec, nodes, is_delta)
+    mae, rmse, r2 = pooled_metrics(oof, is_delta)
+    return CandidateResult("RandomForest", "trees", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
+                           nodes.where(F.col("fold") == last), params)
 
 
 def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
+    """M7: every setting is fitted with early stopping inside each fold; pooled MAE on levels decides, the first best
+    setting wins, and its fit on all rows is the model (a node table)."""
     fs = spec.features
-
-    def builder(p):
-        return GBTRegressor(featuresCol="features", labelCol="target", weightCol="weight", lossType="absolute",
-                            seed=spec.seed, **p)
-    default = {"maxIter": spec.gbt_iters, "maxDepth": spec.gbt_depth}
-    params, oof, final, (mae, rmse, r2) = _search(df, spec, builder, spec.gbt_grid, default, is_delta, False)
-    return CandidateResult("boosted_trees", "mllib", mae, rmse, r2,
-                           oof.select(fs.key, fs.date, "oof_level", "base_pred"), final, params)
+    spark, last = df.sparkSession, spec.n_splits + 1
+    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols(), spec.fit_rows, spec.seed)
+    nodes = _stored(TR.boosted_nodes(frame, spark, spec.gbt_grid, range(1, last + 1), spec.seed), "boosted")
+    best = None
+    for i, params in enumerate(spec.gbt_grid):
+        mine = nodes.where(F.col("setting") == i)
+        oof = _oof_from_nodes(df, spec, mine, is_delta)
+        metrics = pooled_metrics(oof, is_delta)
+        if best is None or metrics[0] < best[0][0]:
+            best = (metrics, params, oof, mine)
+    (mae, rmse, r2), params, oof, mine = best
+    return CandidateResult("boosted_trees", "trees", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
+                           mine.where(F.col("fold") == last), params)
 
 
 RUNNERS = {"RandomForest": run_forest, "Ridge": run_ridge, "boosted_trees": run_boosted}
@@ -191,9 +169,8 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
     for hname, h in spec.horizons:
         is_delta = h > 1
         df = horizon_frame(feats, spec, h, upstream).cache()
-        # candidates of one horizon are independent: run them side by side
-        with ThreadPoolExecutor(max_workers=len(spec.candidates)) as pool:
-            results = list(pool.map(lambda c: RUNNERS[c](df, spec, is_delta), spec.candidates))
+        # each search fills the cluster by itself, so the candidates run one after the other
+        results = [RUNNERS[c](df, spec, is_delta) for c in spec.candidates]
         best = min(range(len(results)), key=lambda i: (np.inf if np.isnan(results[i].mae) else results[i].mae, i))
         champ = results[best]
         for r in results:
@@ -215,16 +192,14 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
 
 # --------------------------------------------------------------------- serving
 def raw_prediction(champ: CandidateResult, rows: DataFrame, feature_cols, name: str) -> DataFrame:
-    """Apply one champion to feature rows (Spark transform / coefficient expression)."""
+    """Apply one champion to feature rows (node table / coefficient expression)."""
     if champ.kind == "ridge":
         m = champ.model
         expr = F.lit(float(m["intercept"]))
         for c, b in zip(m["features"], m["coef"]):
             expr = expr + F.col(c) * F.lit(float(b))
         return rows.withColumn(name, expr)
-    asm = VectorAssembler(inputCols=list(feature_cols), outputCol="_features")
-    out = champ.model.setFeaturesCol("_features").setPredictionCol(name).transform(asm.transform(rows))
-    return out.drop("_features")
+    return TR.score_trees(rows, champ.model, feature_cols, name)
 
 
 def chain_score(df: DataFrame, raw1: str, d2: str, d3: str, delta2: bool = True, delta3: bool = True) -> DataFrame:

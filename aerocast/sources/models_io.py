@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerocast.plans.trees import load_trees, save_trees
 from aerocast.sources.files import _exists, append_batch
 
 
@@ -49,11 +50,26 @@ def load_ridge(spark: SparkSession, path: str) -> dict:
     return {"intercept": icpt, "features": list(rows), "coef": [rows[f] for f in rows]}
 
 
-def save_mllib(model, path: str) -> None:
-    """IO16: MLlib champions use their own persistence."""
-    model.write().overwrite().save(path)
-
-
-def load_mllib(kind: str, path: str):
-    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-    return {"RandomForest": RandomForestRegressionModel, "boosted_trees": GBTRegressionModel}[kind].load(path)
+def save_champions(champions: dict, deltas: dict, path: str) -> None:
+    """IO16: every horizon's champion (linear: coefficients, trees: nodes) under ``path``, and the list of them last."""
+    rows = []
+    spark = None
+    for horizon, c in champions.items():
+        spark = spark or c.oof.sparkSession
+        if c.kind == "ridge":
+            save_ridge(spark, c.model, f"{path}/{horizon}")
+        else:
+            save_trees(c.model, f"{path}/{horizon}")
+        rows.append((horizon, c.name, c.kind, bool(deltas[horizon])))
+    spark.createDataFrame(rows, "horizon string, name string, kind string, is_delta boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/champions")
+
+
+def load_champions(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """(horizon -> champion, horizon -> whether it predicts a change), as stored."""
+    from aerocast.plans.tournament import CandidateResult
+    champions, deltas = {}, {}
+    for r in spark.read.parquet(f"{path}/champions").collect():  # one row a horizon
+        model = load_ridge(spark, f"{path}/{r['horizon']}") if r["kind"] == "ridge" else load_trees(spark, f"{path}/{r['horizon']}")
+        champions[r["horizon"]] = CandidateResult(r["name"], r["kind"], float("nan"), float("nan"), float("nan"), None, model)
+        deltas[r["horizon"]] = r["is_delta"]
+    return champions, deltas

@@ -11,7 +11,8 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-SLOW = {"tournament"}  # serve_forecast runs it
+#: Whole searches; tests/test_trees.py runs the same code on small grids.
+SLOW = {"tournament", "serve_forecast", "random_forest"}
 
 
 def _norm(df):
