@@ -29,14 +29,25 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, else the context's checkpoint folder; a new temporary one only where
-    neither is set. What the operators write there stays, for lazy results read it: clear it when they are done."""
+    neither is set and all of Spark is this machine. What the operators write there stays, for lazy results read it:
+    clear it when they are done."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_aerocast_llm_folder", None) or tempfile.mkdtemp(prefix="aerocast-")
         spark._aerocast_llm_folder = folder
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

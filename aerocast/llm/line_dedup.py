@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import SLICE_BYTES, clean_documents, large_binaries, mix, signed, slices, span_hashes, window_hashes
+from aerocast.llm.common import SLICE_BYTES, clean_documents, fresh, large_binaries, mix, signed, slices, span_hashes, window_hashes
 
 WINDOW = 3
 
@@ -99,14 +99,15 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, lines_col: str = "n_lines",
     A window that millions of documents share is counted by partial aggregation; the join
     that marks its later occurrences is one that Spark splits when it is skewed.
     """
-    covered = (later_windows(docs, size).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-               .agg(F.collect_set("pos").alias("__later")))
     keep = docs.drop(lines_col, removed_col)
-    joined = keep.join(covered, (keep["doc_id"].cast("long") == covered["__id"])
-                       & (F.xxhash64(keep["text"].cast("string")) == covered["__key"]), "left")
+    i, key, later, gone = (fresh(docs, c) for c in ("__id", "__key", "__later", "__cut"))
+    covered = (later_windows(docs, size).groupBy(F.col("doc_id").alias(i), F.col("text_key").alias(key))
+               .agg(F.collect_set("pos").alias(later)))
+    joined = keep.join(covered, (keep["doc_id"].cast("long") == covered[i])
+                       & (F.xxhash64(keep["text"].cast("string")) == covered[key]), "left")
     # texts that lose nothing do not go to Python
-    cut = joined.withColumn("__cut", _without(size)(F.when(F.col("__later").isNotNull(), F.col("text")), F.col("__later")))
+    cut = joined.withColumn(gone, _without(size)(F.when(F.col(later).isNotNull(), F.col("text")), F.col(later)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    return (cut.withColumns({lines_col: n_lines.cast("long"), removed_col: F.col("__cut.n")})
-            .withColumn("text", F.when(F.col("__later").isNull(), F.col("text")).otherwise(F.col("__cut.text")))
+    return (cut.withColumns({lines_col: n_lines.cast("long"), removed_col: F.col(f"{gone}.n")})
+            .withColumn("text", F.when(F.col(later).isNull(), F.col("text")).otherwise(F.col(f"{gone}.text")))
             .select(*keep.columns, lines_col, removed_col))
