@@ -497,6 +497,27 @@ def test_pipeline_stages(spark, tmp_path, rows):
         assert r.decoded_sha256 == hashlib.sha256((before[r.doc_id] or "").encode()).hexdigest() or r.doc_id is None
 
 
+def test_near_dedup_stage_compares_every_text_of_a_repeated_id(spark):
+    import corpus_pipeline as C
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (4, c), (5, "z"), (5, "y"), (None, a), (None, a), (6, None), (6, "")]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, __number string").repartition(4)
+    out = C.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    # b and its near copy are linked: whichever of them stands for id 1's second text or for id 2, one text stays
+    assert sum(got[k] for k in ((1, b), (2, b + " more"))) == 1
+    assert got[1, a] == 1 and got[3, c] == 1 and got[4, c] == 0 and got[5, "z"] == got[5, "y"] == 1 and got[None, a] == 2
+    assert got[6, None] + got[6, ""] >= 1
+
+
+def test_line_dedup_with_clashing_names(spark):
+    from aerocast.llm.line_dedup import dedup_lines
+    df = spark.createDataFrame([(1, "a\nb\nc", "x", 1, 2, 3), (2, "a\nb\nc\nd", "y", 4, 5, 6)], "doc_id long, text string, __cut string, __later int, __id int, __KEY int")
+    out = {r.doc_id: r for r in dedup_lines(df).collect()}
+    assert out[2].text == "d" and out[2]["__cut"] == "y" and out[2]["__later"] == 4 and out[2]["__KEY"] == 6 and out[1].text == "a\nb\nc"
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as C
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
