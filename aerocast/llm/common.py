@@ -2,9 +2,9 @@
 
 Words are the runs of bytes other than space and ``\\x09-\\x0D``; as these are
 ASCII, splitting UTF-8 bytes and splitting characters give the same words.
-Hashes of words and lines are XXH3 (64 bits) of their bytes, computed once for each distinct
-one of an Arrow batch; hashes of sequences of these are polynomials finished with a bit
-mixer, computed for a whole batch at once with NumPy.
+Operators that compare texts hash words and lines by XXH3 (64 bits) of their bytes, once for
+each distinct one of a batch; features and counts of models, and sequences of hashes, take
+polynomial hashes finished with a bit mixer, computed for a whole batch with NumPy.
 """
 
 from __future__ import annotations
@@ -111,9 +111,7 @@ def text_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of bytes, or of a sequence of hashes."""
-    if values.dtype == np.uint8:
-        return text_hashes(values, starts, ends)
+    """64-bit polynomial hashes of the spans [start, end) of a sequence of unsigned values."""
     n = len(values)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.multiply(values.astype(np.uint64) + np.uint64(1), _power("base", _BASE, n)[:n], out=sums[1:])

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import large_binaries, slices, span_hashes, window_hashes, written
+from aerocast.llm.common import large_binaries, slices, text_hashes, window_hashes, written
 
 K1, B = 1.2, 0.75
 #: Least words of a passage (more if an item is longer); neighbours overlap by half.
@@ -50,7 +50,7 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         stop = solid.copy()
         stop[:-1] &= ~solid[1:] | cut[1:-1]
         starts = np.flatnonzero(begin)
-        yield first, last, span_hashes(data, starts, np.flatnonzero(stop) + 1), np.searchsorted(starts, offsets)
+        yield first, last, text_hashes(data, starts, np.flatnonzero(stop) + 1), np.searchsorted(starts, offsets)
 
 
 def split_item(text: str) -> tuple[str, str]:

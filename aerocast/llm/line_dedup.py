@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import SLICE_BYTES, clean_documents, fresh, large_binaries, mix, signed, slices, span_hashes, window_hashes
+from aerocast.llm.common import SLICE_BYTES, clean_documents, fresh, large_binaries, mix, signed, slices, text_hashes, window_hashes
 
 WINDOW = 3
 
@@ -37,7 +37,7 @@ def _windows(texts: pa.LargeBinaryArray, size: int) -> Iterator[tuple[np.ndarray
         final[:-1] = row[1:] != row[:-1]
         ends[:-1] = starts[1:] - 1
         ends[final] = offsets[1:]
-        lines = span_hashes(data, starts, ends)
+        lines = text_hashes(data, starts, ends)
         head = np.searchsorted(row, rows)
         at = np.arange(n - size + 1) if n >= size else np.zeros(0, dtype=np.int64)
         at = at[row[at] == row[at + size - 1]]

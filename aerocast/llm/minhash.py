@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, signed, slices, span_hashes, window_hashes, windows_in_rows, word_spans, written
+from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
 #: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int
     for first, last, data, offsets in slices(texts):
         low = LOWER[data]
         starts, ends, head = word_spans(low, offsets)
-        words = span_hashes(low, starts, ends)
+        words = text_hashes(low, starts, ends)
         at = windows_in_rows(head, shingle)
         count = np.diff(head)
         short = np.flatnonzero((count > 0) & (count < shingle))

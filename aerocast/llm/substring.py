@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerocast.llm import exchange
-from aerocast.llm.common import clean_documents, large_binaries, slices, span_hashes, window_hashes, windows_in_rows, word_spans
+from aerocast.llm.common import clean_documents, large_binaries, slices, text_hashes, window_hashes, windows_in_rows, word_spans
 
 WINDOW = 50
 SALT = 0x6A09E667
@@ -40,7 +40,7 @@ class _Words:
     def of(cls, column) -> _Words:
         for _, _, data, offsets in slices(large_binaries(column), 1 << 62):
             starts, ends, head = word_spans(data, offsets)
-            return cls(data, offsets, starts, ends, head, span_hashes(data, starts, ends))
+            return cls(data, offsets, starts, ends, head, text_hashes(data, starts, ends))
         none = np.zeros(0, np.int64)
         return cls(np.zeros(0, np.uint8), np.zeros(1, np.int64), none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
 
