@@ -2,7 +2,7 @@
 forecasting, expressed as Spark DataFrame operators over many series at once.
 
 Every operator takes and returns DataFrames; the work runs as Spark SQL
-expressions, windows, aggregations, joins and MLlib jobs.
+expressions, windows, aggregations, joins and Arrow tasks.
 """
 
 from aerocast.config import FeatureSpec, ForecastSpec  # noqa: F401
