@@ -471,6 +471,50 @@ def q_shapley_linear(spark, sf):
     return rounded(sampled_shapley(d, ["series_key", "date"], list(_SHAP_COEF), score))
 
 
+# a tree on (x1, x2) whose splits are means, so that SQL can grow it; Shapley values of two features spelt out
+@register("tree_shapley", _DAILY_ONLY + """,
+s AS (SELECT *, x1 <= avg(x1) OVER () AS a FROM daily),
+t AS (SELECT *, avg(x2) OVER (PARTITION BY a) AS c FROM s),
+g AS (SELECT a, x2 <= c AS b, avg(y) AS v, count(*) AS n, min(c) AS c FROM t GROUP BY ALL),
+p AS (SELECT sum(n) AS n, sum(n * v) / sum(n) AS f0, sum(n) FILTER (a) AS na, sum(n) FILTER (NOT a) AS nb,
+  sum(n * v) FILTER (a) / sum(n) FILTER (a) AS fa, sum(n * v) FILTER (NOT a) / sum(n) FILTER (NOT a) AS fb,
+  max(c) FILTER (a) AS ca, max(c) FILTER (NOT a) AS cb, max(v) FILTER (a AND b) AS vab, max(v) FILTER (a AND NOT b) AS va,
+  max(v) FILTER (NOT a AND b) AS vb, max(v) FILTER (NOT a AND NOT b) AS v0 FROM g),
+w AS (SELECT t.series_key, t.date, f0, CASE WHEN a THEN fa ELSE fb END AS f1,
+  (na * CASE WHEN x2 <= ca THEN vab ELSE va END + nb * CASE WHEN x2 <= cb THEN vb ELSE v0 END) / n AS f2,
+  CASE WHEN a THEN CASE WHEN x2 <= ca THEN vab ELSE va END ELSE CASE WHEN x2 <= cb THEN vb ELSE v0 END END AS f12 FROM t, p)
+SELECT series_key, strftime(date, '%Y-%m-%d') AS date, 'x1' AS feature, round((f1 - f0 + f12 - f2) / 2, 6) AS attribution FROM w
+UNION ALL
+SELECT series_key, strftime(date, '%Y-%m-%d'), 'x2', round((f2 - f0 + f12 - f1) / 2, 6) FROM w""".replace("WITH ,", "WITH"))
+def q_tree_shapley(spark, sf):
+    from aerocast.plans import trees as TR
+    d = _daily(spark, sf).select("series_key", "date", "x1", "x2", "y")
+    top = d.agg(F.avg("x1")).first()[0]
+    low = F.col("x1") <= top
+    side = {r["a"]: r["c"] for r in d.groupBy(low.alias("a")).agg(F.avg("x2").alias("c")).collect()}  # two rows
+    cut = F.when(low, F.lit(side[True])).otherwise(F.lit(side[False]))
+    leaf = {(r["a"], r["b"]): (r["v"], float(r["n"])) for r in
+            d.groupBy(low.alias("a"), (F.col("x2") <= cut).alias("b")).agg(F.avg("y").alias("v"), F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    rows = [(0, 0, 0, 0, top, 1, 2, 0.0, sum(n for _, n in leaf.values()))]
+    for node, a in ((1, True), (2, False)):
+        rows.append((0, node, 1, 1, side[a], 2 * node + 1, 2 * node + 2, 0.0, sum(leaf[a, b][1] for b in (True, False))))
+    rows += [(0, 2 * node + 1 + k, 2, -1, 0.0, -1, -1, *leaf[a, b]) for node, a in ((1, True), (2, False)) for k, b in enumerate((True, False))]
+    return rounded(TR.tree_shapley(d, ["series_key", "date"], spark.createDataFrame(rows, TR.NODES_DDL), ["x1", "x2"]))
+
+
+@register("forest_shapley")
+def q_forest_shapley(spark, sf):
+    """Exact attributions of a 37-feature forest for every day of every series."""
+    from aerocast.plans import trees as TR
+    spec = ForecastSpec()
+    fs = spec.features
+    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).checkpoint(eager=True)
+    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols())
+    point = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt"}
+    nodes = TR.forest_nodes(frame, spark, point, [int(frame.block.max()) + 1], 42).drop("fold").checkpoint(eager=True)
+    return rounded(TR.tree_shapley(df, [fs.key, fs.date], nodes, fs.feature_cols()))
+
+
 @register("sampled_shapley")
 def q_sampled_shapley(spark, sf):
     """Permutation-sampling Shapley attributions of a 37-feature ridge for

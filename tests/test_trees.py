@@ -135,3 +135,53 @@ def test_tournament_and_serving_from_the_store(spark, tmp_path):
     live = serve(feats, spec, result.champions, result.deltas).toPandas().sort_values(["series_key", "horizon"])
     stored = serve(feats, spec, champions, deltas).toPandas().sort_values(["series_key", "horizon"])
     assert len(stored) == 9 and np.allclose(live.predicted, stored.predicted, rtol=1e-9)
+
+
+def known_value(nodes, x, known, at=0):
+    """The tree's value for a row of which only some features are known: unknown ones split by weight."""
+    n = nodes[at]
+    if n["feature"] < 0:
+        return n["value"]
+    if n["feature"] in known:
+        return known_value(nodes, x, known, n["left"] if x[n["feature"]] <= n["threshold"] else n["right"])
+    return sum(nodes[c]["weight"] / n["weight"] * known_value(nodes, x, known, c) for c in (n["left"], n["right"]))
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_tree_shapley_equals_enumeration(spark, frame, kind):
+    from itertools import combinations
+    from math import factorial
+    df, f = frame
+    names = ["a", "b", "c", "d"]
+    if kind == "forest":
+        nodes = TR.forest_nodes(f, spark, {"numTrees": 7, "maxDepth": 6, "minInstancesPerNode": 2, "featureSubsetStrategy": "0.7"}, [6], 3).drop("fold")
+    else:
+        nodes = TR.boosted_nodes(f, spark, SETTINGS[:1], [6], 3).drop("setting", "fold")
+    nodes = nodes.cache()
+    some = df.orderBy("date", "series_key").limit(12).cache()
+    got = {(r["series_key"], r["date"], r["feature"]): r["attribution"] for r in TR.tree_shapley(some, ["series_key", "date"], nodes, names).collect()}
+    assert len(got) == 48
+    trees = {}
+    for n in nodes.collect():
+        trees.setdefault(n["tree"], {})[n["node"]] = n
+    base = trees.pop(-1)[0]["value"] if -1 in trees else 0.0
+    mean = TR.expected_value(nodes)
+    assert abs(mean - base - sum(known_value(t, None, ()) for t in trees.values())) < 1e-9
+    for r in TR.score_trees(some, nodes, names, "p").collect():
+        x = [r[c] for c in names]
+        value = {s: sum(known_value(t, x, s) for t in trees.values()) for k in range(5) for s in combinations(range(4), k)}
+        phi = [sum(factorial(len(s)) * factorial(3 - len(s)) / 24 * (value[tuple(sorted((*s, j)))] - v) for s, v in value.items() if j not in s) for j in range(4)]
+        mine = [got[r["series_key"], r["date"], c] for c in names]
+        assert np.allclose(mine, phi, atol=1e-9)
+        assert abs(mean + sum(mine) - r["p"]) < 1e-9
+
+
+def test_tree_shapley_missing_values_and_lone_leaf(spark):
+    """NaN goes right as in scoring; a tree of one leaf attributes nothing; no rows give no rows."""
+    nodes = spark.createDataFrame([(0, 0, 0, 0, 1.0, 1, 2, 0.0, 4.0), (0, 1, 1, -1, 0.0, -1, -1, 10.0, 1.0), (0, 2, 1, -1, 0.0, -1, -1, 20.0, 3.0),
+                                   (1, 0, 0, -1, 0.0, -1, -1, 5.0, 4.0)], TR.NODES_DDL)
+    rows = spark.createDataFrame([(1, 0.5, 0.0), (2, float("nan"), 0.0), (3, None, float("inf"))], "id int, u double, v double")
+    got = {(r["id"], r["feature"]): r["attribution"] for r in TR.tree_shapley(rows, ["id"], nodes, ["u", "v"]).collect()}
+    assert got == {(1, "u"): -7.5, (1, "v"): 0.0, (2, "u"): 2.5, (2, "v"): 0.0, (3, "u"): 2.5, (3, "v"): 0.0}
+    assert TR.expected_value(nodes) == 22.5
+    assert TR.tree_shapley(rows.limit(0), ["id"], nodes, ["u", "v"]).count() == 0
