@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aerocast import bindings as B
 from aerocast.catalog.registry import register, rounded
+from aerocast.catalog.tables import HIST_LAGS
 from aerocast.session import scratch_path
 from aerocast.sources import feature_table as FT
 from aerocast.streaming import ingest as ST
@@ -38,6 +39,27 @@ def q_stream_ingest(spark, sf):
     return rounded(out.select("station", "date", "hour", "event_id", "value"))
 
 
+@register("stream_ingest_lags", f"""WITH {HIST_LAGS}
+SELECT station, event_id, round(coalesce(p1, 0.0), 6) AS v_lag_1, round(coalesce(p2, 0.0), 6) AS v_lag_2,
+  round(coalesce(p3, 0.0), 6) AS v_lag_3,
+  round(CASE WHEN n >= 3 THEN (p1 + p2 + p3) / 3.0 ELSE coalesce(p1, 0.0) END, 6) AS v_rolling_mean_3,
+  round(coalesce(p1, 0.0) - coalesce(p2, 0.0), 6) AS v_change
+FROM h3""")
+def q_stream_ingest_lags(spark, sf):
+    """The lags of online_lags at ingest time: three landings in the order of time, the query restarted for each."""
+    rows = spark.read.schema(_SCHEMA).parquet(_landed(spark, sf)).withColumn("v", F.when(F.col("value") >= B.USABLE_MIN, F.col("value")))
+    rows = rows.select("station", "event_id", "ts", "v")
+    cuts = [None, *rows.select(F.unix_micros("ts").cast("double").alias("t")).stat.approxQuantile("t", [0.4, 0.7], 0.05), None]
+    landing, out, checkpoint = (scratch_path(spark, f"lags-{n}") for n in ("landing", "out", "checkpoint"))
+    t = F.unix_micros("ts").cast("double")
+    for lo, hi in zip(cuts, cuts[1:]):
+        ST.land(rows.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi)), landing)
+        lagged = ST.with_ingest_lags(ST.read_stream(spark, landing, rows.schema), "v", "station", ["ts", "event_id"])
+        ST.run_to_folder(lagged, out, checkpoint=checkpoint)
+    got = spark.read.parquet(out)
+    return rounded(got.select("station", "event_id", "v_lag_1", "v_lag_2", "v_lag_3", "v_rolling_mean_3", "v_change"))
+
+
 @register("stream_dedup", """SELECT DISTINCT event_type AS station, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour
 FROM events""")
 def q_stream_dedup(spark, sf):
@@ -65,7 +87,7 @@ def q_stream_latest(spark, sf):
     src = ST.read_stream(spark, _landed(spark, sf, files=4), _SCHEMA, max_files=1)
     table = scratch_path(spark, "stream-latest")
     ST.run_latest(spark, ST.stream_latest(src, "station", "ts", ["value"]), table, "station", "ts")
-    got = spark.read.parquet(table)
+    got = ST.read_latest(spark, table, "station", "ts")
     return rounded(got.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "value"))
 
 

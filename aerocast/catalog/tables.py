@@ -449,18 +449,18 @@ _HIST = f"""(SELECT station, event_id, ts, CASE WHEN value >= 1.0 THEN value END
 
 
 def _hist(spark, sf):
-    st = B.stations(spark, sf)
+    st = B.table(spark, sf, "events").withColumnRenamed("event_type", "station")
     return st.select("station", "event_id", "ts", F.when(F.col("value") >= B.USABLE_MIN, F.col("value")).alias("v"))
 
 
 _HW = "PARTITION BY station ORDER BY ts, event_id"
 _HB = f"OVER ({_HW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-_HIST_LAGS = f"""h1 AS (SELECT *, last_value(v IGNORE NULLS) {_HB} AS p1, count(v) {_HB} AS n FROM {_HIST}),
+HIST_LAGS = f"""h1 AS (SELECT *, last_value(v IGNORE NULLS) {_HB} AS p1, count(v) {_HB} AS n FROM {_HIST}),
 h2 AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN p1 END IGNORE NULLS) {_HB} AS p2 FROM h1),
 h3 AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN p2 END IGNORE NULLS) {_HB} AS p3 FROM h2)"""
 
 
-@register("online_lags", f"""WITH {_HIST_LAGS}
+@register("online_lags", f"""WITH {HIST_LAGS}
 SELECT station, event_id, round(coalesce(p1, 0.0), 6) AS v_lag_1, round(coalesce(p2, 0.0), 6) AS v_lag_2,
   round(coalesce(p3, 0.0), 6) AS v_lag_3,
   round(CASE WHEN n >= 3 THEN (p1 + p2 + p3) / 3.0 ELSE coalesce(p1, 0.0) END, 6) AS v_rolling_mean_3,
@@ -471,7 +471,7 @@ def q_online_lags(spark, sf):
     return rounded(d.select("station", "event_id", "v_lag_1", "v_lag_2", "v_lag_3", "v_rolling_mean_3", "v_change"))
 
 
-@register("online_lags_cascade", f"""WITH {_HIST_LAGS},
+@register("online_lags_cascade", f"""WITH {HIST_LAGS},
 c AS (SELECT *, coalesce(p1, 0.0) AS l1, CASE WHEN n >= 2 THEN p2 ELSE coalesce(p1, 0.0) END AS l2 FROM h3)
 SELECT station, event_id, round(l1, 6) AS v_lag_1, round(l2, 6) AS v_lag_2,
   round(CASE WHEN n >= 3 THEN p3 ELSE l2 END, 6) AS v_lag_3,
