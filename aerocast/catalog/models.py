@@ -374,11 +374,14 @@ def q_holdout_split(spark, sf):
 
 
 # ----------------------------------------------------------------- W18 online snapshot
-@register("online_snapshot", features_sql(final_select=(
+_SNAPSHOT_SQL = features_sql(final_select=(
     "SELECT series_key, strftime(date, '%Y-%m-%d') AS date, " + ", ".join(
         f"round({c}, 6) AS {c}" if c not in ("month", "day", "day_of_week", "is_weekend") else f"CAST({c} AS BIGINT) AS {c}"
         for c in ["y", *LINEITEM_SPEC.feature_cols()])
-    + " FROM clean QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1")))
+    + " FROM clean QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1"))
+
+
+@register("online_snapshot", _SNAPSHOT_SQL)
 def q_online_snapshot(spark, sf):
     raw = B.readings(spark, sf)
     last_day = raw.groupBy("series_key").agg(F.max(F.to_date("ts")).alias("_last"))
@@ -390,6 +393,18 @@ def q_online_snapshot(spark, sf):
     return rounded(snap.select("series_key", "date", "y", *LINEITEM_SPEC.feature_cols()))
 
 
+@register("online_snapshot_state", _SNAPSHOT_SQL)
+def q_online_snapshot_state(spark, sf):
+    """The same from a stored state of every series, folded forward by the newest day."""
+    from aerocast.session import scratch_path
+    raw = B.readings(spark, sf)
+    tagged = raw.join(raw.groupBy("series_key").agg(F.max(F.to_date("ts")).alias("_last")), "series_key")
+    path = scratch_path(spark, "snapshot-state")
+    FE.snapshot_state(tagged.where(F.to_date("ts") < F.col("_last")).drop("_last"), LINEITEM_SPEC).write.parquet(path)
+    state = FE.advance_state(spark.read.parquet(path), tagged.where(F.to_date("ts") == F.col("_last")).drop("_last"), LINEITEM_SPEC)
+    return rounded(FE.state_snapshot(state, LINEITEM_SPEC).select("series_key", "date", "y", *LINEITEM_SPEC.feature_cols()))
+
+
 # ----------------------------------------------------------------- M6 / M7 (rows-only)
 def _candidate(spark, sf, name):
     spec = ForecastSpec()
