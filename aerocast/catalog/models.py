@@ -517,19 +517,6 @@ def q_tree_shapley(spark, sf):
     return rounded(TR.tree_shapley(d, ["series_key", "date"], spark.createDataFrame(rows, TR.NODES_DDL), ["x1", "x2"]))
 
 
-@register("forest_shapley")
-def q_forest_shapley(spark, sf):
-    """Exact attributions of a 37-feature forest for every day of every series."""
-    from aerocast.plans import trees as TR
-    spec = ForecastSpec()
-    fs = spec.features
-    df = TN.horizon_frame(_feats(spark, sf), spec, 1, None).checkpoint(eager=True)
-    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols())
-    point = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt"}
-    nodes = TR.forest_nodes(frame, spark, point, [int(frame.block.max()) + 1], 42).drop("fold").checkpoint(eager=True)
-    return rounded(TR.tree_shapley(df, [fs.key, fs.date], nodes, fs.feature_cols()))
-
-
 @register("sampled_shapley")
 def q_sampled_shapley(spark, sf):
     """Permutation-sampling Shapley attributions of a 37-feature ridge for
