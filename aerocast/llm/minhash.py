@@ -11,7 +11,8 @@ of the set. Steps, all of them joins and groupings:
 3. Overlaps from the lists, first of each list's classes with its smallest class, later of
    classes that are not yet connected; so a group of n similar texts costs about n pairs.
    Bitmaps of the sketches drop pairs that can't share enough values.
-4. The union-sketch estimate drops pairs that are clearly below the limit.
+4. Pairs are gathered by blocks of classes that met in step 3, whose texts go once to each pair of parts of a block,
+   not once a pair. There the union-sketch estimate drops pairs that are clearly below the limit.
 5. Full sets, made again from the whole texts, confirm each link; links give components.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
+from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, scratch, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
 #: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
@@ -35,11 +36,8 @@ SKETCH, SHARE = 64, 0.5
 BITMAP = 8
 #: Lists in which two classes must meet.
 MEET = 4
-#: Links of one leader that one task verifies.
-GROUP = 128
-#: Ids of classes in pairs, up to this many, are broadcast to select their sketches and texts (16 bytes each); beyond
-#: that, a shuffle join selects them.
-BROADCAST_IDS = 500_000
+#: Shingles of a part of a block, on average; two parts at a time are compared by one task.
+CELL = 1 << 16
 
 
 def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -126,7 +124,7 @@ def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("meet", "head.meet")).alias("due")).filter("met >= due").select("a", "b"))
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float, folder: str) -> DataFrame:
     """(a, b): all classes of different components that meet often enough. A list is first paired by component,
     so classes that are already connected make no pairs. A component with one class in the list brings its size and
     bitmap along; of two with more, the smaller one is spelt out. Pairs that can't be alike are dropped in the joins
@@ -135,7 +133,7 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float) -> Data
     me = F.struct("id", "n", "meet", "due_bits", "bits", "listed").alias("me")
     at = named.select(F.explode("listed").alias("v"), "label", me)
     mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
-    at = written(at.join(mixed, "v"), "mixed")
+    at = written(at.join(mixed, "v"), "mixed", folder)
     sides = at.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k"), F.min("me.n").alias("lo"), F.max("me.n").alias("hi"), F.first("me").alias("me"))
 
     def side(x: str) -> DataFrame:
@@ -165,61 +163,70 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float) -> Data
     return single.union(many).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
 
 
-def _wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, text_key) of the classes in the pairs, with a broadcast hint up to BROADCAST_IDS of them."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = classes.select("id", "text_key").join(ids, "id").select(F.col("id").alias("doc_id"), "text_key")
-    return F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
-
-
-def _estimated(pairs: DataFrame, classes: DataFrame, features: DataFrame, size: int, share: float) -> DataFrame:
-    """Drops pairs whose union sketch, the smallest k of both sketches, holds too few common values."""
-    pairs = written(pairs, "pairs")
-    sketch = features.join(_wanted(pairs, classes), ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "sketch")
-    both = (pairs.join(sketch.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a")
-            .join(sketch.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b"))
-
-    @F.arrow_udf("double")
-    def estimate(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = (np.asarray(z.values).view(np.uint64) for z in (x, y))
-            union = np.union1d(x, y)[:size]
-            out.append(float((np.isin(union, x) & np.isin(union, y)).mean()))
-        return pa.array(out, pa.float64())
-
-    return both.filter(estimate("sa", "sb") >= share).select("a", "b")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. The texts that are linked to one leader meet it in
-    groups of about GROUP, so a leader of very many links is spread over many tasks."""
-    pairs = written(pairs, "candidates")
-    picked = texts.join(_wanted(pairs, classes), ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    pairs = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
-    picked = written(picked, "texts")
-    right = pairs.join(picked.withColumnsRenamed({"doc_id": "b"}), "b").select("a", "part", "b", "text")
-    left = pairs.select("a", "part").distinct().join(picked.withColumnsRenamed({"doc_id": "a"}), "a")
-    left = left.select(F.col("a").alias("leader"), F.col("part").alias("piece"), F.col("text").alias("text"))
+def _star_cells(pairs: DataFrame) -> DataFrame:
+    """(u, m, x): each head with what it meets."""
+    return pairs.select(F.col("a").alias("u"), F.col("a").alias("m"), F.col("b").alias("x"))
+
+
+def _block_cells(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(u, m, x): pairs by the larger one of their two blocks, u; m is the class in it. Texts that are nearly alike lie
+    in one block, so they meet there many at a time."""
+    sizes = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    blocks = blocks.join(sizes, "label")
+
+    def of(x: str) -> DataFrame:
+        return blocks.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"))
+
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    label = {x: F.coalesce(f"l{x}", x) for x in "ab"}
+    size = {x: F.coalesce(f"s{x}", F.lit(1)) for x in "ab"}
+    first = (size["a"] > size["b"]) | ((size["a"] == size["b"]) & (label["a"] <= label["b"]))
+    return pairs.select(F.when(first, label["a"]).otherwise(label["b"]).alias("u"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("m"),
+                        F.when(first, F.col("b")).otherwise(F.col("a")).alias("x"))
+
+
+def union_share(x: np.ndarray, y: np.ndarray, size: int) -> float:
+    """Share of the union's ``size`` smallest values that both ascending sets hold; from their own smallest ones."""
+    both = np.sort(np.concatenate((x[:size], y[:size])))
+    again = both[1:] == both[:-1]
+    union = both[np.concatenate(([True], ~again))][:size]
+    return np.count_nonzero(again & (both[1:] <= union[-1])) / len(union)
+
+
+def _confirmed(cells: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, size: int, limit: float, folder: str) -> DataFrame:
+    """The pairs of (u, m, x) whose full sets reach the similarity, as (a, b). Both sides of each u are cut by hash into
+    parts of about CELL shingles; a part of one meets a part of the other in one task, to which a text goes once however
+    many pairs it is in. There the union-sketch estimate comes first, from the sets' smallest values."""
+    cells = written(cells, "candidates", folder)
+    ends = cells.select("u", F.lit(0).alias("side"), F.col("m").alias("id")).union(cells.select("u", F.lit(1), "x")).distinct()
+    ends = written(ends.join(classes.select("id", "n", "text_key"), "id"), "ends", folder)
+    parts = ends.groupBy("u").agg(*[F.ceil(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / CELL).alias(c) for k, c in ((0, "ps"), (1, "qs"))])
+    wanted = written(ends.select(F.col("id").alias("doc_id"), "text_key").distinct(), "wanted", folder)
+    picked = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+    cells = cells.join(parts, "u").select("u", F.pmod(F.xxhash64("m"), "ps").alias("p"), F.pmod(F.xxhash64("x"), "qs").alias("q"), "m", "x")
+    sent = cells.select("u", "p", "q", F.col("m").alias("id")).union(cells.select("u", "p", "q", "x")).distinct()
+    sent = sent.join(picked, "id").select(F.col("u").alias("su"), F.col("p").alias("sp"), F.col("q").alias("sq"), "id", "text")
     percent = round(similarity * 100)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sets(table: pa.Table) -> Iterator[np.ndarray]:
-        for first, last, row, h in shingle_sets(large_binaries(table.column("text")), shingle):
-            yield from np.split(h, np.searchsorted(row, np.arange(1, last - first)))
-
-    def confirm(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return out.empty_table()
-        leader = next(iter(sets(a)))
-        good = []
-        for mine in sets(b):
-            common = int(np.isin(mine, leader, assume_unique=True).sum())
-            good.append(100 * common >= percent * (len(mine) + len(leader) - common))
-        return pa.table([b.column("a"), b.column("b")], schema=out).filter(pa.array(good, pa.bool_()))
-
-    return left.groupBy("leader", "piece").cogroup(right.groupBy("a", "part")).applyInArrow(confirm, "a long, b long")
+    def confirm(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for first, last, row, h in shingle_sets(large_binaries(held.column("text")), shingle):
+            sets += np.split(h, np.searchsorted(row, np.arange(1, last - first)))
+        at = {i: k for k, i in enumerate(held.column("id").to_pylist())}
+        ids = np.array([[at[i] for i in pairs.column(c).to_pylist()] for c in ("m", "x")]).reshape(2, -1)
+        good = np.zeros(ids.shape[1], dtype=bool)
+        for k, (i, j) in enumerate(ids.T):
+            x, y = sets[i], sets[j]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and union_share(x, y, size) >= limit:
+                near = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int(np.count_nonzero(x[near] == y))
+                good[k] = 100 * common >= percent * (len(x) + len(y) - common)
+        m, x = (np.asarray(pairs.column(c))[good] for c in ("m", "x"))
+        return pa.table([pa.array(np.minimum(m, x), pa.int64()), pa.array(np.maximum(m, x), pa.int64())], schema=out)
+
+    links = cells.groupBy("u", "p", "q").cogroup(sent.groupBy("su", "sp", "sq")).applyInArrow(confirm, "a long, b long")
+    return written(links, "links", folder)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, size: int = SKETCH, share: float = SHARE) -> DataFrame:
@@ -235,24 +242,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     nothing; rows with a null doc_id are left out; of rows that repeat a doc_id the one with
     the largest set counts. Only doc_id and text are read. An empty table gives an empty result.
     """
-    texts = clean_documents(docs).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    features = written(_features(texts, shingle, size), "sketches")
-    one = features.groupBy("doc_id").agg(F.max(F.struct("n", "key1", "key2", "text_key")).alias("f")).select("doc_id", "f.*")
-    classes = (one.filter("n > 0").groupBy("key1", "key2", "n")
-               .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
-    classes = written(classes, "classes")
-    sketches = (features.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_key"), ["id", "text_key"])
-                .dropDuplicates(["id"]).select("id", "n", "sketch", "bits"))
-    lists = written(_prefixes(sketches, similarity, size, share), "lists")
+    spark = docs.sparkSession
     limit = similarity * share / 0.8  # of the estimate, far below what a link can have
-
-    star = _star_pairs(lists, similarity)
-    star = written(_confirmed(_estimated(star, classes, features, size, limit), classes, texts, shingle, similarity), "links")
-    cross = _cross_pairs(lists, components(star), similarity)
-    rest = written(_confirmed(_estimated(cross, classes, features, size, limit), classes, texts, shingle, similarity), "links")
-    labels = components(star.union(rest))
-    of_class = (classes.select("id", "n", "key1", "key2").join(labels.withColumnRenamed("node", "id"), "id", "left")
-                .select("n", "key1", "key2", F.coalesce("label", "id").alias("label")))
+    texts = clean_documents(docs).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    with scratch(spark) as tmp:
+        with scratch(spark) as early:
+            features = written(_features(texts, shingle, size), "sketches", early)
+            one = features.groupBy("doc_id").agg(F.max(F.struct("n", "key1", "key2", "text_key")).alias("f")).select("doc_id", "f.*")
+            one = written(one, "documents")
+            classes = (one.filter("n > 0").groupBy("key1", "key2", "n")
+                       .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
+            classes = written(classes, "classes", tmp)
+            sketches = (features.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_key"), ["id", "text_key"])
+                        .dropDuplicates(["id"]).select("id", "n", "sketch", "bits"))
+            lists = written(_prefixes(sketches, similarity, size, share), "lists", tmp)
+
+        star = written(_star_pairs(lists, similarity), "pairs", tmp)
+        links = _confirmed(_star_cells(star), classes, texts, shingle, similarity, size, limit, tmp)
+        blocks = components(star, tmp)
+        with scratch(spark) as joined:
+            cross = written(_cross_pairs(lists, components(links, tmp), similarity, joined), "pairs", tmp)
+        rest = _confirmed(_block_cells(cross, blocks), classes, texts, shingle, similarity, size, limit, tmp)
+        labels = components(links.union(rest), tmp)
+        of_class = (classes.select("id", "n", "key1", "key2").join(labels.withColumnRenamed("node", "id"), "id", "left")
+                    .select("n", "key1", "key2", F.coalesce("label", "id").alias("label")))
+        of_class = written(of_class, "labels")
     component = F.coalesce("label", "doc_id")
     return (one.join(of_class, ["n", "key1", "key2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept")))
