@@ -128,9 +128,9 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float, folder:
     """(a, b): all classes of different components that meet often enough. A list is first paired by component,
     so classes that are already connected make no pairs. A component with one class in the list brings its size and
     bitmap along; of two with more, the smaller one is spelt out. Pairs that can't be alike are dropped in the joins
-    themselves, so what comes out are candidates, not all pairs of a list."""
+    themselves, so what comes out are candidates, not all pairs of a list; the lists they meet in are counted after."""
     named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    me = F.struct("id", "n", "meet", "due_bits", "bits", "listed").alias("me")
+    me = F.struct("id", "n", "meet", "due_bits", "bits").alias("me")
     at = named.select(F.explode("listed").alias("v"), "label", me)
     mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
     at = written(at.join(mixed, "v"), "mixed", folder)
@@ -141,26 +141,21 @@ def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float, folder:
 
     percent = round(similarity * 100)
 
-    def alike(v: str):
-        """Like enough in size and bitmap, met often enough, and this the first list (in the common order) of those
-        in which they meet: so each pair comes out once."""
-        common = F.array_intersect("a.listed", "b.listed")
-        return (_similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
-                & (F.size(common) >= F.least("a.meet", "b.meet")) & (F.try_element_at(common, F.lit(1)) == F.col(v)))
-
+    alike = _similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
     # a is the side with fewer classes in the list
     order = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("labela") < F.col("labelb")))
     sizes = (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
     two = (side("a").join(side("b"), (F.col("va") == F.col("vb")) & (F.col("labela") != F.col("labelb")) & order & sizes
-                          & ((F.col("kb") > 1) | alike("va"))))
+                          & ((F.col("kb") > 1) | alike)))
     single = two.filter("kb = 1").select("a", "b")
     few = two.filter("kb > 1").select(F.col("va").alias("v"), "labela", "labelb", "ka", "a")
     spelt = (few.filter("ka > 1").drop("a").join(at.select("v", F.col("label").alias("labela"), F.col("me").alias("a")), ["v", "labela"])
              .select("v", "labelb", "a"))
     right = at.select(F.col("v").alias("vb"), F.col("label").alias("label"), F.col("me").alias("b"))
     left = few.filter("ka = 1").select("v", "labelb", "a").union(spelt)
-    many = left.join(right, (F.col("v") == F.col("vb")) & (F.col("labelb") == F.col("label")) & alike("v")).select("a", "b")
-    return single.union(many).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    many = left.join(right, (F.col("v") == F.col("vb")) & (F.col("labelb") == F.col("label")) & alike).select("a", "b")
+    return (single.union(many).groupBy(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+            .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("a.meet", "b.meet")).alias("due")).filter("met >= due").select("a", "b"))
 
 
 def _star_cells(pairs: DataFrame) -> DataFrame:
