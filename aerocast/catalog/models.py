@@ -381,13 +381,18 @@ _SNAPSHOT_SQL = features_sql(final_select=(
     + " FROM clean QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date DESC) = 1"))
 
 
+def _history_and_today(raw):
+    """The readings before each series' newest day, and those of that day. The days go to every task (a row a series):
+    readings dealt by series would put a third of them in one task."""
+    last_day = raw.groupBy("series_key").agg(F.max(F.to_date("ts")).alias("_last"))
+    tagged = raw.join(F.broadcast(last_day), "series_key")
+    day = F.to_date("ts")
+    return tagged.where(day < F.col("_last")).drop("_last"), tagged.where(day == F.col("_last")).drop("_last")
+
+
 @register("online_snapshot", _SNAPSHOT_SQL)
 def q_online_snapshot(spark, sf):
-    raw = B.readings(spark, sf)
-    last_day = raw.groupBy("series_key").agg(F.max(F.to_date("ts")).alias("_last"))
-    tagged = raw.join(last_day, "series_key")
-    history = tagged.where(F.to_date("ts") < F.col("_last")).drop("_last")
-    today = tagged.where(F.to_date("ts") == F.col("_last")).drop("_last")
+    history, today = _history_and_today(B.readings(spark, sf))
     today = today.select(*reversed(today.columns))  # appended by name, not by position
     snap = FE.online_snapshot(history, today, LINEITEM_SPEC)
     return rounded(snap.select("series_key", "date", "y", *LINEITEM_SPEC.feature_cols()))
@@ -397,11 +402,10 @@ def q_online_snapshot(spark, sf):
 def q_online_snapshot_state(spark, sf):
     """The same from a stored state of every series, folded forward by the newest day."""
     from aerocast.session import scratch_path
-    raw = B.readings(spark, sf)
-    tagged = raw.join(raw.groupBy("series_key").agg(F.max(F.to_date("ts")).alias("_last")), "series_key")
+    history, today = _history_and_today(B.readings(spark, sf))
     path = scratch_path(spark, "snapshot-state")
-    FE.snapshot_state(tagged.where(F.to_date("ts") < F.col("_last")).drop("_last"), LINEITEM_SPEC).write.parquet(path)
-    state = FE.advance_state(spark.read.parquet(path), tagged.where(F.to_date("ts") == F.col("_last")).drop("_last"), LINEITEM_SPEC)
+    FE.snapshot_state(history, LINEITEM_SPEC).write.parquet(path)
+    state = FE.advance_state(spark.read.parquet(path), today, LINEITEM_SPEC)
     return rounded(FE.state_snapshot(state, LINEITEM_SPEC).select("series_key", "date", "y", *LINEITEM_SPEC.feature_cols()))
 
 
