@@ -72,7 +72,12 @@ def pooled_metrics(oof: DataFrame, is_delta: bool) -> tuple[float, float, float]
     return float(r[0]["mae"]), float(r[0]["rmse"]), float(r[0]["r2"])
 
 
-def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
+def _frame(df: DataFrame, spec: ForecastSpec) -> TR.Frame:
+    fs = spec.features
+    return TR.training_frame(df, fs.key, fs.date, fs.feature_cols(), spec.fit_rows, spec.seed)
+
+
+def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool, frame: TR.Frame | None = None) -> CandidateResult:
     fs = spec.features
     cols = fs.feature_cols()
     scored, stats = RG.ridge_fold_predictions(df, cols, "target", "weight", spec.alphas, spec.n_splits)
@@ -91,17 +96,12 @@ def run_ridge(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateRes
                            model, {"alpha": spec.alphas[best]})
 
 
-def _oof_from_nodes(df: DataFrame, spec: ForecastSpec, nodes: DataFrame, is_delta: bool) -> DataFrame:
-    """Out-of-fold levels of all rows: block k is scored by the trees that were grown on the blocks before it."""
+def _scored_blocks(df: DataFrame, spec: ForecastSpec, models: dict) -> DataFrame:
+    """Rows of the test blocks with the predictions of each name's fold models: block k is scored by the trees that were
+    grown on the blocks before it."""
     fs = spec.features
-    parts = []
-    for k in range(1, spec.n_splits + 1):
-        rows = TR.score_trees(df.where(F.col("block") == k), nodes.where(F.col("fold") == k), fs.feature_cols(), "pred")
-        parts.append(rows.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block"))
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    return reconstruct(oof, is_delta).checkpoint(eager=True)
+    rows = TR.score_blocks(df.where(F.col("block").between(1, spec.n_splits)), models, fs.feature_cols())
+    return rows.select(fs.key, fs.date, *models, "target", "true_level", "base_pred", "block")
 
 
 def _stored(nodes: DataFrame, name: str) -> DataFrame:
@@ -111,35 +111,50 @@ def _stored(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.sparkSession.read.schema(nodes.schema).parquet(path)
 
 
-def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
+def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool, frame: TR.Frame | None = None) -> CandidateResult:
     """M6: the grid by mean fold MAE on the target, the first best point; fold forests of it score every row, and the
-    forest on all rows is the model (a node table)."""
+    forest on all rows is the model (a node table). Where the frame holds every row, the fold forests have scored them in
+    the search and are not grown again."""
     fs = spec.features
     spark, last = df.sparkSession, spec.n_splits + 1
-    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols(), spec.fit_rows, spec.seed)
-    searched = TR.search_forest(frame, spark, spec.rf_grid, spec.n_splits, spec.seed) if len(spec.rf_grid) > 1 else [(0.0, spec.rf_grid[0])]
-    params = min(enumerate(searched), key=lambda x: (x[1][0], x[0]))[1][1]
-    nodes = _stored(TR.forest_nodes(frame, spark, params, range(1, last + 1), spec.seed), "forest")
-    oof = _oof_from_nodes(df, spec, nodes, is_delta)
+    frame = frame or _frame(df, spec)
+    params, sums = spec.rf_grid[0], None
+    if len(spec.rf_grid) > 1:
+        sums = _stored(TR.forest_sums(frame, spark, spec.rf_grid, spec.n_splits, spec.seed), "forest-search")
+        searched = TR.search_errors(sums, spec.rf_grid)
+        params = min(enumerate(searched), key=lambda x: (x[1][0], x[0]))[1][1]
+    scored = sums is not None and frame.whole
+    nodes = _stored(TR.forest_nodes(frame, spark, params, [last] if scored else range(1, last + 1), spec.seed), "forest")
+    if scored:
+        found = TR.fold_predictions(sums, frame, params, "pred").select(F.col(fs.key).alias("_key"), F.col(fs.date).alias("_date"), "pred")
+        rows = df.where(F.col("block").between(1, spec.n_splits))
+        # at most fit_rows rows
+        rows = rows.join(F.broadcast(found), rows[fs.key].eqNullSafe(F.col("_key")) & rows[fs.date].eqNullSafe(F.col("_date")))
+        rows = rows.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block")
+    else:
+        rows = _scored_blocks(df, spec, {"pred": {k: TR.Packed(nodes.where(F.col("fold") == k)) for k in range(1, last)}})
+    oof = reconstruct(rows, is_delta).checkpoint(eager=True)
     mae, rmse, r2 = pooled_metrics(oof, is_delta)
     return CandidateResult("RandomForest", "trees", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
                            nodes.where(F.col("fold") == last), params)
 
 
-def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool) -> CandidateResult:
+def run_boosted(df: DataFrame, spec: ForecastSpec, is_delta: bool, frame: TR.Frame | None = None) -> CandidateResult:
     """M7: every setting is fitted with early stopping inside each fold; pooled MAE on levels decides, the first best
-    setting wins, and its fit on all rows is the model (a node table)."""
+    setting wins, and its fit on all rows is the model (a node table). One pass scores all settings."""
     fs = spec.features
     spark, last = df.sparkSession, spec.n_splits + 1
-    frame = TR.training_frame(df, fs.key, fs.date, fs.feature_cols(), spec.fit_rows, spec.seed)
+    frame = frame or _frame(df, spec)
     nodes = _stored(TR.boosted_nodes(frame, spark, spec.gbt_grid, range(1, last + 1), spec.seed), "boosted")
+    packed = TR.packed_by(nodes.where(F.col("fold") < last), ["setting", "fold"])
+    names = [f"_pred{i}" for i in range(len(spec.gbt_grid))]
+    scored = _scored_blocks(df, spec, {name: {k: packed[i, k] for k in range(1, last)} for i, name in enumerate(names)}).checkpoint(eager=True)
     best = None
     for i, params in enumerate(spec.gbt_grid):
-        mine = nodes.where(F.col("setting") == i)
-        oof = _oof_from_nodes(df, spec, mine, is_delta)
+        oof = reconstruct(scored.withColumn("pred", F.col(names[i])).drop(*names), is_delta)
         metrics = pooled_metrics(oof, is_delta)
         if best is None or metrics[0] < best[0][0]:
-            best = (metrics, params, oof, mine)
+            best = (metrics, params, oof, nodes.where(F.col("setting") == i))
     (mae, rmse, r2), params, oof, mine = best
     return CandidateResult("boosted_trees", "trees", mae, rmse, r2, oof.select(fs.key, fs.date, "oof_level", "base_pred"),
                            mine.where(F.col("fold") == last), params)
@@ -170,7 +185,8 @@ def run_tournament(feats: DataFrame, spec: ForecastSpec) -> TournamentResult:
         is_delta = h > 1
         df = horizon_frame(feats, spec, h, upstream).cache()
         # each search fills the cluster by itself, so the candidates run one after the other
-        results = [RUNNERS[c](df, spec, is_delta) for c in spec.candidates]
+        frame = _frame(df, spec) if {"RandomForest", "boosted_trees"} & set(spec.candidates) else None
+        results = [RUNNERS[c](df, spec, is_delta, frame) for c in spec.candidates]
         best = min(range(len(results)), key=lambda i: (np.inf if np.isnan(results[i].mae) else results[i].mae, i))
         champ = results[best]
         for r in results:

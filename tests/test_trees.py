@@ -185,3 +185,30 @@ def test_tree_shapley_missing_values_and_lone_leaf(spark):
     assert got == {(1, "u"): -7.5, (1, "v"): 0.0, (2, "u"): 2.5, (2, "v"): 0.0, (3, "u"): 2.5, (3, "v"): 0.0}
     assert TR.expected_value(nodes) == 22.5
     assert TR.tree_shapley(rows.limit(0), ["id"], nodes, ["u", "v"]).count() == 0
+
+
+def test_forest_grows_no_fold_twice(spark, frame, monkeypatch):
+    """Fold forests that the search has grown and scored are not grown anew; a frame that is a sample scores every row by its node tables."""
+    df, _ = frame
+    spec = dataclasses.replace(ForecastSpec(), features=dataclasses.replace(ForecastSpec().features, target="target"), rf_grid=GRID[:4])
+    monkeypatch.setattr(type(spec.features), "feature_cols", lambda self: ["a", "b", "c", "d"])
+    asked, plain = [], TR.forest_nodes
+    monkeypatch.setattr(TR, "forest_nodes", lambda f, s, p, folds, seed: asked.append(list(folds)) or plain(f, s, p, folds, seed))
+    found = TN.run_forest(df, spec, False)
+    assert asked == [[6]] and found.oof.count() == 500
+    point = plain(TR.training_frame(df, "series_key", "date", ["a", "b", "c", "d"]), spark, found.params, range(1, 6), spec.seed).cache()
+    for k in (1, 5):
+        rows = TR.score_trees(df.where(F.col("block") == k), point.where(F.col("fold") == k), ["a", "b", "c", "d"], "p").join(found.oof, ["series_key", "date"])
+        assert rows.count() == 100 and rows.where("abs(p - oof_level) > 1e-9").count() == 0
+    assert TN.run_forest(df, dataclasses.replace(spec, fit_rows=300), False).oof.count() == 500 and asked[1] == [1, 2, 3, 4, 5, 6]
+
+
+def test_blocks_are_scored_by_their_own_models(spark, frame):
+    df, f = frame
+    nodes = TR.boosted_nodes(f, spark, SETTINGS, [1, 4], 42).cache()
+    packed = TR.packed_by(nodes, ["setting", "fold"])
+    both = TR.score_blocks(df.where("block IN (1, 4)"), {f"p{i}": {k: packed[i, k] for k in (1, 4)} for i in range(2)}, ["a", "b", "c", "d"])
+    for k in (1, 4):
+        for i in range(2):
+            one = TR.score_trees(both.where(F.col("block") == k), nodes.where(f"setting = {i} AND fold = {k}"), ["a", "b", "c", "d"], "q")
+            assert one.count() == 100 and one.where(f"p{i} IS NULL OR p{i} <> q").count() == 0
