@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from aerocast.llm.common import large_binaries
+from aerocast.llm.common import HELD, large_binaries
 from aerocast.llm.units import CUT_PATTERN, UnitCoder
 
 class ByteBpe:
@@ -169,6 +169,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 _LOADED: dict[str, ByteBpe] = {}
+HELD.append(_LOADED)
 
 
 def loaded(data: bytes, pattern: str) -> ByteBpe:

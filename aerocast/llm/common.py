@@ -9,6 +9,8 @@ polynomial hashes finished with a bit mixer, computed for a whole batch with Num
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,6 +72,23 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a Python worker for their next task: dicts that may be emptied at any time.
+HELD: list[dict] = []
+
+
+def let_go() -> None:
+    """Frees what tasks of other operators have left in this Python worker, so that the stages of a pipeline don't add
+    up in one executor; nothing is done where nothing is left."""
+    if not any(HELD):
+        return
+    for held in HELD:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder under the shared one, removed at the end: for tables that nothing lazy reads afterwards."""

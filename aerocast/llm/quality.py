@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerocast.llm.common import LOWER, large_binaries, mix, slices, span_hashes, word_spans, written
+from aerocast.llm.common import LOWER, large_binaries, let_go, mix, slices, span_hashes, word_spans, written
 
 #: Bound of the labelled sample that the fit sees.
 MAX_LABELLED = 20_000
@@ -164,6 +164,7 @@ def labels_of(labels: DataFrame) -> DataFrame:
 def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of the documents of a bounded sample: doc_id, label, statistics, metadata, and row and number of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             meta = metadata_features(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             for first, last, stats, row, feature in text_features(large_binaries(b.column(5))):
@@ -230,6 +231,7 @@ def _unpacked(records: np.ndarray, n_words: int) -> list[np.ndarray]:
 def pool_table(docs: DataFrame, good: DataFrame, words: np.ndarray) -> DataFrame:
     """A record of each row whose doc_id has no label, written to the shared folder; null doc_ids are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             meta = metadata_features(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
             for first, last, stats, row, word in text_features(large_binaries(b.column(4))):
@@ -275,6 +277,7 @@ def _pool_sums(pool: DataFrame, n_words: int, rounds: list[list[Logistic]], asks
     """Sums over all records, by view: of an ask () the moments, of one with arguments those of ``_newton``, of None
     nothing. Tasks send their sums in pieces, which the executors add up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         from pyspark import TaskContext
         sums = [0.0, 0.0]
         for b in batches:
@@ -393,6 +396,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sc
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **bounds))
 
     def run(batches: Iterator[tuple]) -> Iterator[pa.Array]:
+        let_go()
         m = model.value
         for lang, source, n_chars, text in batches:
             if m.text is None:
