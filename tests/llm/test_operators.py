@@ -543,6 +543,6 @@ def test_oracles(spark, name):
 def test_every_text_query_runs(spark):
     import __spark_entry__ as E
     names = [n for n in E.queries() if re.match(r"op\d+_|pipeline$", n)]
-    assert len(names) == 11
+    assert len(names) == 14  # the thirteen operators and the pipeline
     for n in ("op1_url_filter", "op3_decontamination", "op4_quality"):
         assert E.queries()[n](spark, "/root/testdata/sf0.001").agg(F.count(F.lit(1))).first()[0] > 0
