@@ -7,11 +7,15 @@ of the set. Steps, all of them joins and groupings:
 2. Retained values are ordered by how many sketches hold them, and each class enters
    the inverted lists of its rarest values only: two sketches that share what similar sets
    share must meet in ``MEET`` of these lists, so a value that very many documents hold is
-   not listed where it can't decide.
-3. Overlaps from the lists, first of each list's classes with its smallest class, later of
-   classes that are not yet connected; so a group of n similar texts costs about n pairs.
-   Bitmaps of the sketches drop pairs that can't share enough values.
-4. Pairs are gathered by blocks of classes that met in step 3, whose texts go once to each pair of parts of a block,
+   not listed where it can't decide. Each class is compared with the smallest class of a list.
+3. Classes that still meet enough classes of other components are listed again, by the rarest
+   values of their full sets. A sketch of 64 leaves a wide margin; the full sets have none: a
+   text with more values of its own than a link allows is in no list with others. Each
+   class is compared with the one of a list that has the fewest values of its own, then
+   with the classes of other components as far as what both hold from a common value on
+   can make a link. So a group of n texts made from one text costs about n pairs and those
+   of the few texts just beside the limit.
+4. Pairs are gathered by blocks of classes that met in step 2, whose texts go once to each pair of parts of a block,
    not once a pair. There the union-sketch estimate drops pairs that are clearly below the limit.
 5. Full sets, made again from the whole texts, confirm each link; links give components.
 """
@@ -32,8 +36,6 @@ from aerocast.llm.components import components
 #: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
 #: standard deviations away (below 1e-8 for a pair just at 0.8); sets so small that both are held whole are exact.
 SKETCH, SHARE = 64, 0.5
-#: Bits of a sketch's bitmap, as 64-bit words, with which most unlike pairs of a list are dropped in the join.
-BITMAP = 8
 #: Lists in which two classes must meet.
 MEET = 4
 #: Shingles of a part of a block, on average; two parts at a time are compared by one task.
@@ -63,7 +65,7 @@ def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int
 
 
 def _features(docs: DataFrame, shingle: int, size: int) -> DataFrame:
-    """(doc_id, text_key, n, key1, key2, sketch, bits); the keys are two sums over the set, so equal sets have equal keys."""
+    """(doc_id, text_key, n, key1, key2, sketch); the keys are two sums over the set, so equal sets have equal keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, row, h in shingle_sets(large_binaries(batch.column(2)), shingle):
@@ -74,18 +76,14 @@ def _features(docs: DataFrame, shingle: int, size: int) -> DataFrame:
                 kept = np.arange(len(h)) - head[row] < size
                 sizes = np.minimum(np.diff(head), size)
                 sketch = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(signed(h[kept])))
-                bits = np.zeros(m * BITMAP, dtype=np.uint64)
-                at = (h[kept] & np.uint64(64 * BITMAP - 1)).astype(np.int64)
-                np.bitwise_or.at(bits, row[kept] * BITMAP + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-                bitmap = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * BITMAP, pa.int32()), pa.array(signed(bits)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), batch.column(1).slice(first, m), pa.array(np.diff(head).astype(np.int64)),
-                                                  pa.array(keys[0]), pa.array(keys[1]), sketch, bitmap],
-                                                 names=["doc_id", "text_key", "n", "key1", "key2", "sketch", "bits"])
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>, bits array<long>")
+                                                  pa.array(keys[0]), pa.array(keys[1]), sketch],
+                                                 names=["doc_id", "text_key", "n", "key1", "key2", "sketch"])
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>")
 
 
 def _prefixes(sketches: DataFrame, similarity: float, size: int, share: float) -> DataFrame:
-    """(id, n, meet, due_bits, bits, listed): the values under which each class is listed, its rarest ones."""
+    """(id, n, meet, listed): the values under which each class is listed, its rarest ones."""
     s = F.size("sketch")
     whole = math.floor(size * similarity)  # up to this set size the partner's set is held whole too
     least = F.when(F.col("n") <= whole, F.ceil(F.lit(round(similarity, 6)) * s - 1e-9)).otherwise(F.ceil(F.lit(share) * s)).cast("int")
@@ -95,25 +93,17 @@ def _prefixes(sketches: DataFrame, similarity: float, size: int, share: float) -
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     shared = (values.join(common, "v").groupBy("id")
               .agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared")))
-    # a value that the partner lacks takes at most one bit from the common ones
-    due = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x)) - (s - F.col("least"))
-    slim = sketches.select("id", "n", "least", "meet", s.alias("s"), due.alias("due_bits"), "bits")
+    slim = sketches.select("id", "n", "least", "meet", s.alias("s"))
     # values that no other sketch holds are the rarest; they take their places, but need no list
     places = F.col("s") - F.col("least") + F.col("meet") - (F.col("s") - F.size("shared"))
     return (slim.join(shared, "id").withColumn("listed", F.slice("shared.v", F.lit(1), F.greatest(places, F.lit(0))))
-            .filter(F.size("listed") > 0).select("id", "n", "meet", "due_bits", "bits", "listed"))
+            .filter(F.size("listed") > 0).select("id", "n", "meet", "listed"))
 
 
 def _similar_size(a: str, b: str, similarity: float):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * round(similarity * 100))
 
 
-def _share_bits(a: str, b: str):
-    """True if the bitmaps of two classes allow the overlap that each needs."""
-    common = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseAND(F.col(f"{b}.bits")[k])) for k in range(BITMAP)), F.lit(0))
-    return common >= F.greatest(f"{a}.due_bits", f"{b}.due_bits")
-
-
 def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     """(a, b): each class with the smallest class of a list, where they meet often enough."""
     at = lists.select(F.explode("listed").alias("v"), "id", "n", "meet")
@@ -124,38 +114,108 @@ def _star_pairs(lists: DataFrame, similarity: float) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("meet", "head.meet")).alias("due")).filter("met >= due").select("a", "b"))
 
 
-def _cross_pairs(lists: DataFrame, labels: DataFrame, similarity: float, folder: str) -> DataFrame:
-    """(a, b): all classes of different components that meet often enough. A list is first paired by component,
-    so classes that are already connected make no pairs. A component with one class in the list brings its size and
-    bitmap along; of two with more, the smaller one is spelt out. Pairs that can't be alike are dropped in the joins
-    themselves, so what comes out are candidates, not all pairs of a list; the lists they meet in are counted after."""
-    named = lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    me = F.struct("id", "n", "meet", "due_bits", "bits").alias("me")
-    at = named.select(F.explode("listed").alias("v"), "label", me)
-    mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
-    at = written(at.join(mixed, "v"), "mixed", folder)
-    sides = at.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k"), F.min("me.n").alias("lo"), F.max("me.n").alias("hi"), F.first("me").alias("me"))
+def _labelled(at: DataFrame, labels: DataFrame) -> DataFrame:
+    return at.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _band(similarity: float):
+    """Bands of sizes: linked sets lie in the same one or in neighbours."""
+    return F.floor(F.log(F.col("n")) / max(-math.log(round(similarity * 100) / 100), 1e-3) + 1e-9)
 
-    def side(x: str) -> DataFrame:
-        return sides.select(F.col("v").alias(f"v{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("label", "k", "lo", "hi")], F.col("me").alias(x))
 
+def _open(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(id): the classes that may have a link to another component. Components are dealt into 64 numbers; a class goes on
+    if it shares enough lists with other components of one number, of sizes near its own. No pairs are made."""
+    number = F.pmod(F.xxhash64("label"), F.lit(64)).cast("int").alias("number")
+    due = F.when(F.col("n") * similarity < 16, 1).otherwise(F.col("meet")).alias("due")
+    at = _labelled(lists, labels).select(F.explode("listed").alias("v"), "id", "label", number, _band(similarity).alias("band"), due)
+    held = at.groupBy("v", "band", "number").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    near = held.select("v", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "number", "lo", "hi")
+    near = near.groupBy("v", "band", "number").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    bit = F.expr("shiftleft(1L, number)")
+    near = near.groupBy("v", "band").agg(F.bit_or(bit).alias("any"), F.bit_or(F.when(F.col("lo") < F.col("hi"), bit).otherwise(F.lit(0).cast("long"))).alias("more"))
+    # of its own number another component is there only where that number has more than one
+    others = F.col("any").bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.col("more").bitwiseAND(bit))
+    masks = (at.join(near, ["v", "band"]).select("id", "due", others.alias("mask")).filter("mask <> 0")
+             .groupBy("id").agg(F.collect_list("mask").alias("masks"), F.first("due").alias("due")).filter(F.size("masks") >= F.col("due")))
+    # element k: the numbers met in more than k lists
+    none = F.array(*[F.lit(0).cast("long")] * MEET)
+    met = F.aggregate("masks", none, lambda c, m: F.array(c[0].bitwiseOR(m), *[c[k].bitwiseOR(c[k - 1].bitwiseAND(m)) for k in range(1, MEET)]))
+    return masks.filter(F.element_at(met, F.col("due")) != 0).select("id")
+
+
+def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): one text of each wanted (id, text_key)."""
+    wanted = wanted.withColumnRenamed("id", "doc_id")
+    return texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+
+
+def _full_lists(picked: DataFrame, shingle: int, similarity: float, folder: str) -> DataFrame:
+    """(v, id, n, rest): the full sets' rarest values, of each as many as hold the first common value with any linked set.
+    ``rest`` counts the set's values from v on, in the one order of all sets (rarest first): two sets whose first common
+    value is v share no more than the smaller ``rest``."""
     percent = round(similarity * 100)
 
-    alike = _similar_size("a.n", "b.n", similarity) & _share_bits("a", "b")
-    # a is the side with fewer classes in the list
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, row, h in shingle_sets(large_binaries(batch.column(1)), shingle):
+                head = np.searchsorted(row, np.arange(last - first + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(signed(h)))],
+                                                 names=["id", "vs"])
+
+    sets = written(picked.select("id", "text").mapInArrow(run, "id long, vs array<long>"), "sets", folder)
+    values = sets.select("id", F.explode("vs").alias("v"))
+    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = values.join(common, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared"))
+    shared = shared.join(sets.select("id", F.size("vs").alias("n")), "id")
+    single = F.col("n") - F.size("shared")  # values that no other set holds come first and need no list
+    places = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1 - single
+    listed = shared.select("id", "n", single.alias("single"), F.slice("shared.v", F.lit(1), F.greatest(places, F.lit(0))).alias("listed"))
+    at = listed.select("id", "n", "single", F.posexplode("listed").alias("k", "v"))
+    return written(at.select("v", "id", "n", (F.col("n") - F.col("single") - F.col("k")).alias("rest")), "at", folder)
+
+
+def _enough(resta, restb, na, nb, similarity: float):
+    """True if sets of these sizes can be linked when they share no more than the smaller rest."""
+    percent = round(similarity * 100)
+    return F.least(F.col(resta), F.col(restb)) * (100 + percent) >= (F.col(na) + F.col(nb)) * percent
+
+
+def _near_heads(at: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each class with the class of a list and a band of sizes that has the fewest values of its own, so that of
+    texts made from one text nearly all meet what is closest to it. Heads of its own band and of the one below."""
+    at = _labelled(at, labels).withColumn("band", _band(similarity))
+    best = F.max(F.struct((F.col("rest") / F.col("n")).alias("part"), (-F.col("id")).alias("back"), "id", "n", "rest", "label")).alias("head")
+    heads = at.groupBy("v", "band").agg(best)
+    heads = heads.union(heads.select("v", F.col("band") + 1, "head"))
+    return (at.join(heads.toDF("v", "band", "head"), ["v", "band"]).filter("label <> head.label")
+            .filter(_enough("rest", "head.rest", "n", "head.n", similarity))
+            .select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct())
+
+
+def _cross_pairs(at: DataFrame, labels: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """(a, b): all classes of different components that can still be linked by what they share from a common value on.
+    A list is first paired by component and band of sizes, so that classes that are already connected make no pairs, and
+    a set that has too many values of its own is dropped against a whole component at once. Of two components the one with
+    fewer classes in the list is spelt out first."""
+    band = F.floor(F.log(F.col("n")) / math.log(1.02)).alias("band")
+    at = _labelled(at, labels)
+    mixed = at.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("v")
+    at = written(at.join(mixed, "v").select("v", "label", band, "id", "n", "rest"), "mixed", folder)
+    sides = at.groupBy("v", "label", "band").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"), F.max("rest").alias("rest"))
+
+    def side(of: DataFrame, x: str) -> DataFrame:
+        return of.select(*[F.col(c).alias(f"{c}{x}") for c in of.columns])
+
     order = (F.col("ka") < F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("labela") < F.col("labelb")))
-    sizes = (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)
-    two = (side("a").join(side("b"), (F.col("va") == F.col("vb")) & (F.col("labela") != F.col("labelb")) & order & sizes
-                          & ((F.col("kb") > 1) | alike)))
-    single = two.filter("kb = 1").select("a", "b")
-    few = two.filter("kb > 1").select(F.col("va").alias("v"), "labela", "labelb", "ka", "a")
-    spelt = (few.filter("ka > 1").drop("a").join(at.select("v", F.col("label").alias("labela"), F.col("me").alias("a")), ["v", "labela"])
-             .select("v", "labelb", "a"))
-    right = at.select(F.col("v").alias("vb"), F.col("label").alias("label"), F.col("me").alias("b"))
-    left = few.filter("ka = 1").select("v", "labelb", "a").union(spelt)
-    many = left.join(right, (F.col("v") == F.col("vb")) & (F.col("labelb") == F.col("label")) & alike).select("a", "b")
-    return (single.union(many).groupBy(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-            .agg(F.count(F.lit(1)).alias("met"), F.first(F.least("a.meet", "b.meet")).alias("due")).filter("met >= due").select("a", "b"))
+    two = side(sides, "a").join(side(sides, "b"), (F.col("va") == F.col("vb")) & (F.col("labela") != F.col("labelb")) & order & _enough("resta", "restb", "na", "nb", similarity))
+    few = two.select(F.col("va").alias("v"), F.col("labela").alias("label"), F.col("banda").alias("band"), "labelb", "bandb", "nb", "restb")
+    left = few.join(at, ["v", "label", "band"]).filter(_enough("rest", "restb", "n", "nb", similarity)).select("v", F.col("labelb").alias("label"), F.col("bandb").alias("band"), F.col("id").alias("ida"), F.col("n").alias("na"), F.col("rest").alias("resta"))
+    right = at.select("v", "label", "band", F.col("id").alias("idb"), F.col("n").alias("nb"), F.col("rest").alias("restb"))
+    right = right.toDF("vb", "labelb", "bandb", "idb", "nb", "restb")
+    many = left.join(right, (F.col("v") == F.col("vb")) & (F.col("label") == F.col("labelb")) & (F.col("band") == F.col("bandb"))
+                     & _enough("resta", "restb", "na", "nb", similarity))
+    return many.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
 
 
 def _star_cells(pairs: DataFrame) -> DataFrame:
@@ -196,9 +256,9 @@ def _confirmed(cells: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     ends = cells.select("u", F.lit(0).alias("side"), F.col("m").alias("id")).union(cells.select("u", F.lit(1), "x")).distinct()
     ends = written(ends.join(classes.select("id", "n", "text_key"), "id"), "ends", folder)
     parts = ends.groupBy("u").agg(*[F.ceil(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) / CELL).alias(c) for k, c in ((0, "ps"), (1, "qs"))])
-    wanted = written(ends.select(F.col("id").alias("doc_id"), "text_key").distinct(), "wanted", folder)
-    picked = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+    picked = _picked(texts, written(ends.select("id", "text_key").distinct(), "wanted", folder))
     cells = cells.join(parts, "u").select("u", F.pmod(F.xxhash64("m"), "ps").alias("p"), F.pmod(F.xxhash64("x"), "qs").alias("q"), "m", "x")
+    cells = written(cells, "cells", folder)
     sent = cells.select("u", "p", "q", F.col("m").alias("id")).union(cells.select("u", "p", "q", "x")).distinct()
     sent = sent.join(picked, "id").select(F.col("u").alias("su"), F.col("p").alias("sp"), F.col("q").alias("sq"), "id", "text")
     percent = round(similarity * 100)
@@ -249,14 +309,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                        .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
             classes = written(classes, "classes", tmp)
             sketches = (features.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_key"), ["id", "text_key"])
-                        .dropDuplicates(["id"]).select("id", "n", "sketch", "bits"))
+                        .dropDuplicates(["id"]).select("id", "n", "sketch"))
             lists = written(_prefixes(sketches, similarity, size, share), "lists", tmp)
 
         star = written(_star_pairs(lists, similarity), "pairs", tmp)
         links = _confirmed(_star_cells(star), classes, texts, shingle, similarity, size, limit, tmp)
         blocks = components(star, tmp)
         with scratch(spark) as joined:
-            cross = written(_cross_pairs(lists, components(links, tmp), similarity, joined), "pairs", tmp)
+            labels = components(links, tmp)
+            wanted = written(_open(lists, labels, similarity).join(classes.select("id", "text_key"), "id"), "open", joined)
+            at = _full_lists(_picked(texts, wanted), shingle, similarity, joined)
+            near = written(_near_heads(at, labels, similarity), "pairs", tmp)
+            links = links.union(_confirmed(_star_cells(near), classes, texts, shingle, similarity, size, limit, tmp))
+            cross = written(_cross_pairs(at, components(links, tmp), similarity, joined), "pairs", tmp)
         rest = _confirmed(_block_cells(cross, blocks), classes, texts, shingle, similarity, size, limit, tmp)
         labels = components(links.union(rest), tmp)
         of_class = (classes.select("id", "n", "key1", "key2").join(labels.withColumnRenamed("node", "id"), "id", "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import numpy as np
 
 from aerocast.llm.minhash import union_share
@@ -21,3 +24,33 @@ def test_union_share_of_equal_and_of_disjoint_sets():
     x = np.arange(10, dtype=np.uint64)
     assert union_share(x, x, 64) == 1
     assert union_share(x, x + np.uint64(10), 64) == 0
+
+
+def test_a_group_made_from_one_text_costs_few_pairs(spark, monkeypatch):
+    """Texts on both sides of the limit: each is compared with few others, not with the whole group."""
+    import aerocast.llm.minhash as M
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for i in range(400):
+        rate = rng.uniform(0, 0.16)
+        docs.append((i, " ".join(f"x{rng.random()}" if rng.random() < rate else w for w in base)))
+    pairs = []
+
+    def counted(df, name, folder=None, write=M.written):
+        out = write(df, name, folder)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    out = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()}
+    sets = [set(zip(w, w[1:], strict=False)) for _, t in docs for w in [t.split()]]
+    want = list(range(len(docs)))
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and want[a] != want[b]:
+            lo, hi = sorted((want[a], want[b]))
+            want = [lo if x == hi else x for x in want]
+    assert out == dict(enumerate(want))
+    assert len(set(want)) > 100 and max(map(want.count, set(want))) > 100
+    assert sum(pairs) < 8 * len(docs)
