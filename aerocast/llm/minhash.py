@@ -40,6 +40,8 @@ SKETCH, SHARE = 64, 0.5
 MEET = 4
 #: Shingles of a part of a block, on average; two parts at a time are compared by one task.
 CELL = 1 << 16
+#: Bits of a bitmap for each wanted id, and in all (16 MB).
+BITS, MOST_BITS = 32, 1 << 27
 
 
 def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,7 +93,8 @@ def _prefixes(sketches: DataFrame, similarity: float, size: int, share: float) -
     sketches = sketches.withColumn("meet", F.least(F.col("least"), F.when(s < 16, 1).otherwise(MEET)))
     values = sketches.select("id", F.explode("sketch").alias("v"))
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    shared = (values.join(common, "v").groupBy("id")
+    # dealt by id as plain rows, which take half the room that collected ones take in a shuffle
+    shared = (values.join(common, "v").repartition("id").groupBy("id")
               .agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared")))
     slim = sketches.select("id", "n", "least", "meet", s.alias("s"))
     # values that no other sketch holds are the rarest; they take their places, but need no list
@@ -130,13 +133,11 @@ def _open(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     due = F.when(F.col("n") * similarity < 16, 1).otherwise(F.col("meet")).alias("due")
     at = _labelled(lists, labels).select(F.explode("listed").alias("v"), "id", "label", number, _band(similarity).alias("band"), due)
     held = at.groupBy("v", "band", "number").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    near = held.select("v", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "number", "lo", "hi")
-    near = near.groupBy("v", "band", "number").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    bit = F.expr("shiftleft(1L, number)")
-    near = near.groupBy("v", "band").agg(F.bit_or(bit).alias("any"), F.bit_or(F.when(F.col("lo") < F.col("hi"), bit).otherwise(F.lit(0).cast("long"))).alias("more"))
-    # of its own number another component is there only where that number has more than one
-    others = F.col("any").bitwiseAND(F.bitwise_not(bit)).bitwiseOR(F.col("more").bitwiseAND(bit))
-    masks = (at.join(near, ["v", "band"]).select("id", "due", others.alias("mask")).filter("mask <> 0")
+    held = (held.groupBy("v").agg(F.collect_list(F.struct("band", "number", "lo", "hi")).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .filter("lo < hi").select("v", "held"))
+    # the numbers in which a list has another component than the class's own, by at most 64 numbers of each band
+    others = F.expr("aggregate(held, 0L, (m, h) -> if(abs(h.band - band) <= 1 and (h.lo <> label or h.hi <> label), m | shiftleft(1L, h.number), m))")
+    masks = (at.join(held, "v").select("id", "due", others.alias("mask")).filter("mask <> 0")
              .groupBy("id").agg(F.collect_list("mask").alias("masks"), F.first("due").alias("due")).filter(F.size("masks") >= F.col("due")))
     # element k: the numbers met in more than k lists
     none = F.array(*[F.lit(0).cast("long")] * MEET)
@@ -144,10 +145,26 @@ def _open(lists: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     return masks.filter(F.element_at(met, F.col("due")) != 0).select("id")
 
 
+def _likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is wanted, and of the others about one in ``BITS``: by a bitmap of hashed ids that
+    all tasks get, of at most ``MOST_BITS`` bits whatever the tables' size, so that texts which no one asks for are not
+    shuffled to be joined."""
+    bits = min(max(wanted.count() * BITS, 1 << 15), MOST_BITS)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    pages = (wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("page"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap")))
+    placed = texts.withColumn("place", place).withColumn("page", F.bitmap_bucket_number("place")).withColumn("at", F.bitmap_bit_position("place"))
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    found = placed.join(F.broadcast(pages), "page").filter(F.getbit(byte, F.pmod("at", F.lit(8)).cast("int")) == 1)
+    return found.select(*texts.columns)
+
+
 def _picked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, text): one text of each wanted (id, text_key)."""
-    wanted = wanted.withColumnRenamed("id", "doc_id")
-    return texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+    wanted = wanted.select(F.col("id").alias("doc_id"), F.col("text_key").alias("key"))
+    # joined by doc_id alone, as the rows are then made distinct by it: one shuffle
+    picked = _likely(texts, wanted).join(wanted, "doc_id").filter(F.col("text_key").between(F.col("key"), F.col("key")))
+    return picked.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
 
 
 def _full_lists(picked: DataFrame, shingle: int, similarity: float, folder: str) -> DataFrame:
@@ -166,7 +183,7 @@ def _full_lists(picked: DataFrame, shingle: int, similarity: float, folder: str)
     sets = written(picked.select("id", "text").mapInArrow(run, "id long, vs array<long>"), "sets", folder)
     values = sets.select("id", F.explode("vs").alias("v"))
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    shared = values.join(common, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared"))
+    shared = values.join(common, "v").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared"))
     shared = shared.join(sets.select("id", F.size("vs").alias("n")), "id")
     single = F.col("n") - F.size("shared")  # values that no other set holds come first and need no list
     places = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1 - single
@@ -301,15 +318,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     limit = similarity * share / 0.8  # of the estimate, far below what a link can have
     texts = clean_documents(docs).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     with scratch(spark) as tmp:
-        with scratch(spark) as early:
-            features = written(_features(texts, shingle, size), "sketches", early)
-            one = features.groupBy("doc_id").agg(F.max(F.struct("n", "key1", "key2", "text_key")).alias("f")).select("doc_id", "f.*")
-            one = written(one, "documents")
-            classes = (one.filter("n > 0").groupBy("key1", "key2", "n")
-                       .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
-            classes = written(classes, "classes", tmp)
-            sketches = (features.withColumnRenamed("doc_id", "id").join(classes.select("id", "text_key"), ["id", "text_key"])
-                        .dropDuplicates(["id"]).select("id", "n", "sketch"))
+        with scratch(spark) as once:
+            with scratch(spark) as early:
+                features = written(_features(texts, shingle, size), "sketches", early)
+                one = features.groupBy("doc_id").agg(F.max(F.struct("n", "key1", "key2", "text_key")).alias("f")).select("doc_id", "f.*")
+                one = written(one, "documents")
+                classes = (one.filter("n > 0").groupBy("key1", "key2", "n")
+                           .agg(F.min(F.struct(F.col("doc_id").alias("id"), "text_key")).alias("first")).select("key1", "key2", "n", "first.*"))
+                classes = written(classes, "classes", tmp)
+                # equal sets have equal sketches
+                sketches = features.filter("n > 0").groupBy("key1", "key2", "n").agg(F.first("sketch").alias("sketch"))
+                sketches = written(sketches.join(classes, ["key1", "key2", "n"]).select("id", "n", "sketch"), "sketches", once)
             lists = written(_prefixes(sketches, similarity, size, share), "lists", tmp)
 
         star = written(_star_pairs(lists, similarity), "pairs", tmp)

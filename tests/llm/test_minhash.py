@@ -54,3 +54,37 @@ def test_a_group_made_from_one_text_costs_few_pairs(spark, monkeypatch):
     assert out == dict(enumerate(want))
     assert len(set(want)) > 100 and max(map(want.count, set(want))) > 100
     assert sum(pairs) < 8 * len(docs)
+
+
+def test_texts_are_picked_without_a_shuffle_of_the_others(spark):
+    from pyspark.sql import functions as F
+
+    from aerocast.llm.minhash import _likely, _picked
+    texts = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    texts = texts.union(texts.filter("doc_id < 40").withColumn("text", F.lit("another"))).withColumn("text_key", F.xxhash64("text"))
+    wanted = texts.filter("doc_id % 500 = 0 and text <> 'another'").select(F.col("doc_id").alias("id"), "text_key")
+    likely = [r.doc_id for r in _likely(texts, wanted.withColumnRenamed("id", "doc_id")).collect()]
+    assert set(range(0, 20000, 500)) <= set(likely) and len(likely) < 2000
+    assert sorted(map(tuple, _picked(texts, wanted).collect())) == [(i, f"text {i % 7}") for i in range(0, 20000, 500)]
+    assert _picked(texts, wanted.limit(0)).count() == 0
+
+
+def test_open_classes_are_those_that_meet_another_component(spark):
+    from aerocast.llm.minhash import _band, _open
+    rng = random.Random(5)
+    rows = [(i, rng.choice((40, 45, 60, 200)), rng.randint(1, 4), sorted(rng.sample(range(120), rng.randint(1, 9)))) for i in range(150)]
+    lists = spark.createDataFrame(rows, "id long, n long, meet int, listed array<long>")
+    label = {i: i - i % 5 for i in range(90)}
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    of = {i: label.get(i, i) for i in range(150)}
+    band = {r.id: r.band for r in lists.select("id", _band(0.8).alias("band")).collect()}
+    number = {r.id: r.number for r in lists.selectExpr("id", "cast(pmod(xxhash64(id), 64) as int) as number").collect()}
+    want = set()
+    for i, n, meet, mine in rows:
+        met = {}
+        for v in mine:
+            for k in {number[of[j]] for j, _, _, other in rows if v in other and of[j] != of[i] and abs(band[i] - band[j]) <= 1}:
+                met[k] = met.get(k, 0) + 1
+        if any(c >= (1 if n * 0.8 < 16 else meet) for c in met.values()):
+            want.add(i)
+    assert {r.id for r in _open(lists, labels, 0.8).collect()} == want and 0 < len(want) < 150
