@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step works on (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 21
+#: The same where a byte of text takes very many bytes of arrays.
+FEW_BYTES = 1 << 19
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D

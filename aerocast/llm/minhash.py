@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import LOWER, clean_documents, large_binaries, mix, scratch, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
+from aerocast.llm.common import FEW_BYTES, LOWER, clean_documents, large_binaries, mix, scratch, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
 #: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
@@ -46,7 +46,7 @@ BITS, MOST_BITS = 32, 1 << 27
 
 def shingle_sets(texts: pa.LargeBinaryArray, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, row, hash): the distinct shingles, ordered by row and hash."""
-    for first, last, data, offsets in slices(texts):
+    for first, last, data, offsets in slices(texts, FEW_BYTES):
         low = LOWER[data]
         starts, ends, head = word_spans(low, offsets)
         words = text_hashes(low, starts, ends)

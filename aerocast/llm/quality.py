@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerocast.llm.common import LOWER, large_binaries, let_go, mix, slices, span_hashes, word_spans, written
+from aerocast.llm.common import FEW_BYTES, LOWER, large_binaries, let_go, mix, slices, span_hashes, word_spans, written
 
 #: Bound of the labelled sample that the fit sees.
 MAX_LABELLED = 20_000
@@ -46,7 +46,7 @@ N_STATS = len(_KINDS) + 6
 
 def text_features(texts: pa.LargeBinaryArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row after the last, statistics, row of each word feature, word feature), features distinct in a row."""
-    for first, last, data, offsets in slices(texts):
+    for first, last, data, offsets in slices(texts, FEW_BYTES):
         n = last - first
         size = np.diff(offsets).astype(float)
         each = np.maximum(size, 1.0)

@@ -38,7 +38,7 @@ _STOP[[*b",.;:!?"]] = True
 AFTER = tuple(_AFTER.tolist())
 
 #: Longer units are not remembered; bytes of text that one step works on.
-LONGEST, STEP_BYTES = 64, 2 << 20
+LONGEST, STEP_BYTES = 64, 1 << 19
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:

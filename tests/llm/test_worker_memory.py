@@ -23,3 +23,25 @@ def test_encoders_go_when_let_go():
     assert gone() is None
     let_go()
     assert bpe.loaded(data, CUT_PATTERN).ranks[b"a"] == 97
+
+
+@pytest.mark.parametrize("step", ["features", "shingles"])
+def test_a_large_batch_takes_little_memory_at_a_time(step):
+    import random
+    import tracemalloc
+
+    from aerocast.llm.common import large_binaries
+    from aerocast.llm.minhash import shingle_sets
+    from aerocast.llm.quality import text_features
+    rng = random.Random(3)
+    words = [f"w{i:x}" for i in range(5000)]
+    batch = large_binaries(pa.array([" ".join(rng.choices(words, k=400)) for _ in range(3000)]))
+    tracemalloc.start()
+    try:
+        rows = 0
+        for first, last, *_ in text_features(batch) if step == "features" else shingle_sets(batch, 5):
+            rows += last - first
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 3000 and peak < 8 * len(batch.buffers()[2])
