@@ -13,7 +13,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -86,11 +86,28 @@ def let_go() -> None:
     for held in HELD:
         held.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Hands what NumPy and Arrow have freed, and keep for later, back to the system."""
     pa.default_memory_pool().release_unused()
     if hasattr(ctypes.CDLL(None), "malloc_trim"):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def spare(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that also gives memory back when it ends: an executor keeps more Python workers than it runs
+    tasks at a time, and what each one got for its largest step would add up while they wait."""
+    def task(batches: Iterator) -> Iterator:
+        let_go()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder under the shared one, removed at the end: for tables that nothing lazy reads afterwards."""

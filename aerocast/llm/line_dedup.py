@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import SLICE_BYTES, clean_documents, fresh, large_binaries, mix, signed, slices, text_hashes, window_hashes
+from aerocast.llm.common import SLICE_BYTES, clean_documents, fresh, large_binaries, mix, signed, slices, spare, text_hashes, window_hashes
 
 WINDOW = 3
 
@@ -57,7 +57,7 @@ def later_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     windows = (clean_documents(docs).filter("doc_id IS NOT NULL AND instr(text, '\\n') > 0")
                .select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-               .mapInArrow(run, "doc_id long, text_key long, pos int, h1 long, h2 long"))
+               .mapInArrow(spare(run), "doc_id long, text_key long, pos int, h1 long, h2 long"))
     place = F.struct("doc_id", "text_key", "pos")
     firsts = (windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
               .filter("first <> last").select("h1", "h2", "first"))

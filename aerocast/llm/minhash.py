@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerocast.llm.common import FEW_BYTES, LOWER, clean_documents, large_binaries, mix, scratch, signed, slices, span_hashes, text_hashes, window_hashes, windows_in_rows, word_spans, written
+from aerocast.llm.common import FEW_BYTES, LOWER, clean_documents, large_binaries, mix, scratch, signed, slices, span_hashes, spare, text_hashes, window_hashes, windows_in_rows, word_spans, written
 from aerocast.llm.components import components
 
 #: Values of a sketch. With J >= 0.8 the union sketch of 64 shares 51 +- 3 values; fewer than SHARE of 64 is six
@@ -81,7 +81,7 @@ def _features(docs: DataFrame, shingle: int, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m), batch.column(1).slice(first, m), pa.array(np.diff(head).astype(np.int64)),
                                                   pa.array(keys[0]), pa.array(keys[1]), sketch],
                                                  names=["doc_id", "text_key", "n", "key1", "key2", "sketch"])
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(spare(run), "doc_id long, text_key long, n long, key1 long, key2 long, sketch array<long>")
 
 
 def _prefixes(sketches: DataFrame, similarity: float, size: int, share: float) -> DataFrame:
@@ -180,7 +180,7 @@ def _full_lists(picked: DataFrame, shingle: int, similarity: float, folder: str)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(head, pa.int32()), pa.array(signed(h)))],
                                                  names=["id", "vs"])
 
-    sets = written(picked.select("id", "text").mapInArrow(run, "id long, vs array<long>"), "sets", folder)
+    sets = written(picked.select("id", "text").mapInArrow(spare(run), "id long, vs array<long>"), "sets", folder)
     values = sets.select("id", F.explode("vs").alias("v"))
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     shared = values.join(common, "v").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("held", "v"))).alias("shared"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aerocast.llm.common import FEW_BYTES, LOWER, large_binaries, let_go, mix, slices, span_hashes, word_spans, written
+from aerocast.llm.common import FEW_BYTES, LOWER, large_binaries, let_go, mix, slices, span_hashes, spare, word_spans, written
 
 #: Bound of the labelled sample that the fit sees.
 MAX_LABELLED = 20_000
@@ -177,7 +177,6 @@ def labels_of(labels: DataFrame) -> DataFrame:
 def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of the documents of a bounded sample: doc_id, label, statistics, metadata, and row and number of the words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for b in batches:
             meta = metadata_features(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist())
             for first, last, stats, row, feature in text_features(large_binaries(b.column(5))):
@@ -188,7 +187,7 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, n
 
     picked = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"c{k}") for k, c in enumerate(_columns(docs))])
               .join(F.broadcast(ids), "doc_id").select("doc_id", "good", "c0", "c1", "c2", "c3"))
-    got = picked.mapInArrow(run, "doc_id long, good int, stats array<double>, meta array<double>, words array<int>").toArrow().combine_chunks()
+    got = picked.mapInArrow(spare(run), "doc_id long, good int, stats array<double>, meta array<double>, words array<int>").toArrow().combine_chunks()
     n = len(got)
     if not n:
         return (np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_STATS)), np.zeros((0, META_DIM + 1)), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -244,7 +243,6 @@ def _unpacked(records: np.ndarray, n_words: int) -> list[np.ndarray]:
 def pool_table(docs: DataFrame, good: DataFrame, words: np.ndarray) -> DataFrame:
     """A record of each row whose doc_id has no label, written to the shared folder; null doc_ids are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
         for b in batches:
             meta = metadata_features(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
             for first, last, stats, row, word in text_features(large_binaries(b.column(4))):
@@ -255,7 +253,7 @@ def pool_table(docs: DataFrame, good: DataFrame, words: np.ndarray) -> DataFrame
                     names=["doc_id", "record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(f"c{k}") for k, c in enumerate(_columns(docs))]).filter("doc_id IS NOT NULL")
-    records = rows.mapInArrow(run, "doc_id long, record binary")
+    records = rows.mapInArrow(spare(run), "doc_id long, record binary")
     return written(records.join(good.select("doc_id"), "doc_id", "left_anti").select("record"), "pool")
 
 
@@ -409,7 +407,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sc
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **bounds))
 
     def run(batches: Iterator[tuple]) -> Iterator[pa.Array]:
-        let_go()
         m = model.value
         for lang, source, n_chars, text in batches:
             if m.text is None:
@@ -426,7 +423,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sc
 
 
 def _typed(run):
+    task = spare(run)
+
     def scores(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        return run(batches)
+        return task(batches)
     scores.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return scores
