@@ -113,24 +113,20 @@ def _stored(nodes: DataFrame, name: str) -> DataFrame:
 
 def run_forest(df: DataFrame, spec: ForecastSpec, is_delta: bool, frame: TR.Frame | None = None) -> CandidateResult:
     """M6: the grid by mean fold MAE on the target, the first best point; fold forests of it score every row, and the
-    forest on all rows is the model (a node table). Where the frame holds every row, the fold forests have scored them in
-    the search and are not grown again."""
+    forest on all rows is the model (a node table). The frame holds every row, so the fold forests have scored them in the
+    search and are not grown again; after a fit on a sample (``fit_rows``) their node tables score all rows."""
     fs = spec.features
     spark, last = df.sparkSession, spec.n_splits + 1
     frame = frame or _frame(df, spec)
     params, sums = spec.rf_grid[0], None
-    if len(spec.rf_grid) > 1:
+    if frame.whole or len(spec.rf_grid) > 1:
         sums = _stored(TR.forest_sums(frame, spark, spec.rf_grid, spec.n_splits, spec.seed), "forest-search")
+    if len(spec.rf_grid) > 1:
         searched = TR.search_errors(sums, spec.rf_grid)
         params = min(enumerate(searched), key=lambda x: (x[1][0], x[0]))[1][1]
-    scored = sums is not None and frame.whole
-    nodes = _stored(TR.forest_nodes(frame, spark, params, [last] if scored else range(1, last + 1), spec.seed), "forest")
-    if scored:
-        found = TR.fold_predictions(sums, frame, params, "pred").select(F.col(fs.key).alias("_key"), F.col(fs.date).alias("_date"), "pred")
-        rows = df.where(F.col("block").between(1, spec.n_splits))
-        # at most fit_rows rows
-        rows = rows.join(F.broadcast(found), rows[fs.key].eqNullSafe(F.col("_key")) & rows[fs.date].eqNullSafe(F.col("_date")))
-        rows = rows.select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block")
+    nodes = _stored(TR.forest_nodes(frame, spark, params, [last] if frame.whole else range(1, last + 1), spec.seed), "forest")
+    if frame.whole:
+        rows = TR.fold_predictions(sums, frame, params, "pred").select(fs.key, fs.date, "pred", "target", "true_level", "base_pred", "block")
     else:
         rows = _scored_blocks(df, spec, {"pred": {k: TR.Packed(nodes.where(F.col("fold") == k)) for k in range(1, last)}})
     oof = reconstruct(rows, is_delta).checkpoint(eager=True)
